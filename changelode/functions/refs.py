@@ -26,19 +26,27 @@ NUMBER_REF = r"(?:^|[^0-9A-Za-z_/])#([0-9]+)\b"
 SHA_LEAST = 6
 
 
+_EDGE = "(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+
+
+def java(pattern: str) -> str:
+    """A pattern with word edges as RE2 has them: only ASCII letters make words."""
+    return pattern.replace(r"\b", _EDGE)
+
+
 def has_citation(message: Column) -> Column:
     """Whether a message can cite anything: a cheap test before the costly patterns."""
     return F.lower(message).rlike(CITATION)
 
 
 def has_fix_words(subject: Column) -> Column:
-    return subject.rlike(FIX_WORDS)
+    return subject.rlike(java(FIX_WORDS))
 
 
 def found(message: Column, pattern: str, group: int = 1) -> Column:
     """All hits of a pattern in text order: array of (value, snippet)."""
-    values = F.regexp_extract_all(message, F.lit(pattern), F.lit(group))
-    return F.zip_with(values, F.regexp_extract_all(message, F.lit(pattern), F.lit(0)), lambda v, s: F.struct(v.alias("value"), s.alias("snippet")))
+    values = F.regexp_extract_all(message, F.lit(java(pattern)), F.lit(group))
+    return F.zip_with(values, F.regexp_extract_all(message, F.lit(java(pattern)), F.lit(0)), lambda v, s: F.struct(v.alias("value"), s.alias("snippet")))
 
 
 def regressions(message: Column) -> Column:
@@ -50,12 +58,12 @@ def regressions(message: Column) -> Column:
 
 def untargeted(message: Column) -> tuple[Column, Column, Column]:
     """(shas, numbers, matched) of every strong reference, distinct and in pattern order."""
-    all_of = lambda p, k: F.regexp_extract_all(message, F.lit(p), F.lit(k))
+    all_of = lambda p, k: F.regexp_extract_all(message, F.lit(java(p)), F.lit(k))
     sha = F.transform(regressions(message), lambda r: r["sha"])
     number = F.transform(regressions(message), lambda r: r["number"])
     shas = F.concat(all_of(FIXES_SHA, 1), all_of(REVERT_COMMIT, 1), sha)
     numbers = F.transform(F.filter(F.concat(all_of(FIXES_PR, 1), number), lambda n: n != ""), lambda n: n.try_cast("bigint"))
-    matched = message.rlike(FIXES_SHA) | message.rlike(FIXES_PR) | message.rlike(REVERT_COMMIT) | message.rlike(REVERT_SUBJECT) | message.rlike(REGRESSION)
+    matched = message.rlike(FIXES_SHA) | message.rlike(java(FIXES_PR)) | message.rlike(REVERT_COMMIT) | message.rlike(REVERT_SUBJECT) | message.rlike(REGRESSION)
     return (
         F.array_distinct(F.filter(F.transform(shas, F.lower), lambda s: s != "")),
         F.array_distinct(F.filter(numbers, lambda n: n > 0)),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelode.operators import asof, drift, shred
+from changelode.plans import catalog
 from changelode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,8 +96,8 @@ LEFT JOIN (SELECT edit_id, any_value(diff) AS diff FROM body_edits GROUP BY edit
 
 
 def queries() -> dict[str, Query]:
-    return problem_queries()
+    return problem_queries() | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS}
+    return {"p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL
