@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelode.functions.times import parse_time
+from changelode.plans.durable import durable
 
 ENTITY = ["repository", "pr"]
 
@@ -97,7 +98,7 @@ def in_force(edits: DataFrame, cases: DataFrame) -> DataFrame:
     asked = cases.select(
         *ENTITY, F.col("cutoff").alias("ts"), F.lit(2).alias("kind"), F.lit(0).alias("change"), F.lit(None).cast("bigint").alias("edit_id"), "case_id", nothing.alias("best"), nothing.alias("rank")
     )
-    numbered = accumulate(starts.unionByName(ends).unionByName(asked).select(*ENTITY, *line), ENTITY, "ts", ["kind", "edit_id", "case_id"], "change", "best")
+    numbered = durable(accumulate(starts.unionByName(ends).unionByName(asked).select(*ENTITY, *line), ENTITY, "ts", ["kind", "edit_id", "case_id"], "change", "best"))
 
     points = numbered.where(F.col("kind") == 2).select("case_id", *ENTITY, "number", "holds")
     ranges = (
@@ -147,8 +148,8 @@ def known_at_cutoff(body_edits: DataFrame, review_metadata: DataFrame, field_dec
     Null or unreadable times never count as late; null descriptions and texts equal nothing.
     Repeated rows count once; with no cases or no edits the result has the rows that remain.
     """
-    edits, cases = distinct_edits(body_edits), distinct_cases(review_metadata)
-    held = in_force(edits, cases)
+    edits, cases = durable(distinct_edits(body_edits)), durable(distinct_cases(review_metadata))
+    held = durable(in_force(edits, cases))
     versions = held.where(F.col("edit_id").isNotNull()).select("case_id", F.lit("version").alias("kind"), F.col("edit_id").alias("ref_id"))
 
     held_text = held.join(edits.select("edit_id", F.col("digest").alias("held")).distinct(), "edit_id", "left").select("case_id", "held")
@@ -178,7 +179,7 @@ def known_at_cutoff(body_edits: DataFrame, review_metadata: DataFrame, field_dec
 
 def described_as_known(body_edits: DataFrame, review_metadata: DataFrame) -> DataFrame:
     """(case_id, edit_id, text): the wide text of the version in force, attached by equi-join."""
-    edits, cases = distinct_edits(body_edits), distinct_cases(review_metadata)
+    edits, cases = distinct_edits(body_edits), durable(distinct_cases(review_metadata))
     held = in_force(edits, cases).join(cases.select("case_id", *ENTITY), "case_id")
     texts = body_edits.select(*ENTITY, "edit_id", F.col("diff").alias("text")).dropDuplicates(["edit_id"])
     return held.join(texts, [*ENTITY, "edit_id"], "left").select("case_id", "edit_id", "text")
