@@ -153,31 +153,31 @@ _strong_query("strong_fixes_pr", "s2", correlate.fixes_number)
 _strong_query("strong_revert", "s3", correlate.reverts)
 _strong_query("strong_regression", "s4", correlate.regressions)
 
-MEDIUM = f"""sym AS (SELECT DISTINCT repository, head_sha AS sha, l.path AS path, l.function AS function FROM (SELECT *, unnest(locations) AS l FROM pr) WHERE l IS NOT NULL AND head_sha IS NOT NULL),
+CPATH = """cp AS (SELECT DISTINCT repository, sha, path FROM (
+  SELECT repository, s.source_ref AS sha, unnest(s.changed_paths) AS path FROM (SELECT repository, unnest(retrospective.strong_signals) AS s FROM pr) WHERE s IS NOT NULL
+  UNION ALL SELECT repository, s.source_ref AS sha, unnest(s.changed_paths) AS path FROM (SELECT repository, unnest(retrospective.medium_signals) AS s FROM pr) WHERE s IS NOT NULL) WHERE path IS NOT NULL AND sha IS NOT NULL AND repository IS NOT NULL)"""
+MEDIUM = f"""sym AS (SELECT DISTINCT repository, sha, path, function FROM cp JOIN (SELECT repository, sha, unnest(list_distinct(regexp_extract_all(full_message, '[A-Za-z_][A-Za-z0-9_]*'))) AS function FROM cm) USING (repository, sha)),
 own AS (SELECT record_id, repository, merged_at, provenance.observation_end AS obs, l.path AS path, l.function AS function FROM (SELECT *, unnest(locations) AS l FROM pr) WHERE l.path <> '' AND l.function <> ''),
 md AS (SELECT DISTINCT record_id, c.sha, own.path || ':' || own.function AS function_or_path FROM own JOIN sym USING (repository, path, function) JOIN corrective c ON c.repository = own.repository AND c.sha = sym.sha WHERE {WINDOW})"""
-WEAK = f"""cp AS (SELECT DISTINCT repository, sha, path FROM (
-  SELECT repository, s.source_ref AS sha, unnest(s.changed_paths) AS path FROM (SELECT repository, unnest(retrospective.strong_signals) AS s FROM pr) WHERE s IS NOT NULL
-  UNION ALL SELECT repository, s.source_ref AS sha, unnest(s.changed_paths) AS path FROM (SELECT repository, unnest(retrospective.medium_signals) AS s FROM pr) WHERE s IS NOT NULL) WHERE path IS NOT NULL AND sha IS NOT NULL AND repository IS NOT NULL),
-wk AS (SELECT record_id, c.sha, min(fl.path) AS path FROM fl JOIN cp ON cp.repository = fl.repository AND cp.path = fl.path JOIN corrective c ON c.repository = cp.repository AND c.sha = cp.sha
+WEAK = f"""wk AS (SELECT record_id, c.sha, min(fl.path) AS path FROM fl JOIN cp ON cp.repository = fl.repository AND cp.path = fl.path JOIN corrective c ON c.repository = cp.repository AND c.sha = cp.sha
   WHERE {WINDOW} AND epoch_us(author_date) - epoch_us(merged_at) <= 90 * 86400000000 GROUP BY record_id, c.sha)"""
 LEGACY = f"""lg AS (SELECT DISTINCT record_id, sha, function FROM (SELECT record_id, repository, merged_at, provenance.observation_end AS obs, unnest(list_distinct(changed_functions)) AS function FROM pr
    WHERE coalesce(len(list_filter(locations, lambda x: x IS NOT NULL)), 0) = 0) o
  JOIN (SELECT repository, sha, author_date, unnest(list_distinct(regexp_extract_all(full_message, '[A-Za-z_][A-Za-z0-9_]*'))) AS function FROM corrective) c USING (repository, function) WHERE strlen(function) >= 6 AND {WINDOW})"""
 
 
-def _symbols(prs: DataFrame) -> DataFrame:
-    """Functions of later commits: the head commits of requests, with the locations those changed."""
-    return prs.where("head_sha is not null").select("repository", F.col("head_sha").alias("sha"), F.explode("changed_function_locations").alias("l")).where("l is not null").select("repository", "sha", "l.path", "l.function")
+def _symbols(s: SparkSession, d: str) -> DataFrame:
+    """Functions of later commits: identifiers of the message, in each path the commit changed."""
+    names = F.explode(F.array_distinct(F.regexp_extract_all("full_message", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("function")
+    return records.commit_paths(table(s, d, "pr_record")).join(_commits(s, d).select("repository", "sha", names), ["repository", "sha"])
 
 
-@register(_with(PR, CM, CORRECTIVE, MEDIUM) + "SELECT record_id, sha, function_or_path FROM md")
+@register(_with(PR, CM, CORRECTIVE, CPATH, MEDIUM) + "SELECT record_id, sha, function_or_path FROM md")
 def medium_same_function(s: SparkSession, d: str) -> DataFrame:
-    prs = _prs(s, d)
-    return correlate.same_function(_commits(s, d), _symbols(prs), prs)
+    return correlate.same_function(_commits(s, d), _symbols(s, d), _prs(s, d))
 
 
-@register(_with(PR, CM, CORRECTIVE, FILES, WEAK) + "SELECT record_id, sha, path FROM wk")
+@register(_with(PR, CM, CORRECTIVE, FILES, CPATH, WEAK) + "SELECT record_id, sha, path FROM wk")
 def weak_same_file(s: SparkSession, d: str) -> DataFrame:
     return correlate.same_file(_commits(s, d), records.commit_paths(table(s, d, "pr_record")), _prs(s, d))
 
@@ -192,14 +192,14 @@ RANK = """rk AS (SELECT record_id, coalesce(a.n, 0) AS strong_leads, coalesce(b.
  LEFT JOIN (SELECT record_id, count(DISTINCT sha) AS n FROM md GROUP BY 1) b USING (record_id)
  LEFT JOIN (SELECT record_id, count(*) AS n FROM (SELECT record_id FROM wk UNION ALL SELECT record_id FROM lg) GROUP BY 1) w USING (record_id)),
 ranked AS (SELECT *, least(1.0::DOUBLE, CASE WHEN strong_leads > 0 THEN 1.0::DOUBLE WHEN medium_leads > 0 THEN 0.5::DOUBLE + 0.05::DOUBLE * medium_leads WHEN weak_signals > 0 THEN 0.1::DOUBLE + 0.02::DOUBLE * weak_signals ELSE 0.0::DOUBLE END) AS rank_score FROM rk)"""
-EVERYTHING = [*STRONG, CORRECTIVE, FILES, MEDIUM, WEAK, LEGACY, RANK]
+EVERYTHING = [*STRONG, CORRECTIVE, FILES, CPATH, MEDIUM, WEAK, LEGACY, RANK]
 
 
 @register(_with(*EVERYTHING) + "SELECT record_id, strong_leads, medium_leads, weak_signals, rank_score FROM ranked")
 def rank_score(s: SparkSession, d: str) -> DataFrame:
     """Every request's strength of later evidence, recomputed from the commit log."""
     log, prs = _commits(s, d), _prs(s, d)
-    medium = correlate.same_function(log, _symbols(prs), prs)
+    medium = correlate.same_function(log, _symbols(s, d), prs)
     weak = correlate.same_file(log, records.commit_paths(table(s, d, "pr_record")), prs).select("record_id").unionByName(correlate.legacy_names(log, prs).select("record_id"))
     return correlate.rank(prs, correlate.strong(log, prs), medium, weak)
 
