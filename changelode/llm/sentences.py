@@ -41,11 +41,11 @@ SPACED = re.compile(r"(?:(?<!\w)(?:(z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?g|s\.\s?o|p\.\
 
 # ------------------------------------------------------------------------ layout
 
-_FENCE = re.compile(r"^[\s﻿]*((?:>+\s?|\+\s)*)\s*(`{3,}|~{3,})")
-_QUOTE = re.compile(r"^[\s﻿]*(?:(?:>+|\|(?=\s)|\+(?=\s))[ \t]?)+")
+_FENCE = re.compile(r"^[\s\ufeff]*((?:>+\s?|\+\s)*)\s*(`{3,}|~{3,})")
+_QUOTE = re.compile(r"^[\s\ufeff]*(?:(?:>+|\|(?=\s)|\+(?=\s))[ \t]?)+")
 _HEADING = re.compile(r"^\s*#{1,6}\s+\S")
 _RULE = re.compile(r"^\s*(?:=+|-{3,}|\*{3,}|_{3,}|~+)\s*$")
-_ITEM = re.compile(r"^\s*(?:[-*•·‣–◦]|\(?\d{1,3}[.)]|\(?[a-z][.)])[ \t　]+\S")
+_ITEM = re.compile(r"^\s*(?:[-*•·‣–◦]|\(?\d{1,3}[.)]|\(?[a-z][.)])[ \t\u3000]+\S")
 _LOG = re.compile(
     r"^\s*(?:\d{4}-\w{1,2}-\w{1,2}\S*(?:\s+[\d:.,]+\S*)?\s+\[|(?:TRACE|DEBUG|INFO|NOTICE|WARN|WARNING|ERR|ERROR|CRIT|FATAL)\b:?\s+\S+|[\w.-]+\[\d+\]:\s|kernel:\s|\[\s*\d+\.\d+\]\s|[A-Z][a-z]{2}\s+\d+\s\d\d:\d\d:\d\d\s|\d\d:\d\d:\d\d[.,\d]*\s+\S)"
 )
@@ -103,17 +103,17 @@ def blocks(text: str) -> Iterator[Block]:
             continue
         m = _QUOTE.match(line)
         cut = m.end() if m else 0
-        mark = re.sub(r"\s", "", m[0]).lstrip("﻿") if m else ""
+        mark = re.sub(r"\s", "", m[0]).lstrip("\ufeff") if m else ""
         body = line[cut:]
         at = line_start + cut
-        if not body.strip("﻿ \t　\xa0​") or mark != depth:
+        if not body.strip("\ufeff \t\u3000\xa0\u200b") or mark != depth:
             if block:
                 yield block
             block = None
             depth = mark
-            if not body.strip("﻿ \t　\xa0​"):
+            if not body.strip("\ufeff \t\u3000\xa0\u200b"):
                 continue
-        bare = body.lstrip("﻿")
+        bare = body.lstrip("\ufeff")
         kind = ""
         if _HEADING.match(bare):
             kind = "heading"
@@ -160,7 +160,7 @@ _ALWAYS = set("。！？｡।॥؟۔")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "《": "》", "‹": "›", "›": "‹"}
 _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
-_THAI_END = re.compile(r"(?<=[฀-๿])[ \t\n　]+(?=[\"'“(]?(?:[฀-๿]|[A-ZÀ-Þ#]|[a-z]+[_(]))")
+_THAI_END = re.compile(r"(?<=[฀-๿])[ \t\n\u3000]+(?=[\"'“(]?(?:[฀-๿]|[A-ZÀ-Þ#]|[a-z]+[_(]))")
 _TOKEN_BEFORE = re.compile(r"[^\s\"'“”„«»()\[\]{}（）「」]*$")
 _NEXT = re.compile(r"\s*[\"'“”„«»‘’(\[{（「『¿¡—–*_>\s-]*([^\s]*)")
 #: Small-written words that can begin a sentence: identifiers, paths, mixed case, a list's first item.
