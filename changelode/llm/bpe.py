@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from changelode.plans.spread import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the public vocabulary's rule for cutting a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -150,7 +152,7 @@ def encode(documents: DataFrame, path: str = VOCABULARY, id_column: str = "doc_i
                 flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_column, "ids"])
 
-    return documents.select(id_column, text_column).mapInArrow(run, f"{id_column} bigint, ids array<int>")
+    return spread(documents.select(id_column, text_column), id_column).mapInArrow(run, f"{id_column} bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, path: str = VOCABULARY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -163,4 +165,4 @@ def count_tokens(documents: DataFrame, path: str = VOCABULARY, id_column: str =
             n = pa.array([len(enc.encode(t)) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n], names=[id_column, "n_tokens"])
 
-    return documents.select(id_column, text_column).mapInArrow(run, f"{id_column} bigint, n_tokens bigint")
+    return spread(documents.select(id_column, text_column), id_column).mapInArrow(run, f"{id_column} bigint, n_tokens bigint")

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelode.plans.spread import spread
+
 MAX_ITEMS = 50_000
 SEED = 3  # words that a match shares at least
 REACH = 7  # words that a gap within a passage may have, on either side
@@ -246,7 +248,8 @@ def leaks(documents: DataFrame, eval_keys: DataFrame) -> DataFrame:
             for _, shard in b.groupby((size // (4 * SHARD_WORDS)).astype("int64")):
                 yield pd.DataFrame(_leaks(shard, items), columns=["doc_id", "item_id", "share", "matched_words"])
 
-    out = documents.select("doc_id", "text").where("text is not null and text != ''").mapInPandas(run, "doc_id bigint, item_id bigint, share double, matched_words bigint")
+    texts = documents.select("doc_id", "text").where("text is not null and text != ''")
+    out = spread(texts, "doc_id").mapInPandas(run, "doc_id bigint, item_id bigint, share double, matched_words bigint")
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("matched_words").alias("matched_words"))
 
 

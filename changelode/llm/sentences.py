@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelode.plans.spread import spread
+
 # ------------------------------------------------------------- fixed values: words
 
 #: Abbreviations that a name, number or further word always follows.
@@ -436,7 +438,7 @@ def stop_counts(documents: DataFrame) -> DataFrame:
                     low.setdefault(w.lower(), [0, 0, 0])[i] += n
             yield pd.DataFrame([(w, *n) for w, n in low.items()], columns=["word", "stopped_small", "stopped", "plain"])
 
-    counted = documents.select("text").where("text is not null").mapInPandas(run, "word string, stopped_small bigint, stopped bigint, plain bigint")
+    counted = spread(documents.select("text").where("text is not null")).mapInPandas(run, "word string, stopped_small bigint, stopped bigint, plain bigint")
     return counted.groupBy("word").agg(F.sum("stopped_small").alias("stopped_small"), F.sum("stopped").alias("stopped"), F.sum("plain").alias("plain"))
 
 
@@ -471,4 +473,5 @@ def sentence_starts(documents: DataFrame, corpus: Corpus | None = None) -> DataF
                 places += [p + 1 for p in got]
             yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "start_pos": pd.Series(places, dtype="int64")})
 
-    return documents.select("doc_id", "text").where("doc_id is not null and text is not null and text != ''").mapInPandas(run, "doc_id bigint, start_pos bigint")
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text != ''")
+    return spread(texts, "doc_id").mapInPandas(run, "doc_id bigint, start_pos bigint")
