@@ -160,6 +160,8 @@ _CLOSER = "\"'”’»«“)]}）】」』〉》›〗＂"
 _OPENER = "\"'“„‚«»‘([{（【「『〈《¿¡‹›"
 _ALWAYS = set("。！？｡।॥؟۔")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "《": "》", "‹": "›", "›": "‹"}
+_QUOTES = "\"'“„‚«「『"
+_CASELESS = re.compile(r"[\u0590-\u0dff\u0e00-\u0fff\u3040-\u9fff]")
 _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _THAI_END = re.compile(r"(?<=[฀-๿])[ \t\n\u3000]+(?=[\"'“(]?(?:[฀-๿]|[A-ZÀ-Þ#]|[a-z]+[_(]))")
@@ -281,7 +283,7 @@ def _stop_ends(text: str, at: int, end: int, ev: Evidence) -> bool:
         tail = re.search(r"[^\W\d_]+$|[)%]$", word)
         if not tail or "/" in word or "@" in word or "://" in word or "_" in word:
             return False
-        if first.isupper() and len(nxt) > 1 and (len(tail[0]) > 2 or tail[0] in ")%") and (tail[0][-1].islower() or tail[0] in ")%" or nxt[1].islower()) and "." not in word:
+        if first.isupper() and len(nxt) > 1 and (len(tail[0]) > 1 or tail[0] in ")%") and low not in BEFORE_WORD and low not in MAY_END and (tail[0][-1].islower() or tail[0] in ")%" or nxt[1].islower()) and "." not in word:
             return True
         return len(tail[0]) > 2 and first.isalpha() and not first.isupper() and not first.islower() and not first.isascii() and "." not in word
     if (m2 := SPACED.search(text[max(0, at - 10) : at])) is not None:
@@ -353,8 +355,11 @@ def _ends(text: str, m: re.Match, ev: Evidence) -> int:
         token = _TOKEN_BEFORE.search(text, max(0, at - 120), at)[0]
         if not rest[0].isspace():
             return close if first.isupper() and "://" not in token and "/" not in token and text[at - 1].isalnum() and len(nxt) > 1 and nxt[1].islower() or (first and not first.isascii() and first.isalpha() and "://" not in token) and rest[0] not in ",;:" else -1
-        if rest.lstrip()[:1] in ",;:":
+        ahead = rest.lstrip()[:1]
+        if ahead in ",;:":
             return -1
+        if ahead in _QUOTES or _CASELESS.match(text[at - 1 : at]):
+            return close
         return -1 if first.islower() and not _NAMELIKE.match(nxt) else close
     if "…" in marks or len(marks) > 1:
         if not rest[0].isspace():
