@@ -28,28 +28,23 @@ def squeezed(c: Column) -> Column:
     return F.regexp_replace(c, r"[\s\p{Z}]+", "")
 
 
-def accumulate(events: DataFrame, entity: list[str], ts: str, order: list[str], count: str, best: str) -> DataFrame:
-    """Running sum of ``count`` and running maximum of ``best`` in time order within an entity.
+def running(events: DataFrame, entity: list[str], ts: str, order: list[str], sums: dict[str, str], maxima: dict[str, str] | None = None) -> DataFrame:
+    """Running sums and maxima of columns in time order within an entity, up to and with each row.
 
-    Adds ``number`` and ``holds``. Two levels, so no window spans more than an entity's days
-    or a day's rows.
+    ``sums`` and ``maxima`` name a result for a column. Two levels, so no window spans more than
+    an entity's days or a day's rows.
     """
+    maxima = maxima or {}
     chunked = events.withColumn("_chunk", F.date_trunc("day", F.col(ts)))
     days = Window.partitionBy(*entity).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        chunked.groupBy(*entity, "_chunk")
-        .agg(F.sum(count).alias("_n"), F.max(best).alias("_best"))
-        .select(*entity, "_chunk", F.coalesce(F.sum("_n").over(days), F.lit(0)).alias("_n_before"), F.max("_best").over(days).alias("_best_before"))
-    )
     day = Window.partitionBy(*entity, "_chunk").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        chunked.withColumn("_n_here", F.sum(count).over(day))
-        .withColumn("_best_here", F.max(best).over(day))
-        .join(totals, [*entity, "_chunk"])
-        .withColumn("number", F.col("_n_here") + F.col("_n_before"))
-        .withColumn("holds", F.greatest("_best_here", "_best_before"))
-        .drop("_chunk", "_n_here", "_n_before", "_best_here", "_best_before")
-    )
+    per_day = [F.sum(c).alias(f"_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_{n}") for n, c in maxima.items()]
+    before = [F.coalesce(F.sum(f"_{n}").over(days), F.lit(0)).alias(f"_{n}_before") for n in sums] + [F.max(f"_{n}").over(days).alias(f"_{n}_before") for n in maxima]
+    totals = chunked.groupBy(*entity, "_chunk").agg(*per_day).select(*entity, "_chunk", *before)
+    here = {f"_{n}_here": F.sum(c).over(day) for n, c in sums.items()} | {f"_{n}_here": F.max(c).over(day) for n, c in maxima.items()}
+    both = {n: F.col(f"_{n}_here") + F.col(f"_{n}_before") for n in sums} | {n: F.greatest(f"_{n}_here", f"_{n}_before") for n in maxima}
+    joined = chunked.withColumns(here).join(totals, [*entity, "_chunk"]).withColumns(both)
+    return joined.drop("_chunk", *here, *(f"_{n}_before" for n in both))
 
 
 def dyadic_cover(start: Column, end: Column) -> Column:
@@ -98,7 +93,8 @@ def in_force(edits: DataFrame, cases: DataFrame) -> DataFrame:
     asked = cases.select(
         *ENTITY, F.col("cutoff").alias("ts"), F.lit(2).alias("kind"), F.lit(0).alias("change"), F.lit(None).cast("bigint").alias("edit_id"), "case_id", nothing.alias("best"), nothing.alias("rank")
     )
-    numbered = durable(accumulate(starts.unionByName(ends).unionByName(asked).select(*ENTITY, *line), ENTITY, "ts", ["kind", "edit_id", "case_id"], "change", "best"))
+    times = starts.unionByName(ends).unionByName(asked).select(*ENTITY, *line)
+    numbered = durable(running(times, ENTITY, "ts", ["kind", "edit_id", "case_id"], {"number": "change"}, {"holds": "best"}))
 
     points = numbered.where(F.col("kind") == 2).select("case_id", *ENTITY, "number", "holds")
     ranges = (

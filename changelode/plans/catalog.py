@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from changelode.functions import paths, refs
 from changelode.functions.times import parse_time
-from changelode.operators import correlate, diffs, matching, merging, ranking, records, rules
+from changelode.operators import baseline, correlate, diffs, keys, matching, merging, ranking, records, rules
 from changelode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -616,3 +616,62 @@ def matched_pairs(s: SparkSession, d: str) -> DataFrame:
     size = records.sizes(prs).withColumn("size_band", paths.size_band(F.col("changed_lines")))
     rows = r.join(size, "record_id").join(records.primary_subsystem(prs), "record_id").withColumn("is_positive", F.col("tier") == "strong")
     return matching.pairs(rows.drop("record_id", "tier"), fallback=True)
+
+
+# ----------------------------------------------------------- baselines and keys
+
+HISTORY = f"""chg AS (SELECT repository, subsystem, happened, 1 AS commits, churn, CASE WHEN fixed THEN 1 ELSE 0 END AS defects FROM (SELECT repository, record_id, any_value(merged_at) AS happened, {SUBSYSTEM} AS subsystem, sum(coalesce(additions, 0) + coalesce(deletions, 0)) AS churn
+   FROM (SELECT *, string_split(path, '/') AS parts FROM fl WHERE merged_at IS NOT NULL) GROUP BY ALL) JOIN (SELECT record_id, coalesce(len(retrospective.strong_signals), 0) > 0 AS fixed FROM pr) USING (record_id)),
+cs AS (SELECT record_id AS case_id, repository, subsystem, merged_at AS cutoff FROM pr JOIN sub USING (record_id) WHERE merged_at IS NOT NULL),
+tot AS (SELECT case_id, chg.subsystem, sum(commits) AS commits, sum(churn) AS churn, sum(defects) AS defects FROM cs JOIN chg ON cs.repository = chg.repository AND chg.happened < cutoff
+   AND chg.happened >= (date_trunc('month', cutoff AT TIME ZONE 'UTC') - INTERVAL 24 MONTH + ((cutoff AT TIME ZONE 'UTC') - date_trunc('month', cutoff AT TIME ZONE 'UTC'))) AT TIME ZONE 'UTC' GROUP BY ALL),
+act AS (SELECT *, ((rank() OVER d - 1) / count(*) OVER p::DOUBLE + cume_dist() OVER d) / 2 AS x, ((rank() OVER c - 1) / count(*) OVER p::DOUBLE + cume_dist() OVER c) / 2 AS y FROM (SELECT *, defects / commits::DOUBLE AS density FROM tot WHERE commits >= 2)
+   WINDOW d AS (PARTITION BY case_id ORDER BY density), c AS (PARTITION BY case_id ORDER BY churn), p AS (PARTITION BY case_id)),
+sco AS (SELECT *, round((x + y) / 2, 9) AS score FROM act),
+ter AS (SELECT *, (rank() OVER (PARTITION BY case_id ORDER BY score) - 1) / count(*) OVER (PARTITION BY case_id)::DOUBLE AS share FROM sco)"""
+
+
+@register(
+    _with(PR, FILES, PRIMARY, HISTORY)
+    + """SELECT cs.case_id, cs.subsystem, coalesce(tot.commits, 0)::BIGINT AS commits, coalesce(tot.churn, 0)::BIGINT AS churn, coalesce(tot.defects, 0)::BIGINT AS defects, coalesce(share >= 2/3::DOUBLE, false) AS risky
+ FROM cs LEFT JOIN tot ON tot.case_id = cs.case_id AND tot.subsystem = cs.subsystem LEFT JOIN ter ON ter.case_id = cs.case_id AND ter.subsystem = cs.subsystem"""
+)
+def baseline_verdict(s: SparkSession, d: str) -> DataFrame:
+    """Each request's subsystem against its repository's others in the two years before the merge.
+
+    Windows are differences of running totals; two changes make a subsystem active here, as the
+    test repositories are small.
+    """
+    prs = _prs(s, d)
+    fixed = _records(s, d).select("record_id", F.when(records.count(F.col("retrospective.strong_signals")) > 0, 1).otherwise(0).alias("defects"))
+    churn = F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))
+    files = records.files(prs).where("merged_at is not null")
+    changes = files.groupBy("repository", "record_id", paths.subsystem(F.col("path")).alias("subsystem")).agg(F.max("merged_at").alias("at"), F.sum(churn).alias("churn")).join(fixed, "record_id").withColumn("commits", F.lit(1))
+    cases = prs.where("merged_at is not null").select(F.col("record_id").cast("string").alias("case_id"), "record_id", "repository", F.col("merged_at").alias("cutoff")).join(records.primary_subsystem(prs), "record_id")
+    totals = baseline.window_totals(changes, cases.select("case_id", "repository", "cutoff"), ["repository", "subsystem"], ["commits", "churn", "defects"])
+    out = baseline.verdicts(totals.drop("repository"), cases, min_commits=2)
+    return out.select(F.col("case_id").cast("bigint").alias("case_id"), "subsystem", "commits", "churn", "defects", "risky")
+
+
+@register(
+    _with(PR)
+    + """, sg AS (SELECT record_id, 'strong' AS tier, i AS pos, x.source_ref AS sha, x.signal_type AS matched_by FROM (SELECT record_id, unnest(retrospective.strong_signals) AS x, generate_subscripts(retrospective.strong_signals, 1) AS i FROM pr) WHERE x IS NOT NULL
+ UNION ALL SELECT record_id, 'medium', i, x.source_ref, x.signal_type FROM (SELECT record_id, unnest(retrospective.medium_signals) AS x, generate_subscripts(retrospective.medium_signals, 1) AS i FROM pr) WHERE x IS NOT NULL)
+ SELECT DISTINCT ON (record_id, sha) record_id, sha, tier, matched_by FROM sg WHERE regexp_full_match(sha, '[0-9a-f]{40}') ORDER BY record_id, sha, tier DESC, CASE WHEN tier = 'strong' THEN -pos ELSE pos END"""
+)
+def fixing_commits(s: SparkSession, d: str) -> DataFrame:
+    return keys.fixing_commits(_records(s, d))
+
+
+@register(
+    _with(PR, CM)
+    + f"""SELECT DISTINCT record_id, n AS number FROM (SELECT record_id, number AS own, try_cast(unnest(regexp_extract_all(full_message, {_quoted(refs.NUMBER_REF)}, 1)) AS BIGINT) AS n FROM cm JOIN (
+   SELECT DISTINCT record_id, repository, number, x.source_ref AS sha FROM (SELECT record_id, repository, number, unnest(retrospective.strong_signals) AS x FROM pr) WHERE x IS NOT NULL
+   UNION SELECT DISTINCT record_id, repository, number, x.source_ref FROM (SELECT record_id, repository, number, unnest(retrospective.medium_signals) AS x FROM pr) WHERE x IS NOT NULL) f USING (repository, sha)) WHERE n > 0 AND n <> own"""
+)
+def issue_references(s: SparkSession, d: str) -> DataFrame:
+    """Numbers that messages of the fixing commits refer to, less the request's own."""
+    r = _records(s, d)
+    own = r.select("record_id", "original.number")
+    found = keys.texts(keys.fixing_commits(r), r, _commits(s, d))
+    return keys.issues(found, own.limit(0), own)
