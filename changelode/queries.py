@@ -95,9 +95,36 @@ LEFT JOIN (SELECT edit_id, any_value(diff) AS diff FROM body_edits GROUP BY edit
 """
 
 
+def _loose(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' THEN (CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END) ELSE {x} END"
+
+
+def _items(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+
+
+def _level(name: str, source: str, array: str) -> str:
+    """Each slot of an array with its place; objects given as text are read."""
+    return f"""{name}_ AS (SELECT *, {_loose(array)} AS arr FROM {source}), {name} AS (SELECT * EXCLUDE (arr, list, x), {_loose("x")} AS o FROM (SELECT *, unnest(list) AS x, generate_subscripts(list, 1) AS i FROM (SELECT *, {_items("arr")} AS list FROM {name}_)))"""
+
+
+P2_FOUND = f"""
+WITH ev0 AS (SELECT record_id, to_json(retrospective) AS r FROM pr_record WHERE retrospective IS NOT NULL
+ UNION ALL SELECT record_id, json_extract(payload::JSON, '$.retrospective') FROM (SELECT * FROM evidence_raw WHERE payload IS NOT NULL AND json_valid(payload))),
+ev AS (SELECT DISTINCT record_id, r::VARCHAR AS t FROM ev0 WHERE record_id IS NOT NULL), top AS (SELECT record_id, {_loose("t::JSON")} AS r FROM ev),
+{_level("st", "(SELECT record_id, 0 AS parent_pos, r FROM top)", "json_extract(r, '$.strong_signals')")},
+{_level("cr", "(SELECT record_id, 0 AS parent_pos, r FROM top)", "json_extract(r, '$.commit_relationships')")},
+rv AS (SELECT record_id, i AS parent_pos, {_loose("json_extract(o, '$.reversal')")} AS o FROM cr WHERE json_type(o) = 'OBJECT'),
+{_level("po", "(SELECT record_id, parent_pos, o AS r FROM rv WHERE json_type(o) = 'OBJECT')", "json_extract(r, '$.path_overlaps')")}
+SELECT DISTINCT record_id, level, parent_pos::INTEGER AS parent_pos, pos::INTEGER AS pos FROM (
+ SELECT record_id, 'strong_signal' AS level, parent_pos, i AS pos, o FROM st UNION ALL SELECT record_id, 'commit_relationship', parent_pos, i, o FROM cr
+ UNION ALL SELECT record_id, 'reversal', parent_pos, 1, o FROM rv UNION ALL SELECT record_id, 'path_overlap', parent_pos, i, o FROM po) WHERE json_type(o) = 'OBJECT'
+"""
+
+
 def queries() -> dict[str, Query]:
     return problem_queries() | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL
+    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL
