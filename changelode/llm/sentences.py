@@ -261,11 +261,11 @@ class Corpus:
         return word.lower() in self.plain
 
 
-def _stop_ends(text: str, at: int, end: int, ev: Evidence) -> bool:
+def _stop_ends(text: str, at: int, end: int, ev: Evidence, start: int = 0) -> bool:
     """Whether the full stop at ``at`` ends a sentence, given what stands around it."""
     if end >= len(text):
         return True
-    before = _TOKEN_BEFORE.search(text, max(0, at - 60), at)[0]
+    before = _TOKEN_BEFORE.search(text, max(start, at - 60), at)[0]
     after = text[end:]
     spaced = after[0].isspace()
     m = _NEXT.match(after)
@@ -278,12 +278,13 @@ def _stop_ends(text: str, at: int, end: int, ev: Evidence) -> bool:
     if not spaced:
         if end > at + 1:  # a closing mark in between
             return False
-        if re.fullmatch(r"v?\d+(?:\.\d+)*", word) and first.isupper() and nxt[1:2].islower():
+        if (re.fullmatch(r"v?\d+(?:\.\d+)*|#?[A-Za-z]?\d+", word) or text[at - 1] in ")]}>`»”") and first.isupper():
             return True
         tail = re.search(r"[^\W\d_]+$|[)%]$", word)
         if not tail or "/" in word or "@" in word or "://" in word or "_" in word:
             return False
-        if first.isupper() and len(nxt) > 1 and (len(tail[0]) > 1 or tail[0] in ")%") and low not in BEFORE_WORD and low not in MAY_END and (tail[0][-1].islower() or tail[0] in ")%" or nxt[1].islower()) and "." not in word:
+        unit = len(tail[0]) == 1 and re.search(r"\d[\s\xa0]$", text[max(0, at - 3) : at - 1]) is not None
+        if first.isupper() and (len(tail[0]) > 1 or tail[0] in ")%" or unit) and low not in BEFORE_WORD and "." not in word:
             return True
         return len(tail[0]) > 2 and first.isalpha() and not first.isupper() and not first.islower() and not first.isascii() and "." not in word
     if (m2 := SPACED.search(text[max(0, at - 10) : at])) is not None:
@@ -336,7 +337,7 @@ def _opens(nxt: str, ev: Evidence) -> bool:
     return True
 
 
-def _ends(text: str, m: re.Match, ev: Evidence) -> int:
+def _ends(text: str, m: re.Match, ev: Evidence, start: int = 0) -> int:
     """The place after which a sentence that ends at this candidate is over, or -1."""
     marks, at, end = m[0], m.start(), m.end()
     close = end
@@ -352,9 +353,9 @@ def _ends(text: str, m: re.Match, ev: Evidence) -> int:
     if marks[-1] in ";;":
         return close if _GREEK.search(text[max(0, at - 40) : at]) and rest[0].isspace() and not first.islower() else -1
     if "!" in marks or "?" in marks:
-        token = _TOKEN_BEFORE.search(text, max(0, at - 120), at)[0]
+        token = _TOKEN_BEFORE.search(text, max(start, at - 120), at)[0]
         if not rest[0].isspace():
-            return close if first.isupper() and "://" not in token and "/" not in token and text[at - 1].isalnum() and len(nxt) > 1 and nxt[1].islower() or (first and not first.isascii() and first.isalpha() and "://" not in token) and rest[0] not in ",;:" else -1
+            return close if first.isupper() and "://" not in token and "/" not in token or (first and not first.isascii() and first.isalpha() and "://" not in token) and rest[0] not in ",;:" else -1
         ahead = rest.lstrip()[:1]
         if ahead in ",;:":
             return -1
@@ -363,11 +364,11 @@ def _ends(text: str, m: re.Match, ev: Evidence) -> int:
         return -1 if first.islower() and not _NAMELIKE.match(nxt) else close
     if "…" in marks or len(marks) > 1:
         if not rest[0].isspace():
-            return close if first.isupper() and text[at - 1].isalnum() and len(nxt) > 1 and nxt[1].islower() else -1
+            return close if first.isupper() else -1
         if first.islower() and not _NAMELIKE.match(nxt):
             return -1
         return close
-    return close if _stop_ends(text, at, close, ev) else -1
+    return close if _stop_ends(text, at, close, ev, start) else -1
 
 
 def sentences(text: str, ev: Evidence) -> list[int]:
@@ -390,11 +391,11 @@ def sentences(text: str, ev: Evidence) -> list[int]:
             nxt = _NEXT.match(rest)[1]
             if not rest.strip():
                 continue
-            if rest[0].isspace() and nxt[:1] and not nxt[:1].islower() and not nxt[:1].isdigit() and rest.lstrip()[:1] not in "—–-,;:" and (text[m.start()] != "." or _stop_ends(text, m.start(), closer + 1, ev)):
+            if rest[0].isspace() and nxt[:1] and not nxt[:1].islower() and not nxt[:1].isdigit() and rest.lstrip()[:1] not in "—–-,;:" and (text[m.start()] != "." or _stop_ends(text, m.start(), closer + 1, ev, starts[-1])):
                 if text[inner[k][0]] in "(（[【" or inner[k][0] <= starts[-1] + 1 or text[m.start()] in ".!?":
                     starts.append(closer + 1)
             continue
-        place = _ends(text, m, ev)
+        place = _ends(text, m, ev, starts[-1])
         if place > 0 and text[place:].strip():
             starts.append(place)
     if re.search(r"[฀-๿]", text):

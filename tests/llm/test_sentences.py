@@ -20,7 +20,7 @@ def units(text, corpus=None):
         ("Set it to .5 or 0.8, never to 18. lo, eth1, etc. are skipped.", 2), ("It loops. osp_x() returns early. eth1.2 comes up. iBGP-style meshes work.", 4), ("See https://a.example/x?y=1!Z. Done.", 2), ("Mr. Holm of Oster Ltd. asked for it.", 1),
         ("Im 12. Lauf trat z. B. das auf. Am 16. März nicht mehr.", 2), ("Das dauert 0,5 s. Bei uns nicht.", 2), ("Das betrifft Marken usw. Der Nachbar, vgl. doc/x.md ist weg d. h. stumm.", 2), ("»Nicht anfassen!« steht im Kommentar. Gut.", 2),
         ("Le Dr Holm et M. Dahl l'ont vu. Quelle lenteur ! Cela prend env. 5 ms.", 3), ("« Tout est revenu ! » a écrit le testeur.", 1), ("¿Quién revisó #2? preguntó alguien. El Sr. Holm usa EE. UU. y p. ej. más. ¡Por fin!", 3),
-        ("В 2024 г. опцию убрали, в 2025 г. вернули. А. В. Holm проверил. Правка и т. д. Просто висит... x_y() даёт ошибку.", 5), ("Ποιος είδε το #6; Η μνήμη π.χ. αυξάνεται.", 2), ("डॉ. Holm ने जाँचा। यह ठीक है॥", 2), ('भेजें! "fast x" के साथ नहीं॥', 2), ("Vol. 2, pp. 4-5 covers it.The rest.", 2),
+        ("В 2024 г. опцию убрали, в 2025 г. вернули. А. В. Holm проверил. Правка и т. д. Просто висит... x_y() даёт ошибку.", 5), ("Ποιος είδε το #6; Η μνήμη π.χ. αυξάνεται.", 2), ("डॉ. Holm ने जाँचा। यह ठीक है॥", 2), ('भेजें! "fast x" के साथ नहीं॥', 2), ("Vol. 2, pp. 4-5 covers it.The rest.", 2), ("Quelle lenteur !Est-ce lié ?Le reste, etc.Rien. Es hängt ...Ab jetzt 0,5 s.Wer? See </s>.A gain of 3 dB.NOTE: x.Dr. Holm was here.", 11), ('It stops (see a/b.c).The "Go!" button does nothing. Set `x`.Then wait.', 4),
         ("يستغرق ذلك نحو 33.51 ثانية. من راجع #1؟ راجع د. Holm الملف.", 3), ("真的吗？！又断开了。“不要动它！”注释里写着。没有……至少这里没有。", 4), ("「また落ちました。」と書いています。（空です。）。ただ止まるだけです……。", 3),
         ("ทำไมเส้นทางยังอยู่ในตาราง ใครตรวจ#18055แล้วบ้างครับ", 2), ("... and then it restarts. Next.", 2), ("", 0), (None, 0), (" \n\t ", 0), ("?! ---", 0),
     ],
