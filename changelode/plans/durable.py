@@ -12,10 +12,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder is used; on a cluster that would be lost with its machine.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs
+    on one machine, as in tests, a temporary folder is used; on a cluster it would be lost with
+    its machine, so there an unset folder is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get(CHECKPOINT_KEY, None) or tempfile.mkdtemp(prefix="changelode-"))
+        folder = df.sparkSession.conf.get(CHECKPOINT_KEY, None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="changelode-"))
     return df.checkpoint(eager=True)
