@@ -12,7 +12,7 @@ item whose passage spans a quarter of the item.
 The held-out set has a fixed size, which is checked; it travels to the shards, never the other
 way round. Shards are independent, so the training text is read once and not shuffled.
 
-Defined results: null or empty texts and items match nothing; repeated rows count once;
+Defined results: null or empty texts and items, and rows without an id, match nothing; repeated rows count once;
 identical documents are all reported, under their own ids.
 """
 
@@ -248,7 +248,7 @@ def leaks(documents: DataFrame, eval_keys: DataFrame) -> DataFrame:
             for _, shard in b.groupby((size // (4 * SHARD_WORDS)).astype("int64")):
                 yield pd.DataFrame(_leaks(shard, items), columns=["doc_id", "item_id", "share", "matched_words"])
 
-    texts = documents.select("doc_id", "text").where("text is not null and text != ''")
+    texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text != ''")
     out = spread(texts, "doc_id").mapInPandas(run, "doc_id bigint, item_id bigint, share double, matched_words bigint")
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("matched_words").alias("matched_words"))
 

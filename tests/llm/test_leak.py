@@ -73,9 +73,9 @@ def test_commit_ids():
 def test_operator(spark):
     rng = random.Random(6)
     w = " ".join(item(rng))
-    docs = spark.createDataFrame([(1, w), (1, w), (2, w), (3, None), (4, "x" * 200000)], "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "2 AS share")
+    docs = spark.createDataFrame([(1, w), (1, w), (2, w), (3, None), (4, "x" * 200000), (None, w), (2**60 + 1, w)], "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "2 AS share")
     keys = spark.createDataFrame([(5, w, []), (5, w, []), (None, w, []), (6, None, None)], "item_id bigint, body string, fixing_shas array<string>")
     out = leak.leaks(docs, keys)
-    assert sorted((r.doc_id, r.item_id, r.share) for r in out.collect()) == [(1, 5, 1.0), (2, 5, 1.0)]
-    assert sorted(r.doc_id for r in leak.without_leaks(docs, out).collect()) == [3, 4]
+    assert sorted((r.doc_id, r.item_id, r.share) for r in out.collect()) == [(1, 5, 1.0), (2, 5, 1.0), (2**60 + 1, 5, 1.0)]
+    assert sorted(r.doc_id for r in leak.without_leaks(docs, out).where("doc_id is not null").collect()) == [3, 4]
     assert leak.leaks(docs.limit(0), keys).count() == 0 and leak.leaks(docs, keys.limit(0)).count() == 0
