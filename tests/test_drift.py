@@ -42,6 +42,13 @@ def test_streams_repeats_and_empty(spark):
     assert found(a.limit(0)) == []
 
 
+def test_nulls_and_clashing_columns(spark):
+    rows = [("s", "f0", None, None, '{"a": 1}'), ("s", "f1", datetime(2025, 1, 1), 1, '{"a": true}'), (None, "f2", None, 2, '{"a": 1}'), ("s", None, None, 3, '{"a": 1}'), ("s", "f1", datetime(2025, 1, 1), 2, '{"a": "' + "x" * 200000 + '"}')]
+    df = spark.createDataFrame(rows, DDL).selectExpr("*", "'c' AS path", "1 AS old", "2 AS types", "3 AS week", "4 AS next_name", "5 AS value")
+    assert found(df) == [("f1", "type_changed", "a", "")]
+    assert drift.canonical(df).count() == 5 and drift.canonical(df.limit(0)).count() == 0
+
+
 def test_canonical_branches(spark):
     rows = {r.field_path: r for r in drift.canonical(files(spark, [{"n": 1, "t": "x", "f": False, "m": 1735689600, "a": [1, "b"], "o": [{"q": None, "r": "1"}]}, "bad"])).collect()}
     assert rows["n"].as_number == 1 and rows["t"].as_string == "x" and rows["f"].value == "false"

@@ -84,7 +84,7 @@ def test_random_nesting_equals_a_walk():
 
 def test_tables(spark):
     rows = [(i, p) for i, p in enumerate(PAYLOADS)] + [(6, PAYLOADS[6]), (None, PAYLOADS[5])]
-    df = spark.createDataFrame(rows, "record_id bigint, payload string").withColumnRenamed("payload", "payload")
+    df = spark.createDataFrame(rows, "record_id bigint, payload string").selectExpr("*", "'c' AS level", "1 AS pos", "2 AS path")
     found = {tuple(r) for r in shred.flat_positions(df).collect()}
     assert found == {(i, *x) for i, p in enumerate(PAYLOADS) for x in brute(p)}
     table = {(r.record_id, r.parent_pos, r.pos): r.path for r in shred.flat_table(df, "path_overlap").collect()}
