@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,17 +64,22 @@ def readable(raw: str | None) -> dict | None:
     return value if isinstance(value, dict) else None
 
 
+TAGS = {t: 1 << i for i, t in enumerate(("string", "boolean", "number", "object", "array"))}
+KIND_PLACE = {k: i for i, k in enumerate(KINDS)}
+
+
 def fuse(value: dict, into: dict[str, list], at: str = "") -> None:
-    """Adds one object's tagged paths to ``into``: path -> [count, types, kinds, total length]."""
+    """Adds one object's tagged paths to ``into``: path -> [count, tags, total length, kinds]."""
     for name, x in value.items():
         if x is None:
             continue
         path = f"{at}.{name}" if at else name
-        entry = into[path]
+        if (entry := into.get(path)) is None:
+            entry = into[path] = [0, 0, 0, [0] * len(KINDS)]
         entry[0] += 1
-        entry[1].add(TYPES[type(x)])
-        entry[2][kind_of(x)] += 1
-        entry[3] += len(x) if isinstance(x, (str, list, dict)) else len(str(x))
+        entry[1] |= TAGS[TYPES[type(x)]]
+        entry[2] += len(x) if isinstance(x, (str, list, dict)) else len(str(x))
+        entry[3][KIND_PLACE[kind_of(x)]] += 1
         if isinstance(x, dict):
             fuse(x, into, path)
         elif isinstance(x, list):
@@ -88,33 +94,26 @@ def _fuse_items(items: list, into: dict[str, list], at: str) -> None:
             _fuse_items(item, into, at + "[]")
 
 
-def _empty() -> dict[str, list]:
-    return defaultdict(lambda: [0, set(), defaultdict(int), 0])
-
-
 def shapes(bundles: DataFrame) -> DataFrame:
-    """One row for each file and path: types, count, kinds and total length of its values."""
+    """One row for each file and path: tags of its types as bits, count, length and kinds of its values."""
+    counts = ["n", "types", "size", *KINDS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for (stream, file), lines in b.groupby(["stream", "file_name"])["raw"]:
-                paths = _empty()
-                lines_read = 0
-                for raw in lines:
-                    if (obj := readable(raw)) is not None:
-                        lines_read += 1
-                        fuse(obj, paths)
-                rows += [(stream, file, p, sorted(t), n, dict(k), size, lines_read) for p, (n, t, k, size) in paths.items()]
-            yield pd.DataFrame(rows, columns=["stream", "file_name", "path", "types", "n", "kinds", "size", "lines"])
-
-    partial = bundles.where("stream is not null and file_name is not null").select("stream", "file_name", "raw").mapInPandas(
-        run, "stream string, file_name string, path string, types array<string>, n bigint, kinds map<string,bigint>, size bigint, lines bigint"
-    )
-    kinds = [F.sum(F.coalesce(F.col("kinds")[k], F.lit(0))).alias(k) for k in KINDS]
+            files: dict[tuple[str, str], dict[str, list]] = defaultdict(dict)
+            for stream, file, raw in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (obj := readable(raw)) is not None:
+                    fuse(obj, files[stream, file])
+            rows = [(stream, file, path, n, tags, size, *kinds) for (stream, file), paths in files.items() for path, (n, tags, size, kinds) in paths.items()]
+            columns = list(zip(*rows)) or [()] * (3 + len(counts))
+            arrays = [pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["stream", "file_name", "path", *counts])
+
+    ddl = "stream string, file_name string, path string, " + ", ".join(f"`{c}` bigint" for c in counts)
+    partial = bundles.where("stream is not null and file_name is not null and raw is not null").select("stream", "file_name", "raw").mapInArrow(run, ddl)
     return (
         partial.groupBy("stream", "file_name", "path")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"), F.sum("n").alias("n"), F.sum("size").alias("size"), *kinds)
+        .agg(F.bit_or("types").alias("types"), F.sum("n").alias("n"), F.sum("size").alias("size"), *[F.sum(k).alias(k) for k in KINDS])
         .select("stream", "file_name", "path", F.struct("types", "n", "size", F.array(*KINDS).alias("kinds")).alias("shape"))
     )
 
@@ -174,7 +173,7 @@ def alike(old: Any, new: Any, old_path: str, new_path: str, removed: set[str], a
     must share fields. Beyond that, shared words of the names, similar lengths and similar
     presence decide between several.
     """
-    if list(old["types"]) != list(new["types"]):
+    if old["types"] != new["types"]:
         return 0.0
     nested_old, nested_new = _under(removed, old_path), _under(added, new_path)
     if nested_old or nested_new:
@@ -227,7 +226,7 @@ def changes(rows: list[tuple[str, Any, Any]], apart: set[tuple[str, str]] | None
         news = [p for p in added if depth(p) == level and settled(p, gone_n)]
         for o in list(olds):  # kept under a renamed holder
             if moved(o) != o and moved(o) in news:
-                if list(removed[o]["types"]) != list(added[moved(o)]["types"]):
+                if removed[o]["types"] != added[moved(o)]["types"]:
                     out.append(("type_changed", moved(o), ""))
                 else:
                     renamed[o] = moved(o)
@@ -268,15 +267,15 @@ def drift(bundles: DataFrame) -> DataFrame:
     shape = durable(shapes(bundles))
     diff = durable(differences(shape, successors(bundles)))
 
-    def entries(pdf: pd.DataFrame) -> list[tuple[str, Any, Any]]:
-        ok = lambda v: v if isinstance(v, dict) else None
-        return sorted(((p, ok(o), ok(n)) for p, o, n in zip(pdf["path"], pdf["old"], pdf["new"])), key=lambda r: r[0])
+    # One row a file with all its differing paths; the schema bounds the row.
+    per_file = durable(diff.groupBy("stream", "file_name").agg(F.sort_array(F.collect_list(F.struct("path", "old", "new"))).alias("rows")))
 
-    def candidates(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = {(o, n) for c, n, o in changes(entries(pdf), None) if c == "candidate"}
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = sorted({(o, n) for rows in b.column(0).to_pylist() for c, n, o in changes(_entries(rows), None) if c == "candidate"})
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["a", "b"])
 
-    pairs = diff.groupBy("stream", "file_name").applyInPandas(candidates, "a string, b string").distinct()
+    pairs = per_file.select("rows").mapInArrow(candidates, "a string, b string").distinct()
     place = shape.select("stream", "file_name", "path")
     apart = (
         pairs.join(place.withColumnRenamed("path", "a"), "a")
@@ -290,17 +289,18 @@ def drift(bundles: DataFrame) -> DataFrame:
     )
     kept = own.groupBy("stream", "file_name").agg(F.collect_set(F.struct("a", "b")).alias("apart"))
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = pdf["apart"].iloc[0]
-        apart_here = {(x["a"], x["b"]) for x in sets} if sets is not None else set()
-        rows = [(pdf["file_name"].iloc[0], c, n, o) for c, n, o in changes(entries(pdf), apart_here)]
-        return pd.DataFrame(rows, columns=["file_name", "change", "field_path", "old_path"])
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[str, str, str, str]] = []
+            for file, rows, sets in zip(*(b.column(i).to_pylist() for i in range(3))):
+                out += [(file, *x) for x in changes(_entries(rows), {(x["a"], x["b"]) for x in sets or ()})]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(4)], names=["file_name", "change", "field_path", "old_path"])
 
-    return diff.join(kept, ["stream", "file_name"], "left").groupBy("stream", "file_name").applyInPandas(decide, "file_name string, change string, field_path string, old_path string")
+    return per_file.join(kept, ["stream", "file_name"], "left").select("file_name", "rows", "apart").mapInArrow(decide, "file_name string, change string, field_path string, old_path string")
 
 
-#: Canonical types: the widest tag that all alternatives of a path convert to.
-CANONICAL = {frozenset({"number"}): "double", frozenset({"boolean"}): "boolean", frozenset({"boolean", "number"}): "boolean"}
+def _entries(rows: list[dict]) -> list[tuple[str, Any, Any]]:
+    return [(r["path"], r["old"], r["new"]) for r in rows]
 
 
 def canonical(bundles: DataFrame) -> DataFrame:
