@@ -18,7 +18,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,13 +97,13 @@ def blocks(text: str) -> Iterator[Block]:
             else:
                 block.add(line, line_start)
             continue
-        if m := _FENCE.match(line):
+        if ("`" in line or "~" in line) and (m := _FENCE.match(line)):
             if block:
                 yield block
             block, fence = Block("code"), m[2][:3]
             block.add(line[m.end() :], line_start + m.end())
             continue
-        m = _QUOTE.match(line)
+        m = _QUOTE.match(line) if ">" in line or "+" in line or "|" in line else None
         cut = m.end() if m else 0
         mark = re.sub(r"\s", "", m[0]).lstrip("\ufeff") if m else ""
         body = line[cut:]
@@ -117,25 +117,26 @@ def blocks(text: str) -> Iterator[Block]:
                 continue
         bare = body.lstrip("\ufeff")
         kind = ""
-        if _HEADING.match(bare):
+        first, last = bare.lstrip()[:1], bare[-1:]
+        if first == "#" and _HEADING.match(bare):
             kind = "heading"
-        elif _LOG.match(bare) and (block is None or block.kind != "text"):
+        elif (block is None or block.kind != "text") and _LOG.match(bare):
             kind = "log"
-        elif _ATTRIBUTION.match(bare):
+        elif last == ":" and _ATTRIBUTION.match(bare):
             kind = "attribution"
-        elif _RULE.match(bare):
+        elif last in "=-*_~" and _RULE.match(bare):
             if block:
                 yield block
             block = None
             continue
-        elif _PICKED.match(bare):
+        elif first == "(" and _PICKED.match(bare):
             kind = "trailer"
             if block:
                 yield block
             block = None
-        elif _TRAILER.match(bare) and (block is None or block.kind != "text"):
+        elif (block is None or block.kind != "text") and _TRAILER.match(bare):
             kind = "trailer"
-        elif _ITEM.match(bare) and (block is None or block.kind != "text"):
+        elif (block is None or block.kind != "text") and _ITEM.match(bare):
             kind = "item"
         if kind:
             if block:
@@ -156,6 +157,15 @@ def blocks(text: str) -> Iterator[Block]:
 # --------------------------------------------------------------------- sentences
 
 _CANDIDATE = re.compile(r"[.!?…。！？｡．।॥؟۔;;]+")
+_INK = re.compile(r"\S")
+_LETTER_ONLY = re.compile(r"[^\W\d_]")
+_DOTTED_WORD = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_SMALL_NUMBER = re.compile(r"\d{1,3}")
+_NUMERIC = re.compile(r"v?\d+(?:\.\d+)*|#?[A-Za-z]?\d+")
+_LETTERS_END = re.compile(r"[^\W\d_]+$")
+_TAIL = re.compile(r"[^\W\d_]+$|[)%]$")
+_NUMBER_BEFORE = re.compile(r"\d[\s\xa0]$")
+_TWICE = re.compile(r"([A-Z])\1")
 _CLOSER = "\"'”’»«“)]}）】」』〉》›〗＂"
 _OPENER = "\"'“„‚«»‘([{（【「『〈《¿¡‹›"
 _ALWAYS = set("。！？｡।॥؟۔")
@@ -164,19 +174,31 @@ _QUOTES = "\"'“„‚«「『"
 _CASELESS = re.compile(r"[\u0590-\u0dff\u0e00-\u0fff\u3040-\u9fff]")
 _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
+_THAI = re.compile(r"[฀-๿]")
 _THAI_END = re.compile(r"(?<=[฀-๿])[ \t\n\u3000]+(?=[\"'“(]?(?:[฀-๿]|[A-ZÀ-Þ#]|[a-z]+[_(]))")
-_TOKEN_BEFORE = re.compile(r"[^\s\"'“”„«»()\[\]{}（）「」]*$")
+_TOKEN_EDGE = frozenset("\"'“”„«»()[]{}（）「」")
 _NEXT = re.compile(r"\s*[\"'“”„«»‘’(\[{（「『¿¡—–*_>\s-]*([^\s]*)")
 #: Small-written words that can begin a sentence: identifiers, paths, mixed case, a list's first item.
 _IDENTIFIER = re.compile(r"^(?:[\w.:/-]*(?:[_/()]|\d)|[a-z]+[A-Z]|[a-z]{1,4},$)")
 _NAMELIKE = re.compile(r"^(?:[\w./:-]*[_()/]|[a-z]+\d|[a-z]+[A-Z]|[a-z]{1,4},$)")
 
 
+_OPENING = re.compile(r"[\"'“„«»「『(（\[【‘《‹]")
+
+
+def _token(text: str, low: int, at: int) -> str:
+    """What stands before a place, back to a blank, quote or bracket."""
+    k = at
+    while k > low and not (text[k - 1].isspace() or text[k - 1] in _TOKEN_EDGE):
+        k -= 1
+    return text[k:at]
+
+
 def spans(text: str) -> list[tuple[int, int]]:
     """Quoted and bracketed stretches of a paragraph, outermost only: (first place, place of the closer)."""
     out: list[tuple[int, int]] = []
     i, n = 0, len(text)
-    if not re.search(r"[\"'“„«»「『(（\[【‘《‹]", text):
+    if not _OPENING.search(text):
         return out
     while i < n:
         ch = text[i]
@@ -219,33 +241,45 @@ def _bracket(text: str, i: int, a: str, b: str) -> int:
     return -1
 
 
+_SHORT = re.compile(
+    r"(?<!\w)([^\W\d_]{1,6})(?:(?![\w.])|\.((?:[ \t]+|[ \t]*\r?\n[ \t>]*)[a-zà-öø-ÿа-яёα-ωά-ώ]+(?=\s))?)"
+)
+
+
 class Evidence:
     """What a document itself says on words and stops, read when first asked."""
 
     def __init__(self, text: str, corpus: "Corpus") -> None:
-        self.text, self.corpus, self._plain, self._abbr = text, corpus, {}, {}
+        self.text, self.corpus, self._proper = text, corpus, {}
+        self._stopped: set[str] | None = None
 
     def abbreviation(self, word: str) -> bool:
-        if word not in self._abbr:
-            w = re.escape(word)
-            stopped = re.search(rf"(?<!\w)(?i:{w})\.(?:[ \t]+|[ \t]*\r?\n[ \t>]*)[a-zà-öø-ÿа-яёα-ωά-ώ]+(?=\s)", self.text) is not None
-            plain = re.search(rf"(?<!\w){w}(?![\w.])", self.text, re.I) is not None
-            if stopped and not plain and len(word) <= 6:
-                self._abbr[word] = not self.corpus.is_plain(word)
-            elif plain:
-                self._abbr[word] = False
-            else:
-                self._abbr[word] = self.corpus.is_abbreviation(word)
-        return self._abbr[word]
+        """Whether a short word with a stop is an abbreviation: by this document, else by the corpus.
+
+        A word that is plain in the corpus is none either way, so the document is not read for it.
+        """
+        if self.corpus.is_plain(word):
+            return False
+        if self._stopped is None:
+            self._stopped, self._plain = set(), set()
+            for m in _SHORT.finditer(self.text):
+                if m[2]:
+                    self._stopped.add(m[1].lower())
+                elif m.end() == m.end(1):
+                    self._plain.add(m[1].lower())
+        low = word.lower()
+        if low in self._plain:
+            return False
+        return low in self._stopped or self.corpus.is_abbreviation(word)
 
     def proper(self, word: str) -> bool:
         """Whether ``word`` stands large inside a sentence, and never small."""
-        if word not in self._plain:
+        if word not in self._proper:
             w = re.escape(word)
             inside = re.search(rf"[a-zà-ÿа-яё,] {w}(?!\w)", self.text) is not None
             small = re.search(rf"(?<!\w){re.escape(word[:1].lower() + word[1:])}(?!\w)", self.text) is not None
-            self._plain[word] = inside and not small
-        return self._plain[word]
+            self._proper[word] = inside and not small
+        return self._proper[word]
 
 
 class Corpus:
@@ -261,37 +295,35 @@ class Corpus:
         return word.lower() in self.plain
 
 
-def _stop_ends(text: str, at: int, end: int, ev: Evidence, start: int = 0) -> bool:
+def _stop_ends(text: str, at: int, end: int, ev: Evidence, start: int = 0, nxt: str | None = None) -> bool:
     """Whether the full stop at ``at`` ends a sentence, given what stands around it."""
     if end >= len(text):
         return True
-    before = _TOKEN_BEFORE.search(text, max(start, at - 60), at)[0]
-    after = text[end:]
-    spaced = after[0].isspace()
-    m = _NEXT.match(after)
-    nxt = m[1] if m else ""
+    spaced = text[end].isspace()
+    if nxt is None:
+        nxt = _NEXT.match(text, end, end + 120)[1]
     first = nxt[:1]
     if not nxt:
         return True
-    word = before.lstrip("#*_-–—…")
+    word = _token(text, max(start, at - 60), at).lstrip("#*_-–—…")
     low = word.lower()
     if not spaced:
         if end > at + 1:  # a closing mark in between
             return False
-        if (re.fullmatch(r"v?\d+(?:\.\d+)*|#?[A-Za-z]?\d+", word) or text[at - 1] in ")]}>`»”") and first.isupper():
+        if (_NUMERIC.fullmatch(word) or text[at - 1] in ")]}>`»”") and first.isupper():
             return True
-        tail = re.search(r"[^\W\d_]+$|[)%]$", word)
+        tail = _TAIL.search(word)
         if not tail or "/" in word or "@" in word or "://" in word or "_" in word:
             return False
-        unit = len(tail[0]) == 1 and re.search(r"\d[\s\xa0]$", text[max(0, at - 3) : at - 1]) is not None
+        unit = len(tail[0]) == 1 and _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1]) is not None
         if first.isupper() and (len(tail[0]) > 1 or tail[0] in ")%" or unit) and low not in BEFORE_WORD and "." not in word:
             return True
         return len(tail[0]) > 2 and first.isalpha() and not first.isupper() and not first.islower() and not first.isascii() and "." not in word
-    if (m2 := SPACED.search(text[max(0, at - 10) : at])) is not None:
+    if (len(word) <= 2 or "." in word) and (m2 := SPACED.search(text[max(0, at - 10) : at])) is not None:
         if m2[1]:
             return False
         return _opens(nxt, ev)
-    if re.fullmatch(r"[^\W\d_]", word) and not re.search(r"\d[\s\xa0]$", text[max(0, at - 3) : at - 1]):
+    if _LETTER_ONLY.fullmatch(word) and not _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1]):
         if word.islower() and word.isascii() is False and first.isupper() and low in MAY_END:
             return _opens(nxt, ev)
         if low in MAY_END and not first.isupper():
@@ -301,26 +333,26 @@ def _stop_ends(text: str, at: int, end: int, ev: Evidence, start: int = 0) -> bo
         return not (first.isalpha() or first.isdigit()) if word.isupper() or low in BEFORE_NUMBER or low in BEFORE_WORD or len(word) == 1 else True
     if _DEVANAGARI.search(word[-1:]) if word else False:
         return len(word) > 5 and "।" not in text
-    if low in BEFORE_WORD or (re.fullmatch(r"([A-Z])\1", word) and re.match(r"([A-Z])\1\.", nxt)):
+    if low in BEFORE_WORD or (_TWICE.fullmatch(word) and re.match(r"([A-Z])\1\.", nxt)):
         return False
     if low in BEFORE_NUMBER and len(low) > 1:
         if first.isdigit() or re.match(r"^[IVXLC]+\b", nxt):
             return False
         return _opens(nxt, ev)
-    if low in MAY_END or re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
+    if low in MAY_END or _DOTTED_WORD.fullmatch(word):
         return _opens(nxt, ev)
-    if re.fullmatch(r"\d{1,3}", word) and first.isalpha():
+    if _SMALL_NUMBER.fullmatch(word) and first.isalpha():
         lead = re.search(r"([^\W\d_]+)\s+\d{1,3}$", text[max(0, at - 24) : at])
         if (first.islower() and not _NAMELIKE.match(nxt)) or (lead and lead[1].lower() in ARTICLES and first.isupper()) or re.match(r"[^\W\d_]*", nxt)[0].lower() in MONTHS:
             return False
         return True
-    letters = re.search(r"[^\W\d_]+$", word)
+    letters = _LETTERS_END.search(word)
     if letters and letters[0] == word and len(word) <= 6 and ev.abbreviation(word):
         return False
     if first.islower() and not _IDENTIFIER.match(nxt):
         # A plain small word follows: an end only after an ordinary word, mark or path.
         if letters is None:
-            return not re.search(r"\d$", word)
+            return not word[-1:].isdigit()
         return len(letters[0]) > 2 or "/" in word
     return True
 
@@ -343,17 +375,17 @@ def _ends(text: str, m: re.Match, ev: Evidence, start: int = 0) -> int:
     close = end
     while close < len(text) and text[close] in _CLOSER and not (text[close] in "“„«»\"'" and (close + 1 < len(text) and text[close + 1].isalnum()) and text[close - 1] in ".!?…" and text[close] != "”"):
         close += 1
-    rest = text[close : close + 80]
-    if not rest.strip():
-        return close
-    if any(c in _ALWAYS for c in marks):
+    if close >= len(text) or marks[0] in _ALWAYS or (len(marks) > 1 and not _ALWAYS.isdisjoint(marks)) or not _INK.search(text, close):
         return close
-    nxt = m2[1] if (m2 := _NEXT.match(rest)) else ""
+    nxt = _NEXT.match(text, close, close + 120)[1]
+    if marks == ".":
+        return close if _stop_ends(text, at, close, ev, start, nxt) else -1
+    rest = text[close : close + 80]
     first = nxt[:1]
     if marks[-1] in ";;":
         return close if _GREEK.search(text[max(0, at - 40) : at]) and rest[0].isspace() and not first.islower() else -1
     if "!" in marks or "?" in marks:
-        token = _TOKEN_BEFORE.search(text, max(start, at - 120), at)[0]
+        token = _token(text, max(start, at - 120), at)
         if not rest[0].isspace():
             return close if first.isupper() and "://" not in token and "/" not in token or (first and not first.isascii() and first.isalpha() and "://" not in token) and rest[0] not in ",;:" else -1
         ahead = rest.lstrip()[:1]
@@ -378,7 +410,7 @@ def sentences(text: str, ev: Evidence) -> list[int]:
     for m in _CANDIDATE.finditer(text):
         if m.start() < starts[-1]:
             continue
-        if not text[starts[-1] : m.start()].strip(" \t\n" + _OPENER):
+        if m.start() - starts[-1] < 40 and not text[starts[-1] : m.start()].strip(" \t\n" + _OPENER):
             continue  # leading marks belong to what follows
         while k < len(inner) and inner[k][1] < m.start():
             k += 1
@@ -387,7 +419,7 @@ def sentences(text: str, ev: Evidence) -> list[int]:
             closer = inner[k][1]
             if m.end() != closer or text[closer] in "”」』）】" and closer + 1 < len(text) and not text[closer + 1].isspace():
                 continue
-            rest = text[closer + 1 :]
+            rest = text[closer + 1 : closer + 121]
             nxt = _NEXT.match(rest)[1]
             if not rest.strip():
                 continue
@@ -396,9 +428,9 @@ def sentences(text: str, ev: Evidence) -> list[int]:
                     starts.append(closer + 1)
             continue
         place = _ends(text, m, ev, starts[-1])
-        if place > 0 and text[place:].strip():
+        if place > 0 and _INK.search(text, place):
             starts.append(place)
-    if re.search(r"[฀-๿]", text):
+    if _THAI.search(text):
         inside = lambda p: any(a < p < b for a, b in inner)
         starts = sorted({*starts, *(m.end() for m in _THAI_END.finditer(text) if not inside(m.start()))})
     return starts
@@ -421,30 +453,37 @@ def unit_starts(text: str | None, corpus: Corpus | None = None) -> list[int]:
 
 # --------------------------------------------------------------------- operators
 
-_COUNTED = re.compile(r"(?<![\w.])([^\W\d_]{2,6})(\.(?=\s+([^\W\d_])?))?(?![\w])")
+HELD = 100_000  # words a task counts before it passes them on
 
 
 def stop_counts(documents: DataFrame) -> DataFrame:
     """(word, stopped_small, stopped, plain): counts over all documents, fused in batches first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small, stopped, plain = Counter(), Counter(), Counter()
         for b in batches:
-            small, stopped, plain = Counter(), Counter(), Counter()
-            for text in b["text"]:
-                if text:
-                    for w, stop, nxt in _COUNTED.findall(text):
-                        if not stop:
-                            plain[w] += 1
-                        else:
-                            stopped[w] += 1
-                            small[w] += nxt.islower()
-            low: dict[str, list[int]] = {}
-            for i, c in enumerate((small, stopped, plain)):
-                for w, n in c.items():
+            for text in b.column(0).to_pylist():
+                tokens = text.split()
+                plain.update(filter(str.isalpha, tokens))
+                for token, after in zip(tokens, [*tokens[1:], ""]):
+                    if token[-1] == "." and token[:-1].isalpha():
+                        stopped[token[:-1]] += 1
+                        small[token[:-1]] += after[:1].islower()
+            if len(plain) + len(stopped) > HELD:
+                yield table(small, stopped, plain)
+                small, stopped, plain = Counter(), Counter(), Counter()
+        yield table(small, stopped, plain)
+
+    def table(*counters: Counter) -> pa.RecordBatch:
+        low: dict[str, list[int]] = {}
+        for i, c in enumerate(counters):
+            for w, n in c.items():
+                if 1 < len(w) < 7:
                     low.setdefault(w.lower(), [0, 0, 0])[i] += n
-            yield pd.DataFrame([(w, *n) for w, n in low.items()], columns=["word", "stopped_small", "stopped", "plain"])
+        arrays = [pa.array(list(low), pa.string()), *(pa.array([n[i] for n in low.values()], pa.int64()) for i in range(3))]
+        return pa.RecordBatch.from_arrays(arrays, names=["word", "stopped_small", "stopped", "plain"])
 
-    counted = spread(documents.select("text").where("text is not null")).mapInPandas(run, "word string, stopped_small bigint, stopped bigint, plain bigint")
+    counted = spread(documents.select("text").where("text is not null")).mapInArrow(run, "word string, stopped_small bigint, stopped bigint, plain bigint")
     return counted.groupBy("word").agg(F.sum("stopped_small").alias("stopped_small"), F.sum("stopped").alias("stopped"), F.sum("plain").alias("plain"))
 
 
@@ -462,22 +501,24 @@ def corpus_evidence(documents: DataFrame) -> Corpus:
     least = max(5, total // 1_000_000 + 1)
     often = counts.where(F.col("stopped") + F.col("plain") >= least)
     abbreviations = often.where((F.col("stopped_small") >= 5) & (F.col("stopped_small") >= 0.4 * F.col("stopped")) & (F.col("plain") <= 0.2 * F.col("stopped")))
-    plain = often.where((F.col("plain") >= 0.1 * F.col("stopped")) & (F.col("stopped_small") > 0))
-    return Corpus({r[0] for r in abbreviations.select("word").collect()}, {r[0] for r in plain.select("word").collect()})
+    plain = often.where(F.col("plain") >= 0.1 * F.col("stopped"))
+    found = {r[0] for r in abbreviations.select("word").collect()}
+    return Corpus(found, {r[0] for r in plain.select("word").collect()} - found)
 
 
 def sentence_starts(documents: DataFrame, corpus: Corpus | None = None) -> DataFrame:
     """(doc_id, start_pos): one row for each unit; positions count characters from 1."""
     shared = documents.sparkSession.sparkContext.broadcast(corpus if corpus is not None else corpus_evidence(documents))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, places = [], []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                got = unit_starts(text, shared.value)
-                ids += [doc] * len(got)
-                places += [p + 1 for p in got]
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "start_pos": pd.Series(places, dtype="int64")})
+            for lo in range(0, b.num_rows, 2000):
+                ids, places = [], []
+                for doc, text in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
+                    got = unit_starts(text, shared.value)
+                    ids += [doc] * len(got)
+                    places += [p + 1 for p in got]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["doc_id", "start_pos"])
 
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text != ''")
-    return spread(texts, "doc_id").mapInPandas(run, "doc_id bigint, start_pos bigint")
+    return spread(texts, "doc_id").mapInArrow(run, "doc_id bigint, start_pos bigint")
