@@ -9,8 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Words that cannot name a C function, and macro-like names.
-NO_SYMBOL = set("if for while switch return sizeof else do case goto typedef struct union enum static extern inline const void int char long short unsigned signed main DEFUN DEFPY ALIAS DEFUN_NOSH DEFPY_NOSH DEFPY_YANG DEFUN_HIDDEN DEFUN_YANG".split())
+# Words and macros that name no C function, words that begin no definition, and
+# lines that say nothing.
+NO_SYMBOL = [
+    "if", "for", "while", "switch", "return", "sizeof", "typeof", "struct", "union", "enum", "typedef", "else", "do", "case", "default", "main",
+    "DEFUN", "DEFUN_NOSH", "DEFUN_HIDDEN", "ALIAS", "INSTALL_ELEMENT", "DEFPY", "DEFINE_HOOK", "DECLARE_HOOK", "HOOK_REGISTER", "MEMTYPE_DECLARE",
+]
+NO_DEFINITION = ["return", "if", "for", "while", "switch", "case", "else", "goto", "break", "continue", "typedef"]
+NOTHING = ["{", "}", "};", "()", "{}", "[]", "(", ")", ";", "else", "else {"]
 SUBSTANTIVE_LEAST = 3
 
 
@@ -37,7 +43,7 @@ def numstat(text: Column) -> Column:
 def substantive(line: Column) -> Column:
     """A changed line trimmed, or null if it says nothing: braces, ``else``, comments, under three bytes."""
     t = F.regexp_replace(line, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
-    nothing = t.isin("{", "}", "};", "else", "else {", "} else {") | t.startswith("//") | t.startswith("/*") | t.startswith("*") | (F.octet_length(t) < SUBSTANTIVE_LEAST)
+    nothing = t.isin(NOTHING) | t.startswith("//") | t.startswith("/*") | t.startswith("*") | (F.octet_length(t) < SUBSTANTIVE_LEAST)
     return F.when(~nothing, t)
 
 
@@ -52,8 +58,28 @@ def symbol(signature: str) -> str:
     return m[1] if m and valid_symbol(m[1]) else ""
 
 
+def defines(entries: list[tuple[str, str, int, int, str]], i: int) -> str:
+    """The function that an added line begins to define, or nothing.
+
+    No statement, assignment or control word, and an opening brace at its end or at the start
+    of one of the next three lines before any statement.
+    """
+    line = entries[i][4].strip()
+    if not line or ";" in line or "=" in line or line.startswith(("//", "/*", "*")) or re.match(rf"(?:{'|'.join(NO_DEFINITION)})(?:[ (]|$)", line) or not _DEFINITION.match(line):
+        return ""
+    name = symbol(line)
+    if not name or line.endswith("{"):
+        return name
+    for kind, _, _, _, text in entries[i + 1 : i + 4]:
+        if kind == "@" or (text := text.strip()).startswith("{"):
+            return name if kind != "@" else ""
+        if ";" in text:
+            break
+    return ""
+
+
 def valid_symbol(name: str) -> bool:
-    return len(name) >= 2 and name not in NO_SYMBOL and not (name.isupper() and "_" not in name and len(name) > 3)
+    return len(name) >= 2 and name not in NO_SYMBOL
 
 
 def walk(diff: str) -> Iterator[tuple[str, str, int, int, str]]:
@@ -98,10 +124,8 @@ def symbols(diff: str) -> list[tuple[str, str]]:
             continue
         if kind == "@" and (name := symbol(text)):
             out.add((path, name))
-        elif kind == "+" and text[:1] not in (" ", "\t", "#", "") and ";" not in text and "=" not in text and _DEFINITION.match(text) and (name := symbol(text)):
-            nearby = [text, *(e[4] for e in entries[i + 1 : i + 4] if e[0] in "+ " and e[1] == path)]
-            if any("{" in x for x in nearby):
-                out.add((path, name))
+        elif kind == "+" and (name := defines(entries, i)):
+            out.add((path, name))
     return sorted(out)
 
 

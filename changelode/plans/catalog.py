@@ -530,7 +530,7 @@ TRIMMED = r"regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 
 
 @register(
-    f"""SELECT doc_id, count(*) AS lines, count_if(NOT (t IN ('{{', '}}', '}};', 'else', 'else {{', '}} else {{') OR starts_with(t, '//') OR starts_with(t, '/*') OR starts_with(t, '*') OR strlen(t) < 3)) AS substantive
+    f"""SELECT doc_id, count(*) AS lines, count_if(NOT (t IN ('{{', '}}', '}};', '()', '{{}}', '[]', '(', ')', ';', 'else', 'else {{') OR starts_with(t, '//') OR starts_with(t, '/*') OR starts_with(t, '*') OR strlen(t) < 3)) AS substantive
  FROM (SELECT doc_id, {TRIMMED} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL)) GROUP BY doc_id"""
 )
 def substantive_lines(s: SparkSession, d: str) -> DataFrame:

@@ -144,6 +144,18 @@ diff --git a/y.py b/y.py
 """
 
 
+@pytest.mark.parametrize(
+    "lines, name",
+    [
+        (["int foo_bar(int a)", "{"], "foo_bar"), (["static void *make_it(void) {"], "make_it"), (["int proto(void);"], ""), (["x = call(y)"], ""), (["if (go(x))", "{"], ""), (["return go(x)", "{"], ""),
+        (["int late(int a,", "         int b)", "{"], "late"), (["int gone(void)", "x();", "{"], ""), (["int far(void)", "", "", "", "{"], ""), (["DEFUN(show_it)", "{"], ""), (["int main(void)", "{"], ""),
+    ],
+)
+def test_added_definitions(lines, name):
+    diff = "--- a/x.c\n+++ b/x.c\n@@ -1,0 +1,9 @@\n" + "\n".join("+" + x for x in lines) + "\n"
+    assert diffs.symbols(diff) == ([("x.c", name)] if name else [])
+
+
 def test_diff_walk_and_symbols(spark):
     assert diffs.symbols(DIFF) == [("x/a.c", "bgp_peer_restart"), ("x/a.c", "bgp_stop")]
     df = spark.createDataFrame([("s", DIFF), ("n", None), ("e", "")], "sha string, raw_diff string")
