@@ -246,12 +246,17 @@ _SHORT = re.compile(
 )
 
 
+_LARGE_INSIDE = re.compile(r"[a-zà-ÿа-яё,] ([^\W\d_]\w*)")
+_SMALL_WORD = re.compile(r"(?<!\w)[a-zà-ÿа-яё]\w*")
+
+
 class Evidence:
     """What a document itself says on words and stops, read when first asked."""
 
     def __init__(self, text: str, corpus: "Corpus") -> None:
-        self.text, self.corpus, self._proper = text, corpus, {}
+        self.text, self.corpus = text, corpus
         self._stopped: set[str] | None = None
+        self._large: set[str] | None = None
 
     def abbreviation(self, word: str) -> bool:
         """Whether a short word with a stop is an abbreviation: by this document, else by the corpus.
@@ -274,12 +279,10 @@ class Evidence:
 
     def proper(self, word: str) -> bool:
         """Whether ``word`` stands large inside a sentence, and never small."""
-        if word not in self._proper:
-            w = re.escape(word)
-            inside = re.search(rf"[a-zà-ÿа-яё,] {w}(?!\w)", self.text) is not None
-            small = re.search(rf"(?<!\w){re.escape(word[:1].lower() + word[1:])}(?!\w)", self.text) is not None
-            self._proper[word] = inside and not small
-        return self._proper[word]
+        if self._large is None:
+            self._large = {m[1] for m in _LARGE_INSIDE.finditer(self.text)}
+            self._small = {m[0] for m in _SMALL_WORD.finditer(self.text)}
+        return word in self._large and word[:1].lower() + word[1:] not in self._small
 
 
 class Corpus:
