@@ -156,7 +156,8 @@ def blocks(text: str) -> Iterator[Block]:
 
 # --------------------------------------------------------------------- sentences
 
-_CANDIDATE = re.compile(r"[.!?…。！？｡．।॥؟۔;;]+")
+#: Terminators; a full stop with a small letter or digit right behind it never ends anything.
+_CANDIDATE = re.compile(r"(?:\.(?![a-z0-9_])|[!?…。！？｡．।॥؟۔;\u037e])+")
 _INK = re.compile(r"\S")
 _LETTER_ONLY = re.compile(r"[^\W\d_]")
 _DOTTED_WORD = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
@@ -241,11 +242,9 @@ def _bracket(text: str, i: int, a: str, b: str) -> int:
     return -1
 
 
-_SHORT = re.compile(
-    r"(?<!\w)([^\W\d_]{1,6})(?:(?![\w.])|\.((?:[ \t]+|[ \t]*\r?\n[ \t>]*)[a-zà-öø-ÿа-яёα-ωά-ώ]+(?=\s))?)"
-)
-
-
+_SHORT = re.compile(r"(?<!\w)[^\W\d_]{1,6}(?!\w)\.?")
+_STOP_SMALL = re.compile(r"\.(?:[ \t]+|[ \t]*\r?\n[ \t>]*)[a-zà-öø-ÿа-яёα-ωά-ώ]+(?=\s)")
+_WORD_END = re.compile(r"(?<!\w)[^\W\d_]{1,6}$")
 _LARGE_INSIDE = re.compile(r"[a-zà-ÿа-яё,] ([^\W\d_]\w*)")
 _SMALL_WORD = re.compile(r"(?<!\w)[a-zà-ÿа-яё]\w*")
 
@@ -255,6 +254,7 @@ class Evidence:
 
     def __init__(self, text: str, corpus: "Corpus") -> None:
         self.text, self.corpus = text, corpus
+        self._words: set[str] | None = None
         self._stopped: set[str] | None = None
         self._large: set[str] | None = None
 
@@ -265,17 +265,15 @@ class Evidence:
         """
         if self.corpus.is_plain(word):
             return False
+        low, text = word.lower(), self.text
         if self._stopped is None:
-            self._stopped, self._plain = set(), set()
-            for m in _SHORT.finditer(self.text):
-                if m[2]:
-                    self._stopped.add(m[1].lower())
-                elif m.end() == m.end(1):
-                    self._plain.add(m[1].lower())
-        low = word.lower()
-        if low in self._plain:
+            ends = (_WORD_END.search(text[max(0, m.start() - 8) : m.start()]) for m in _STOP_SMALL.finditer(text))
+            self._stopped = {m[0].lower() for m in ends if m}
+        if low not in self._stopped and not self.corpus.is_abbreviation(word):
             return False
-        return low in self._stopped or self.corpus.is_abbreviation(word)
+        if self._words is None:
+            self._words = set(_SHORT.findall(text.lower()))
+        return low not in self._words
 
     def proper(self, word: str) -> bool:
         """Whether ``word`` stands large inside a sentence, and never small."""
@@ -410,8 +408,9 @@ def sentences(text: str, ev: Evidence) -> list[int]:
     """Places in a paragraph at which a new sentence begins, 0 first."""
     inner = spans(text)
     starts, k = [0], 0
+    greek = (";" in text or "\u037e" in text) and _GREEK.search(text) is not None
     for m in _CANDIDATE.finditer(text):
-        if m.start() < starts[-1]:
+        if m.start() < starts[-1] or (not greek and m[0] in ";\u037e"):
             continue
         if m.start() - starts[-1] < 40 and not text[starts[-1] : m.start()].strip(" \t\n" + _OPENER):
             continue  # leading marks belong to what follows
