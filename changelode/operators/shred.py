@@ -200,13 +200,14 @@ def flat_positions(records: DataFrame) -> DataFrame:
 
 
 def flat_table(records: DataFrame, level: str) -> DataFrame:
-    """The flat table of one level: keys, positions and every scalar column, as text.
+    """The flat table of one level: keys, positions, every scalar column as text, every list of scalars as an array.
 
     A column is read from its own level sequence: entries of a leaf that lie directly under the
-    ancestor correspond one to one to the ancestor's objects.
+    ancestor correspond one to one to the ancestor's objects. A list has as many entries as
+    slots, so its arrays are cut out of its sequence where the ancestor's objects begin.
     """
     ancestor = LEVELS[level][0]
-    names = [p.rpartition(".")[2] for p in Columns(EVIDENCE).rows if p.rpartition(".")[0] == ancestor]
+    names = {p.rpartition(".")[2]: p for p in Columns(EVIDENCE).rows if p.rpartition(".")[0] == ancestor}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -214,14 +215,32 @@ def flat_table(records: DataFrame, level: str) -> DataFrame:
             ids = b["record_id"].to_numpy()
             rec, parent, pos, entry = level_rows(cols, level)
             out = {"record_id": ids[rec] if len(rec) else ids[:0], "parent_pos": parent.astype("int32"), "pos": pos.astype("int32")}
-            for name in names:
-                values = cols.arrays(f"{ancestor}.{name}")[3]
-                out[name] = pd.Series([_text(values[e]) for e in entry], dtype=object)
+            for name, path in names.items():
+                if path.endswith("[]"):
+                    out[name.removesuffix("[]")] = pd.Series(lists(cols, path, ancestor), dtype=object)
+                else:
+                    values = cols.arrays(path)[3]
+                    out[name] = pd.Series([_text(values[e]) for e in entry], dtype=object)
             yield pd.DataFrame(out)
 
-    ddl = "record_id bigint, parent_pos int, pos int, " + ", ".join(f"`{n}` string" for n in names)
+    ddl = "record_id bigint, parent_pos int, pos int, " + ", ".join(f"`{n.removesuffix('[]')}` {'array<string>' if n.endswith('[]') else 'string'}" for n in names)
     return records.where(F.col("record_id").isNotNull()).mapInPandas(run, ddl).dropDuplicates(["record_id", "parent_pos", "pos"])
 
 
+def lists(cols: Columns, path: str, ancestor: str) -> list[list[str | None] | None]:
+    """The list of scalars at ``path`` of every object at ``ancestor``; None where it is no list.
+
+    An object's entries reach to the next one that repeats the ancestor or a step above it.
+    """
+    _, rep, level, values = cols.arrays(path)
+    steps = cols.steps[path]
+    rep_a, level_a = next((s[1], s[2]) for s in steps if s[0] == ancestor)
+    slot = steps[-1][2]
+    starts = np.flatnonzero(rep <= rep_a)
+    ends = np.append(starts[1:], len(rep))
+    there = level[starts] >= level_a
+    return [None if level[i] < slot - 1 else [_text(v) for v in values[i:j]] if level[i] >= slot else [] for i, j in zip(starts[there], ends[there])]
+
+
 def _text(value: Any) -> str | None:
     return value if value is None or isinstance(value, str) else json.dumps(value, separators=(",", ":"))

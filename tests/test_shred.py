@@ -90,3 +90,11 @@ def test_tables(spark):
     table = {(r.record_id, r.parent_pos, r.pos): r.path for r in shred.flat_table(df, "path_overlap").collect()}
     assert table == {(7, 1, 2): "p", (7, 1, 3): None, (8, 1, 1): "q"}
     assert shred.flat_positions(df.limit(0)).count() == 0
+
+
+def test_lists_of_scalars_stay_whole(spark):
+    signals = [[{"signal_type": "A", "changed_paths": ["a", "b", None]}, None, {"signal_type": "B", "changed_paths": []}, {"signal_type": "C"}, {"signal_type": "D", "changed_paths": ["c", "d"]}], [{"signal_type": "E", "changed_paths": "e"}, {"signal_type": "F", "changed_paths": ["f", "g"]}]]
+    rows = [(i, json.dumps({"retrospective": {"strong_signals": s}})) for i, s in enumerate(signals)]
+    df = spark.createDataFrame(rows, "record_id bigint, payload string").coalesce(1)
+    got = {(r.record_id, r.pos, r.signal_type): r.changed_paths for r in shred.flat_table(df, "strong_signal").collect()}
+    assert got == {(0, 1, "A"): ["a", "b", None], (0, 3, "B"): [], (0, 4, "C"): None, (0, 5, "D"): ["c", "d"], (1, 1, "E"): ["e"], (1, 2, "F"): ["f", "g"]}
