@@ -45,7 +45,7 @@ REVERSAL = leaves(
     " later_added_lines_matching_original_removals lineage_supported_removed_overlap_count reversed_line_overlap_count reversed_line_overlap_fraction method"
 )
 RELATIONSHIP = leaves("source_ref analysis_status analysis_note") + [
-    ("group", "lineage", leaves("later_removed_line_count analyzed_removed_line_count lines_blamed_to_original_pr direct_lineage_fraction method")),
+    ("group", "lineage", [*leaves("later_removed_line_count analyzed_removed_line_count lines_blamed_to_original_pr direct_lineage_fraction method"), ("list", "matched_original_commit_shas", [leaf("")])]),
     ("group", "reversal", [*REVERSAL, ("list", "path_overlaps", OVERLAP)]),
 ]
 EVIDENCE: list[Node] = [("list", "strong_signals", SIGNAL), ("list", "commit_relationships", RELATIONSHIP)]
@@ -199,15 +199,25 @@ def flat_positions(records: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def columns(level: str) -> dict[str, str]:
+    """Column name -> path of a level's table; a list's name ends with ``[]``.
+
+    Groups below the ancestor that are no level themselves give columns with their name before.
+    """
+    ancestor = LEVELS[level][0] + "."
+    inner = tuple(a + "." for a, _, _ in LEVELS.values() if a.startswith(ancestor))
+    return {p[len(ancestor) :].replace(".", "_"): p for p in Columns(EVIDENCE).rows if p.startswith(ancestor) and not p.startswith(inner)}
+
+
 def flat_table(records: DataFrame, level: str) -> DataFrame:
     """The flat table of one level: keys, positions, every scalar column as text, every list of scalars as an array.
 
-    A column is read from its own level sequence: entries of a leaf that lie directly under the
-    ancestor correspond one to one to the ancestor's objects. A list has as many entries as
+    A column is read from its own level sequence: entries of a leaf below the ancestor, outside
+    of lists, correspond one to one to the ancestor's objects. A list has as many entries as
     slots, so its arrays are cut out of its sequence where the ancestor's objects begin.
     """
     ancestor = LEVELS[level][0]
-    names = {p.rpartition(".")[2]: p for p in Columns(EVIDENCE).rows if p.rpartition(".")[0] == ancestor}
+    names = columns(level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -98,3 +98,19 @@ def test_lists_of_scalars_stay_whole(spark):
     df = spark.createDataFrame(rows, "record_id bigint, payload string").coalesce(1)
     got = {(r.record_id, r.pos, r.signal_type): r.changed_paths for r in shred.flat_table(df, "strong_signal").collect()}
     assert got == {(0, 1, "A"): ["a", "b", None], (0, 3, "B"): [], (0, 4, "C"): None, (0, 5, "D"): ["c", "d"], (1, 1, "E"): ["e"], (1, 2, "F"): ["f", "g"]}
+
+
+def test_fields_of_inner_groups_are_columns(spark):
+    lineage = {"later_removed_line_count": 4, "direct_lineage_fraction": 0.5, "method": "blame", "matched_original_commit_shas": ["a1", "b2"]}
+    relations = [{"source_ref": "s", "lineage": lineage, "reversal": {"method": "m"}}, None, {"source_ref": "t", "lineage": json.dumps({"lines_blamed_to_original_pr": 2})}, {"source_ref": "u"}]
+    df = spark.createDataFrame([(1, json.dumps({"retrospective": {"commit_relationships": relations}}))], "record_id bigint, payload string")
+    names = ["source_ref", *("lineage_" + n for n in ("later_removed_line_count", "lines_blamed_to_original_pr", "direct_lineage_fraction", "method", "matched_original_commit_shas"))]
+    table = shred.flat_table(df, "commit_relationship")
+    got = {r.pos: tuple(r[n] for n in names) for r in table.collect()}
+    assert got == {1: ("s", "4", None, "0.5", "blame", ["a1", "b2"]), 3: ("t", None, "2", None, None, None), 4: ("u", None, None, None, None, None)}
+    assert not [n for n in table.columns if n.startswith("reversal")] and "method" in shred.flat_table(df, "reversal").columns
+
+
+def test_every_leaf_is_in_one_table():
+    paths = [p for level in shred.LEVELS for p in shred.columns(level).values()]
+    assert sorted(paths) == sorted(shred.Columns(shred.EVIDENCE).rows)
