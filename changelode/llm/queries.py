@@ -31,6 +31,12 @@ def p1_masked(spark: SparkSession, d: str) -> DataFrame:
     return pii.mask_column(out, "author", lex, "author_masked").select("discussion_id", "author_masked", "body_masked").distinct()
 
 
+def p1_masked_editors(spark: SparkSession, d: str) -> DataFrame:
+    """Edits with typed placeholders in a copy of the editor."""
+    out = pii.mask_column(table(spark, d, "body_edits").select("edit_id", "editor"), "editor", pii.lexicon(table(spark, d, "contributors")), "editor_masked")
+    return out.select("edit_id", "editor_masked").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the held-out items they disclose."""
     return leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_keys")).select("doc_id", "item_id")
@@ -70,7 +76,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_masked, p5_found, p5_items, p5_clean, p6_ids, p7_packing, p7_fill, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_masked, p1_masked_editors, p5_found, p5_items, p5_clean, p6_ids, p7_packing, p7_fill, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
