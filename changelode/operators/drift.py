@@ -256,7 +256,14 @@ def changes(rows: list[tuple[str, Any, Any]], apart: set[tuple[str, str]] | None
 
 
 def drift(bundles: DataFrame) -> DataFrame:
-    """(file_name, change, field_path, old_path) of every change between consecutive files.
+    """(file_name, change, field_path, old_path) of every change between consecutive files."""
+    from changelode.plans.durable import durable
+
+    return decided(bundles, durable(shapes(bundles))).drop("stream")
+
+
+def decided(bundles: DataFrame, shape: DataFrame) -> DataFrame:
+    """(stream, file_name, change, field_path, old_path) of every change, given the files' shapes.
 
     Renames are decided with evidence from all files: of two names that stand side by side in
     any file, neither replaced the other. Those pairs are found by equi-joins on the paths that
@@ -264,7 +271,6 @@ def drift(bundles: DataFrame) -> DataFrame:
     """
     from changelode.plans.durable import durable
 
-    shape = durable(shapes(bundles))
     diff = durable(differences(shape, successors(bundles)))
 
     # One row a file with all its differing paths; the schema bounds the row.
@@ -291,26 +297,94 @@ def drift(bundles: DataFrame) -> DataFrame:
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple[str, str, str, str]] = []
-            for file, rows, sets in zip(*(b.column(i).to_pylist() for i in range(3))):
-                out += [(file, *x) for x in changes(_entries(rows), {(x["a"], x["b"]) for x in sets or ()})]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(4)], names=["file_name", "change", "field_path", "old_path"])
+            out: list[tuple[str, str, str, str, str]] = []
+            for stream, file, rows, sets in zip(*(b.column(i).to_pylist() for i in range(4))):
+                out += [(stream, file, *x) for x in changes(_entries(rows), {(x["a"], x["b"]) for x in sets or ()})]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(5)], names=["stream", "file_name", "change", "field_path", "old_path"])
 
-    return per_file.join(kept, ["stream", "file_name"], "left").select("file_name", "rows", "apart").mapInArrow(decide, "file_name string, change string, field_path string, old_path string")
+    return per_file.join(kept, ["stream", "file_name"], "left").select("stream", "file_name", "rows", "apart").mapInArrow(decide, "stream string, file_name string, change string, field_path string, old_path string")
 
 
 def _entries(rows: list[dict]) -> list[tuple[str, Any, Any]]:
     return [(r["path"], r["old"], r["new"]) for r in rows]
 
 
+def one_name(renames: list[tuple[str, str, int]], schemas: list[tuple[Any, list[str]]]) -> dict[str, str]:
+    """Path -> canonical path of one stream, for the paths whose canonical path is another.
+
+    ``renames`` are (old, new, files), ``schemas`` the distinct sets of paths of its files with
+    their first time. Names that replace each other are one field, called by the name that came
+    first; fields below a renamed one go with it. Two names that stand side by side in a file
+    are never made one, even if a chain of renames leads from one to the other; of such a
+    chain the renames of most files hold.
+    """
+    first: dict[str, tuple] = {}
+    for at, paths in schemas:
+        for p in paths:
+            first[p] = min(first.get(p, (at, p)), (at, p))
+    group: dict[str, set[str]] = {}  # path under its canonical parent -> all that are one with it
+    called: dict[str, str] = {}
+
+    def key(path: str) -> str:
+        parent, dot, name = path.rpartition(".")
+        return name if not dot else f"{canon(_holder(parent))}{parent[len(_holder(parent)) :]}.{name}"
+
+    def canon(path: str) -> str:
+        return called.get(k := key(path), k)
+
+    depth = lambda p: p.count(".")
+    for level in sorted({depth(o) for o, _, _ in renames}):
+        stand = [{key(p) for p in paths if depth(p) == level} for _, paths in schemas]
+        born: dict[str, tuple] = {}
+        for p, at in first.items():
+            if depth(p) == level:
+                born[key(p)] = min(born.get(key(p), at), at)
+        for _, o, n in sorted((-files, key(o), key(n)) for o, n, files in renames if depth(o) == level):
+            a, b = group.get(o, {o}), group.get(n, {n})
+            if n not in a and _parent(o) == _parent(n) and not any(a & s and b & s for s in stand):
+                group |= dict.fromkeys(a | b, a | b)
+        for k, names in group.items():
+            if depth(k) == level:
+                called[k] = min(names, key=lambda x: (born.get(x, (float("inf"), x)), x))
+    return {p: c for p in first if (c := canon(p)) != p}
+
+
+def canonical_paths(bundles: DataFrame) -> DataFrame:
+    """(stream, file_name, names): for each file that writes fields under other names, (path, canonical path).
+
+    What one task sees of a stream is its distinct renames and its distinct sets of paths, not its files.
+    """
+    from changelode.plans.durable import durable
+
+    shape = durable(shapes(bundles))
+    renames = decided(bundles, shape).where("change = 'renamed'").groupBy("stream", "old_path", "field_path").agg(F.count("*").alias("n"))
+    renames = durable(renames.groupBy("stream").agg(F.collect_list(F.struct("old_path", "field_path", "n")).alias("renames")))
+    written = bundles.where("stream is not null and file_name is not null").groupBy("stream", "file_name").agg(F.coalesce(F.min(F.unix_micros("written_at")), F.lit(0)).alias("at"))
+    sets = shape.groupBy("stream", "file_name").agg(F.sort_array(F.collect_list("path")).alias("paths")).join(renames.select("stream"), "stream", "left_semi")
+    sets = sets.join(written, ["stream", "file_name"]).groupBy("stream", "paths").agg(F.min("at").alias("at")).groupBy("stream").agg(F.collect_list(F.struct("at", "paths")).alias("sets"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for stream, pairs, seen in zip(*(b.column(i).to_pylist() for i in range(3))):
+                names = one_name([(r["old_path"], r["field_path"], r["n"]) for r in pairs], [(x["at"], x["paths"]) for x in seen])
+                out += [(stream, *x) for x in names.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], names=["stream", "path", "name"])
+
+    named = renames.join(sets, "stream").select("stream", "renames", "sets").mapInArrow(run, "stream string, path string, name string")
+    return shape.select("stream", "file_name", "path").join(named, ["stream", "path"]).groupBy("stream", "file_name").agg(F.collect_list(F.struct("path", "name")).alias("names"))
+
+
 def canonical(bundles: DataFrame) -> DataFrame:
-    """All readable bundles in one table with one row for each line and path.
+    """All readable bundles in one table with one row for each line and path, one at least a line.
 
     Columns: stream, file_name, line_no, path, the typed branches ``as_string``, ``as_number``,
     ``as_boolean``, ``as_json`` (objects' and arrays' own text), of which one is set, and
     ``value``, the canonical text all branches convert to (true/false for flags, ISO times for
-    moments). ``path`` keeps positions in arrays (``a.b[2].c``), ``field_path`` drops them.
-    Repeated lines count once.
+    moments). ``path`` is the file's own, with positions in arrays (``a.b[2].c``);
+    ``field_path`` drops them and has the one name of its field in the stream, through all
+    renames that were decided. An object without fields has its path with ``{}``, a line
+    without fields an empty path and no value. Repeated lines count once.
     """
 
     def text(v: Any, kind: str) -> str | None:
@@ -321,10 +395,12 @@ def canonical(bundles: DataFrame) -> DataFrame:
         return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
 
     def walk(v: Any, path: str) -> Iterator[tuple[str, Any]]:
-        if isinstance(v, dict):
+        if isinstance(v, dict) and any(x is not None for x in v.values()):
             for k, x in v.items():
                 if x is not None:
                     yield from walk(x, f"{path}.{k}" if path else k)
+        elif isinstance(v, dict):
+            yield path, {} if path else None
         elif isinstance(v, list) and any(isinstance(x, (dict, list)) for x in v):
             for i, x in enumerate(v, 1):
                 if x is not None:
@@ -336,15 +412,28 @@ def canonical(bundles: DataFrame) -> DataFrame:
         names = ["stream", "file_name", "line_no", "path", "field_path", "as_string", "as_number", "as_boolean", "as_json", "value"]
         for b in batches:
             rows = []
-            for stream, file, no, raw in zip(b["stream"], b["file_name"], b["line_no"], b["raw"]):
-                for path, v in walk(readable(raw) or {}, ""):
+            for stream, file, no, raw, pairs in zip(b["stream"], b["file_name"], b["line_no"], b["raw"], b["names"]):
+                if (obj := readable(raw)) is None:
+                    continue
+                named = {x["path"]: x["name"] for x in pairs} if pairs is not None else {}
+                for path, v in walk(obj, ""):
                     kind = kind_of(v)
+                    field = re.sub(r"\[\d+\]", "[]", path)
                     rows.append(
-                        (stream, file, no, path, re.sub(r"\[\d+\]", "[]", path), v if isinstance(v, str) else None, float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None)
-                        + (v if isinstance(v, bool) else None, json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else None, text(v, kind))
+                        (stream, file, no, path, _named(field, named), v if isinstance(v, str) else None, float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None)
+                        + (v if isinstance(v, bool) else None, json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else None, None if v is None else text(v, kind))
                     )
             yield pd.DataFrame(rows, columns=names)
 
     ddl = "stream string, file_name string, line_no int, path string, field_path string, as_string string, as_number double, as_boolean boolean, as_json string, value string"
-    once = bundles.select("stream", "file_name", "line_no", "raw").where("raw is not null").dropDuplicates(["stream", "file_name", "line_no"])
-    return once.mapInPandas(run, ddl)
+    # A file's lines come together, so that neither the distinct lines nor the names move the texts again.
+    once = bundles.select("stream", "file_name", "line_no", "raw").where("raw is not null").repartition("stream", "file_name").dropDuplicates(["stream", "file_name", "line_no"])
+    return once.join(canonical_paths(bundles), ["stream", "file_name"], "left").select("stream", "file_name", "line_no", "raw", "names").mapInPandas(run, ddl)
+
+
+def _named(field: str, named: dict[str, str]) -> str:
+    """The canonical name of a path, or of the longest beginning of it that has one."""
+    holder = field
+    while holder and holder not in named:
+        holder = _holder(holder) if holder.endswith("[]") else _parent(holder)
+    return named[holder] + field[len(holder) :] if holder else field

@@ -53,3 +53,26 @@ def test_canonical_branches(spark):
     rows = {r.field_path: r for r in drift.canonical(files(spark, [{"n": 1, "t": "x", "f": False, "m": 1735689600, "a": [1, "b"], "o": [{"q": None, "r": "1"}]}, "bad"])).collect()}
     assert rows["n"].as_number == 1 and rows["t"].as_string == "x" and rows["f"].value == "false"
     assert rows["m"].value == "2025-01-01T00:00:00Z" and json.loads(rows["a"].as_json) == [1, "b"] and rows["o[].r"].path == "o[1].r"
+
+
+def test_canonical_names_follow_renames(spark):
+    old = {"edits": [{"at": "2025-01-01T00:00:00Z", "who": "ann-1"}], "url": "https://a.example/1"}
+    new = {"history": [{"at": "2025-02-01T00:00:00Z", "who": "bob-2"}], "web": "https://a.example/2"}
+    last = {"history": [{"at": "2025-03-01T00:00:00Z", "who": "cid-3"}], "link": "https://a.example/3"}
+    df = files(spark, [old], [new], [last])
+    other = files(spark, [{"web": "https://b.example/1"}], stream="other")
+    got = {(r.stream, r.file_name, r.path, r.field_path) for r in drift.canonical(df.unionByName(other)).collect()}
+    want = {("s", f"f{i}", f"{h}[1].{x}", f"edits[].{x}") for i, h in enumerate(["edits", "history", "history"]) for x in ("at", "who")}
+    assert got == want | {("s", f"f{i}", p, "url") for i, p in enumerate(["url", "web", "link"])} | {("other", "f0", "web", "web")}
+
+
+def test_names_side_by_side_stay_apart():
+    schemas = [(1, ["a"]), (2, ["b"]), (3, ["c"]), (4, ["a", "c"])]
+    assert drift.one_name([("a", "b", 2), ("b", "c", 1)], schemas) == {"b": "a"}
+    assert drift.one_name([("a", "b", 1), ("b", "a", 1)], schemas[:2]) == {"b": "a"}
+
+
+def test_every_readable_line_has_a_row(spark):
+    df = files(spark, [{}, {"a": None}, {"b": {}}, {"c": {"d": None}}, "bad", None, "[]"])
+    got = {(r.line_no, r.path, r.value) for r in drift.canonical(df).collect()}
+    assert got == {(0, "", None), (1, "", None), (2, "b", "{}"), (3, "c", "{}")}
