@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelode.functions import paths, refs
+from changelode.operators import records
 from changelode.operators.ranking import islands
 
 # Sizes beyond which a commit's analysis is flagged.
@@ -42,3 +44,50 @@ def over_limits(removed: DataFrame) -> DataFrame:
 def status(parents, readable):
     """The state of a candidate's analysis, from its number of parents and whether its diffs are readable."""
     return F.when(parents.isNull(), "error").when(parents > 1, "skipped_merge").when(parents == 0, "skipped_root").when(readable, "complete").otherwise("partial")
+
+
+def homes(log: DataFrame, prs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(repository, target, home): every known commit id with the subsystem of its files, null if they are unknown.
+
+    A commit's own paths (``changed``: repository, sha, path) come before the files of the request it belongs to.
+    """
+    weights = changed.groupBy("repository", F.lower("sha").alias("target"), paths.subsystem(F.col("path")).alias("name")).agg(F.count("*").alias("n"))
+    best = F.min(F.struct(paths.is_ancillary(F.col("name")).alias("ancillary"), (-F.col("n")).alias("less"), "name"))["name"]
+    own = weights.groupBy("repository", "target").agg(best.alias("home")).select("repository", "target", F.lit(0).cast("bigint").alias("rank"), "home")
+    asked = records.targets(prs).join(records.primary_subsystem(prs).where("subsystem != '(none)'"), "record_id").select("repository", "target", F.col("record_id").alias("rank"), F.col("subsystem").alias("home"))
+    seen = log.select("repository", F.lower("sha").alias("target"), F.lit(0).cast("bigint").alias("rank"), F.lit(None).cast("string").alias("home"))
+    tiers = [x.withColumn("tier", F.lit(i)) for i, x in enumerate((own, asked, seen))]
+    known = F.min(F.when(F.col("home").isNotNull(), F.struct("tier", "rank", "home")))["home"].alias("home")
+    return tiers[0].unionByName(tiers[1]).unionByName(tiers[2]).groupBy("repository", "target").agg(known)
+
+
+def defect_origins(log: DataFrame, prs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(repository, sha, attributed_by, fixed_ref, subsystem) of every commit with a strong corrective reference.
+
+    Its ids come first, in order, then its numbers through the first merge commit of the request,
+    else the commit itself. An id resolves if it begins one known commit only. A merge commit is
+    one that names the number in the log, else that of the request's record.
+    """
+    shas, numbers, matched = refs.untargeted(F.col("full_message"))
+    corrective = log.select("repository", "sha", shas.alias("shas"), numbers.alias("numbers"), matched.alias("matched")).where("matched")
+    known = homes(log, prs, changed)
+
+    cited = corrective.select("repository", "sha", F.posexplode("shas").alias("pos", "ref")).withColumn("block", F.substring("ref", 1, 6))
+    hit = cited.join(known.where("length(target) >= 6").withColumn("block", F.substring("target", 1, 6)), ["repository", "block"]).where(F.col("target").startswith(F.col("ref")) | F.col("ref").startswith(F.col("target")))
+    found = hit.groupBy("repository", "sha", "pos").agg(F.count_distinct(F.when(F.length("target") == 40, F.col("target"))).alias("full"), F.max(F.struct(F.length("target").alias("n"), "target", "home")).alias("x"))
+    by_id = found.where("full <= 1 and x.home is not null").groupBy("repository", "sha").agg(F.min(F.struct("pos", "x.target", "x.home")).alias("id"))
+
+    place = F.coalesce("log_idx", F.lit(2**62))
+    merges = log.select("repository", "sha", F.regexp_extract("subject", refs.MERGE_SUBJECT, 1).try_cast("bigint").alias("number"), place.alias("place")).where("number > 0")
+    merges = merges.groupBy("repository", "number").agg(F.lower(F.min_by("sha", F.struct("place", "sha"))).alias("target")).join(known, ["repository", "target"]).where("home is not null").select("repository", "number", F.lit(0).alias("tier"), "home")
+    merged = prs.where("merge_commit_sha is not null").join(records.primary_subsystem(prs).where("subsystem != '(none)'"), "record_id")
+    first = F.struct(F.col("merged_at").isNull().alias("unknown"), "merged_at", "record_id")
+    merged = merged.groupBy("repository", "number").agg(F.min_by("subsystem", first).alias("home")).select("repository", "number", F.lit(1).alias("tier"), "home")
+    named = corrective.select("repository", "sha", F.posexplode("numbers").alias("pos", "number")).join(merges.unionByName(merged), ["repository", "number"])
+    by_number = named.groupBy("repository", "sha").agg(F.min(F.struct("pos", "tier", "number", "home")).alias("pr"))
+
+    own = known.withColumnsRenamed({"target": "key", "home": "own"})
+    out = corrective.select("repository", "sha", F.lower("sha").alias("key")).join(own, ["repository", "key"], "left").join(by_id, ["repository", "sha"], "left").join(by_number, ["repository", "sha"], "left")
+    how = F.when(F.col("id").isNotNull(), "fixed_commit").when(F.col("pr").isNotNull(), "fixed_pr_merge").otherwise("self")
+    ref = F.when(F.col("id").isNotNull(), F.col("id.target")).when(F.col("pr").isNotNull(), F.concat(F.lit("#"), F.col("pr.number").cast("string")))
+    return out.select("repository", "sha", how.alias("attributed_by"), ref.alias("fixed_ref"), F.coalesce("id.home", "pr.home", "own").alias("subsystem"))

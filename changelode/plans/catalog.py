@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from changelode.functions import paths, refs
 from changelode.functions.times import parse_time
-from changelode.operators import baseline, correlate, diffs, keys, matching, merging, ranking, records, rules
+from changelode.operators import baseline, correlate, diffs, keys, matching, merging, ranking, records, relations, rules
 from changelode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,6 +504,17 @@ def defect_attribution(s: SparkSession, d: str) -> DataFrame:
     return cited.join(named, ["repository", "sha", "ref"], "left").select("repository", "sha", "ref", F.coalesce("subsystem", F.lit("(self)")).alias("subsystem"))
 
 
+@register()
+def defect_origin(s: SparkSession, d: str) -> DataFrame:
+    """Each corrective commit to the subsystem it fixes: by its ids, then by its numbers, else its own.
+
+    Every commit with a strong reference counts, also where nothing could be captured. Tables hold
+    no commit's files but those of requests and of stored signals; a commit whose files are
+    unknown has a null subsystem.
+    """
+    return relations.defect_origins(_commits(s, d), _prs(s, d), records.commit_paths(table(s, d, "pr_record")))
+
+
 @register(_with(PR) + "SELECT repository, min(number) AS first, max(number) AS last, count(*) AS n FROM (SELECT repository, number, number - row_number() OVER (PARTITION BY repository ORDER BY number) AS g FROM (SELECT DISTINCT repository, number FROM pr WHERE number > 0)) GROUP BY repository, g")
 def number_islands(s: SparkSession, d: str) -> DataFrame:
     return ranking.islands(_prs(s, d), ["repository"], "number")

@@ -158,3 +158,23 @@ def test_git_relations(spark, tmp_path):
     assert tree.problems(entries).count() == 0
     tried = spark.createDataFrame([(1, "0" * 40, 5), (1, shas[0], 6)], "record_id bigint, sha string, log_idx bigint")
     assert tuple(gitrel.uninspected(tried, got).first()) == (1, 1, ["0" * 40])
+
+
+def test_defect_origins(spark):
+    a, b, c = "a1" * 20, "b2" * 20, "abcdef" + "0" * 34
+    prs = spark.createDataFrame(
+        [(1, "r", 7, day(1), None, a, None, [c], [("bgpd/x.c", 5, 0)]), (2, "r", 8, day(2), None, b, None, [], [("zebra/y.c", 1, 1)]), (3, "r", 9, day(3), None, None, None, [], [("lib/z.c", 1, 0)])],
+        "record_id bigint, repository string, number bigint, merged_at timestamp, observation_end timestamp, merge_commit_sha string, head_sha string, commit_shas array<string>, changed_files array<struct<path:string,additions:bigint,deletions:bigint>>",
+    )
+    messages = {
+        "id": f"Fixes: {a[:8]}", "second": f"Fixes: 999999999\nFixes: {b[:8]}", "number": "Fixes #8", "both": f"Fixes #8\nThis reverts commit {a}", "revert": 'Revert "x"', "open": "closes #9",
+        "merge": "resolves #50", "vague": "Fixes: abcdef", "regress": "regression introduced in #7", "plain": "tidy", "other": "broken by #1234",
+    }
+    rows = [(k, "s", m, i, "r") for i, (k, m) in enumerate(messages.items())] + [("m" * 40, "Merge pull request #50 from x", "m", 98, "r"), ("n" * 40, "Merge pull request #50 again", "m", 99, "r"), ("abcdef" + "1" * 34, "s", "m", 97, "r")]
+    log = spark.createDataFrame(rows, "sha string, subject string, full_message string, log_idx bigint, repository string")
+    changed = spark.createDataFrame([("r", "revert", "ospfd/a.c"), ("r", "revert", "doc/a.rst"), ("r", "revert", "doc/b.rst"), ("r", "m" * 40, "pimd/a.c"), ("r", "n" * 40, "isisd/a.c")], "repository string, sha string, path string")
+    got = {r.sha: (r.attributed_by, r.fixed_ref, r.subsystem) for r in relations.defect_origins(log, prs, changed).collect()}
+    assert got == {
+        "id": ("fixed_commit", a, "bgpd"), "second": ("fixed_commit", b, "zebra"), "number": ("fixed_pr_merge", "#8", "zebra"), "both": ("fixed_commit", a, "bgpd"), "revert": ("self", None, "ospfd"), "open": ("self", None, None),
+        "merge": ("fixed_pr_merge", "#50", "pimd"), "vague": ("self", None, None), "regress": ("fixed_pr_merge", "#7", "bgpd"), "other": ("self", None, None),
+    }
