@@ -5,8 +5,8 @@ level, value). Repetition says which repeated ancestor the entry continues, defi
 of its path is present. Tables of any repeated or optional ancestor come out of the level
 sequences alone, with array arithmetic over a whole batch, never by walking objects again.
 
-A node of the schema is ``("leaf", name)``, ``("group", name, children)`` or
-``("list", name, children)``; a list of scalars has one unnamed leaf. Levels per step: an
+A node of the schema is ``("leaf", name, type)``, ``("group", name, children)`` or
+``("list", name, children)``; a list of scalars has one unnamed leaf and gives a child table of its own. Levels per step: an
 optional group or leaf adds one when present; a list adds one when it is a list, one for each
 slot, and one when the slot holds an object.
 
@@ -30,24 +30,24 @@ from pyspark.sql import functions as F
 Node = tuple
 
 
-def leaf(name: str) -> Node:
-    return ("leaf", name)
+def leaf(name: str, kind: str = "string") -> Node:
+    return ("leaf", name, kind)
 
 
-def leaves(names: str) -> list[Node]:
-    return [leaf(n) for n in names.split()]
+def leaves(names: str, kind: str = "string") -> list[Node]:
+    return [leaf(n, kind) for n in names.split()]
 
 
-SIGNAL = leaves("signal_type source_type source_ref timestamp raw_snippet confidence evidence_scope logical_patch_id") + [("list", "changed_paths", [leaf("")])]
-OVERLAP = leaves("path original_added_lines original_removed_lines later_removed_matching_original_additions later_added_matching_original_removals lineage_supported_removed_overlap_count")
-REVERSAL = leaves(
-    "full_reverse_patch_match reversal_type original_added_lines original_removed_lines total_original_substantive_lines later_removed_lines_matching_original_additions"
-    " later_added_lines_matching_original_removals lineage_supported_removed_overlap_count reversed_line_overlap_count reversed_line_overlap_fraction method"
-)
-RELATIONSHIP = leaves("source_ref analysis_status analysis_note") + [
-    ("group", "lineage", [*leaves("later_removed_line_count analyzed_removed_line_count lines_blamed_to_original_pr direct_lineage_fraction method"), ("list", "matched_original_commit_shas", [leaf("")])]),
-    ("group", "reversal", [*REVERSAL, ("list", "path_overlaps", OVERLAP)]),
-]
+SIGNAL = [*leaves("signal_type source_type source_ref"), leaf("timestamp", "timestamp"), leaf("raw_snippet"), leaf("confidence", "double"), *leaves("evidence_scope logical_patch_id"), ("list", "changed_paths", [leaf("")])]
+OVERLAP = [leaf("path"), *leaves("original_added_lines original_removed_lines later_removed_matching_original_additions later_added_matching_original_removals lineage_supported_removed_overlap_count", "bigint")]
+REVERSAL = [
+    leaf("full_reverse_patch_match", "boolean"), leaf("reversal_type"),
+    *leaves("original_added_lines original_removed_lines total_original_substantive_lines later_removed_lines_matching_original_additions", "bigint"),
+    *leaves("later_added_lines_matching_original_removals lineage_supported_removed_overlap_count reversed_line_overlap_count", "bigint"),
+    leaf("reversed_line_overlap_fraction", "double"), leaf("method"), ("list", "path_overlaps", OVERLAP),
+]
+LINEAGE = [*leaves("later_removed_line_count analyzed_removed_line_count lines_blamed_to_original_pr", "bigint"), leaf("direct_lineage_fraction", "double"), leaf("method"), ("list", "matched_original_commit_shas", [leaf("")])]
+RELATIONSHIP = [*leaves("source_ref analysis_status analysis_note"), ("group", "lineage", LINEAGE), ("group", "reversal", REVERSAL)]
 EVIDENCE: list[Node] = [("list", "strong_signals", SIGNAL), ("list", "commit_relationships", RELATIONSHIP)]
 
 
@@ -71,6 +71,7 @@ class Columns:
         self.schema = schema
         self.rows: dict[str, list[tuple[int, int, int, Any]]] = {}
         self.steps: dict[str, list[tuple[str, int, int]]] = {}  # path -> (ancestor, its repetition level, definition when present)
+        self.kinds: dict[str, str] = {}
         self._plan(schema, "", 0, 0, [])
 
     def _plan(self, nodes: list[Node], at: str, rep: int, level: int, above: list[tuple[str, int, int]]) -> None:
@@ -79,6 +80,7 @@ class Columns:
             if node[0] == "leaf":
                 self.rows[path] = []
                 self.steps[path] = above
+                self.kinds[path] = node[2]
             elif node[0] == "group":
                 self._plan(node[2], path, rep, level + 1, [*above, (path, rep, level + 1)])
             else:
@@ -180,7 +182,8 @@ def evidence(pr_record: DataFrame, evidence_raw: DataFrame) -> DataFrame:
 
     Second deliveries stay here; they give equal rows, which the flat tables drop by their keys.
     """
-    typed = pr_record.where(F.col("retrospective").isNotNull()).select("record_id", F.to_json(F.struct(F.struct("retrospective.strong_signals", "retrospective.commit_relationships").alias("retrospective"))).alias("payload"))
+    whole = F.struct(F.struct("retrospective.strong_signals", "retrospective.commit_relationships").alias("retrospective"))
+    typed = pr_record.where(F.col("retrospective").isNotNull()).select("record_id", F.to_json(whole, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("payload"))
     return typed.unionByName(evidence_raw.select("record_id", "payload")).where(F.col("payload").isNotNull())
 
 
@@ -200,23 +203,23 @@ def flat_positions(records: DataFrame) -> DataFrame:
 
 
 def columns(level: str) -> dict[str, str]:
-    """Column name -> path of a level's table; a list's name ends with ``[]``.
+    """Column name -> leaf path of a level's table.
 
-    Groups below the ancestor that are no level themselves give columns with their name before.
+    Groups below the ancestor that are no level themselves give columns with their name before;
+    lists of scalars have tables of their own (:func:`scalar_table`).
     """
     ancestor = LEVELS[level][0] + "."
     inner = tuple(a + "." for a, _, _ in LEVELS.values() if a.startswith(ancestor))
-    return {p[len(ancestor) :].replace(".", "_"): p for p in Columns(EVIDENCE).rows if p.startswith(ancestor) and not p.startswith(inner)}
+    return {p[len(ancestor) :].replace(".", "_"): p for p in Columns(EVIDENCE).rows if p.startswith(ancestor) and not p.startswith(inner) and not p.endswith("[]")}
 
 
 def flat_table(records: DataFrame, level: str) -> DataFrame:
-    """The flat table of one level: keys, positions, every scalar column as text, every list of scalars as an array.
+    """The flat table of one level: keys, positions and every scalar, each in the type of its leaf.
 
     A column is read from its own level sequence: entries of a leaf below the ancestor, outside
-    of lists, correspond one to one to the ancestor's objects. A list has as many entries as
-    slots, so its arrays are cut out of its sequence where the ancestor's objects begin.
+    of lists, correspond one to one to the ancestor's objects. A value that is not of its leaf's
+    type, nor text that reads as such, is null.
     """
-    ancestor = LEVELS[level][0]
     names = columns(level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,30 +229,44 @@ def flat_table(records: DataFrame, level: str) -> DataFrame:
             rec, parent, pos, entry = level_rows(cols, level)
             out = {"record_id": ids[rec] if len(rec) else ids[:0], "parent_pos": parent.astype("int32"), "pos": pos.astype("int32")}
             for name, path in names.items():
-                if path.endswith("[]"):
-                    out[name.removesuffix("[]")] = pd.Series(lists(cols, path, ancestor), dtype=object)
-                else:
-                    values = cols.arrays(path)[3]
-                    out[name] = pd.Series([_text(values[e]) for e in entry], dtype=object)
+                values = cols.arrays(path)[3]
+                out[name] = pd.Series([_text(values[e]) for e in entry], dtype=object)
             yield pd.DataFrame(out)
 
-    ddl = "record_id bigint, parent_pos int, pos int, " + ", ".join(f"`{n.removesuffix('[]')}` {'array<string>' if n.endswith('[]') else 'string'}" for n in names)
-    return records.where(F.col("record_id").isNotNull()).mapInPandas(run, ddl).dropDuplicates(["record_id", "parent_pos", "pos"])
+    kinds = Columns(EVIDENCE).kinds
+    ddl = "record_id bigint, parent_pos int, pos int, " + ", ".join(f"`{n}` string" for n in names)
+    flat = records.where(F.col("record_id").isNotNull()).mapInPandas(run, ddl).dropDuplicates(["record_id", "parent_pos", "pos"])
+    return flat.select("record_id", "parent_pos", "pos", *[F.col(n).try_cast(kinds[p]).alias(n) for n, p in names.items()])
 
 
-def lists(cols: Columns, path: str, ancestor: str) -> list[list[str | None] | None]:
-    """The list of scalars at ``path`` of every object at ``ancestor``; None where it is no list.
+#: list of scalars -> (its leaf path, the step that gives parent_pos)
+SCALARS = {
+    "changed_path": ("strong_signals[].changed_paths[]", "strong_signals[]"),
+    "matched_original_commit_sha": ("commit_relationships[].lineage.matched_original_commit_shas[]", "commit_relationships[]"),
+}
+
+
+def scalar_table(records: DataFrame, name: str) -> DataFrame:
+    """The child table of a list of scalars: (record_id, parent_pos, pos, value), one row a slot.
 
-    An object's entries reach to the next one that repeats the ancestor or a step above it.
+    Rows come from the list's own level sequence: an entry is a slot if its definition level
+    reaches the list's, and its place restarts with every object that holds a list. A null
+    element keeps its row; a lone scalar is the only element of its list.
     """
-    _, rep, level, values = cols.arrays(path)
-    steps = cols.steps[path]
-    rep_a, level_a = next((s[1], s[2]) for s in steps if s[0] == ancestor)
-    slot = steps[-1][2]
-    starts = np.flatnonzero(rep <= rep_a)
-    ends = np.append(starts[1:], len(rep))
-    there = level[starts] >= level_a
-    return [None if level[i] < slot - 1 else [_text(v) for v in values[i:j]] if level[i] >= slot else [] for i, j in zip(starts[there], ends[there])]
+    path, holder = SCALARS[name]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cols = shredded(b["payload"])
+            ids = b["record_id"].to_numpy()
+            rec, pos, entry = positions(cols, path)
+            values = cols.arrays(path)[3]
+            yield pd.DataFrame(
+                {"record_id": ids[rec] if len(rec) else ids[:0], "parent_pos": pos[holder].astype("int32"), "pos": pos[path].astype("int32"), name: pd.Series([_text(values[e]) for e in entry], dtype=object)}
+            )
+
+    out = records.where(F.col("record_id").isNotNull()).mapInPandas(run, f"record_id bigint, parent_pos int, pos int, {name} string")
+    return out.dropDuplicates(["record_id", "parent_pos", "pos"])
 
 
 def _text(value: Any) -> str | None:

@@ -38,6 +38,14 @@ def p2_path_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return shred.flat_table(_evidence(spark, d), "path_overlap")
 
 
+def p2_changed_paths(spark: SparkSession, d: str) -> DataFrame:
+    return shred.scalar_table(_evidence(spark, d), "changed_path")
+
+
+def p2_matched_commits(spark: SparkSession, d: str) -> DataFrame:
+    return shred.scalar_table(_evidence(spark, d), "matched_original_commit_sha")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Versions in force at the cut-offs, leaked descriptions, leaked decisions."""
     return asof.known_at_cutoff(table(spark, d, "body_edits"), table(spark, d, "review_metadata"), table(spark, d, "field_decisions"))
@@ -59,7 +67,7 @@ def p4_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def problem_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_strong_signals, p2_commit_relationships, p2_reversals, p2_path_overlaps, p3_found, p3_descriptions, p4_found, p4_table)}
+    return {f.__name__: f for f in (p2_found, p2_strong_signals, p2_commit_relationships, p2_reversals, p2_path_overlaps, p2_changed_paths, p2_matched_commits, p3_found, p3_descriptions, p4_found, p4_table)}
 
 
 #: Fixed spellings of times as DuckDB reads them.
@@ -107,23 +115,64 @@ def _level(name: str, source: str, array: str) -> str:
     return f"""{name}_ AS (SELECT *, {_loose(array)} AS arr FROM {source}), {name} AS (SELECT * EXCLUDE (arr, list, x), {_loose("x")} AS o FROM (SELECT *, unnest(list) AS x, generate_subscripts(list, 1) AS i FROM (SELECT *, {_items("arr")} AS list FROM {name}_)))"""
 
 
-P2_FOUND = f"""
+P2_LEVELS = f"""
 WITH ev0 AS (SELECT record_id, to_json(retrospective) AS r FROM pr_record WHERE retrospective IS NOT NULL
  UNION ALL SELECT record_id, json_extract(payload::JSON, '$.retrospective') FROM (SELECT * FROM evidence_raw WHERE payload IS NOT NULL AND json_valid(payload))),
 ev AS (SELECT DISTINCT record_id, r::VARCHAR AS t FROM ev0 WHERE record_id IS NOT NULL), top AS (SELECT record_id, {_loose("t::JSON")} AS r FROM ev),
 {_level("st", "(SELECT record_id, 0 AS parent_pos, r FROM top)", "json_extract(r, '$.strong_signals')")},
 {_level("cr", "(SELECT record_id, 0 AS parent_pos, r FROM top)", "json_extract(r, '$.commit_relationships')")},
-rv AS (SELECT record_id, i AS parent_pos, {_loose("json_extract(o, '$.reversal')")} AS o FROM cr WHERE json_type(o) = 'OBJECT'),
+rv AS (SELECT record_id, i AS parent_pos, 1 AS i, {_loose("json_extract(o, '$.reversal')")} AS o FROM cr WHERE json_type(o) = 'OBJECT'),
 {_level("po", "(SELECT record_id, parent_pos, o AS r FROM rv WHERE json_type(o) = 'OBJECT')", "json_extract(r, '$.path_overlaps')")}
+"""
+P2_FOUND = f"""{P2_LEVELS}
 SELECT DISTINCT record_id, level, parent_pos::INTEGER AS parent_pos, pos::INTEGER AS pos FROM (
  SELECT record_id, 'strong_signal' AS level, parent_pos, i AS pos, o FROM st UNION ALL SELECT record_id, 'commit_relationship', parent_pos, i, o FROM cr
- UNION ALL SELECT record_id, 'reversal', parent_pos, 1, o FROM rv UNION ALL SELECT record_id, 'path_overlap', parent_pos, i, o FROM po) WHERE json_type(o) = 'OBJECT'
+ UNION ALL SELECT record_id, 'reversal', parent_pos, i, o FROM rv UNION ALL SELECT record_id, 'path_overlap', parent_pos, i, o FROM po) WHERE json_type(o) = 'OBJECT'
 """
 
 
+def _flat(step: str, text: str, numbers: str = "", inner: str = "", **others: str) -> str:
+    """The table of one level, written out of the JSON objects: columns by their type."""
+    cols = [(n, "o", n, "VARCHAR") for n in text.split()] + [(n, "o", n, "BIGINT") for n in numbers.split()] + [(n, "o", n, t) for n, t in others.items()]
+    if inner:
+        cols += [(f"{inner}_{n}", inner, n, t) for n, t in INNER[inner].items()]
+    picks = ", ".join(f"try_cast(json_extract_string({o}, '$.{key}') AS {t}) AS \"{name}\"" for name, o, key, t in cols)
+    source = f"(SELECT *, {_loose(f"json_extract(o, '$.{inner}')")} AS {inner} FROM {step} WHERE json_type(o) = 'OBJECT')" if inner else f"(SELECT * FROM {step} WHERE json_type(o) = 'OBJECT')"
+    return f"{P2_LEVELS} SELECT DISTINCT record_id, parent_pos::INTEGER AS parent_pos, i::INTEGER AS pos, {picks} FROM {source}"
+
+
+INNER = {"lineage": {"later_removed_line_count": "BIGINT", "analyzed_removed_line_count": "BIGINT", "lines_blamed_to_original_pr": "BIGINT", "direct_lineage_fraction": "DOUBLE", "method": "VARCHAR"}}
+
+
+def _scalars(step: str, holder: str, key: str, name: str) -> str:
+    """One row a slot of a list of scalars inside the objects of a level."""
+    arr = f"(SELECT *, json_extract({holder}, '$.{key}') AS a FROM (SELECT *, {_loose("json_extract(o, '$.lineage')")} AS lineage FROM {step} WHERE json_type(o) = 'OBJECT'))"
+    read = "CASE WHEN json_type(a) = 'VARCHAR' AND starts_with(ltrim(a ->> '$'), '[') AND json_valid(a ->> '$') THEN (a ->> '$')::JSON ELSE a END"
+    listed = f"(SELECT *, CASE json_type(b) WHEN 'ARRAY' THEN json_extract(b, '$[*]') WHEN 'NULL' THEN [] ELSE [b] END AS list FROM (SELECT *, {read} AS b FROM {arr}) WHERE b IS NOT NULL)"
+    return f"{P2_LEVELS} SELECT DISTINCT record_id, holder::INTEGER AS parent_pos, k::INTEGER AS pos, x ->> '$' AS {name} FROM (SELECT record_id, i AS holder, unnest(list) AS x, generate_subscripts(list, 1) AS k FROM {listed})"
+
+
+P2 = {
+    "p2_found": P2_FOUND,
+    "p2_strong_signals": _flat("st", "signal_type source_type source_ref raw_snippet evidence_scope logical_patch_id", timestamp="TIMESTAMPTZ", confidence="DOUBLE"),
+    "p2_commit_relationships": _flat("cr", "source_ref analysis_status analysis_note", inner="lineage"),
+    "p2_reversals": _flat(
+        "rv",
+        "reversal_type method",
+        "original_added_lines original_removed_lines total_original_substantive_lines later_removed_lines_matching_original_additions later_added_lines_matching_original_removals"
+        " lineage_supported_removed_overlap_count reversed_line_overlap_count",
+        full_reverse_patch_match="BOOLEAN",
+        reversed_line_overlap_fraction="DOUBLE",
+    ),
+    "p2_path_overlaps": _flat("po", "path", "original_added_lines original_removed_lines later_removed_matching_original_additions later_added_matching_original_removals lineage_supported_removed_overlap_count"),
+    "p2_changed_paths": _scalars("st", "o", "changed_paths", "changed_path"),
+    "p2_matched_commits": _scalars("cr", "lineage", "matched_original_commit_shas", "matched_original_commit_sha"),
+}
+
+
 def queries() -> dict[str, Query]:
     return problem_queries() | catalog.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL
+    return P2 | {"p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL

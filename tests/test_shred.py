@@ -92,25 +92,30 @@ def test_tables(spark):
     assert shred.flat_positions(df.limit(0)).count() == 0
 
 
-def test_lists_of_scalars_stay_whole(spark):
+def test_lists_of_scalars_are_child_tables(spark):
     signals = [[{"signal_type": "A", "changed_paths": ["a", "b", None]}, None, {"signal_type": "B", "changed_paths": []}, {"signal_type": "C"}, {"signal_type": "D", "changed_paths": ["c", "d"]}], [{"signal_type": "E", "changed_paths": "e"}, {"signal_type": "F", "changed_paths": ["f", "g"]}]]
     rows = [(i, json.dumps({"retrospective": {"strong_signals": s}})) for i, s in enumerate(signals)]
     df = spark.createDataFrame(rows, "record_id bigint, payload string").coalesce(1)
-    got = {(r.record_id, r.pos, r.signal_type): r.changed_paths for r in shred.flat_table(df, "strong_signal").collect()}
-    assert got == {(0, 1, "A"): ["a", "b", None], (0, 3, "B"): [], (0, 4, "C"): None, (0, 5, "D"): ["c", "d"], (1, 1, "E"): ["e"], (1, 2, "F"): ["f", "g"]}
+    got = {tuple(r) for r in shred.scalar_table(df, "changed_path").collect()}
+    assert got == {(0, 1, 1, "a"), (0, 1, 2, "b"), (0, 1, 3, None), (0, 5, 1, "c"), (0, 5, 2, "d"), (1, 1, 1, "e"), (1, 2, 1, "f"), (1, 2, 2, "g")}
+    assert {(r.record_id, r.pos, r.signal_type) for r in shred.flat_table(df, "strong_signal").collect()} == {(0, 1, "A"), (0, 3, "B"), (0, 4, "C"), (0, 5, "D"), (1, 1, "E"), (1, 2, "F")}
+    assert shred.scalar_table(df.limit(0), "changed_path").count() == 0
 
 
-def test_fields_of_inner_groups_are_columns(spark):
+def test_fields_of_inner_groups_are_typed_columns(spark):
     lineage = {"later_removed_line_count": 4, "direct_lineage_fraction": 0.5, "method": "blame", "matched_original_commit_shas": ["a1", "b2"]}
-    relations = [{"source_ref": "s", "lineage": lineage, "reversal": {"method": "m"}}, None, {"source_ref": "t", "lineage": json.dumps({"lines_blamed_to_original_pr": 2})}, {"source_ref": "u"}]
+    relations = [{"source_ref": "s", "lineage": lineage, "reversal": {"method": "m", "full_reverse_patch_match": True}}, None, {"source_ref": "t", "lineage": json.dumps({"lines_blamed_to_original_pr": "2", "later_removed_line_count": "many"})}, {"source_ref": "u"}]
     df = spark.createDataFrame([(1, json.dumps({"retrospective": {"commit_relationships": relations}}))], "record_id bigint, payload string")
-    names = ["source_ref", *("lineage_" + n for n in ("later_removed_line_count", "lines_blamed_to_original_pr", "direct_lineage_fraction", "method", "matched_original_commit_shas"))]
+    names = ["source_ref", *("lineage_" + n for n in ("later_removed_line_count", "lines_blamed_to_original_pr", "direct_lineage_fraction", "method"))]
     table = shred.flat_table(df, "commit_relationship")
     got = {r.pos: tuple(r[n] for n in names) for r in table.collect()}
-    assert got == {1: ("s", "4", None, "0.5", "blame", ["a1", "b2"]), 3: ("t", None, "2", None, None, None), 4: ("u", None, None, None, None, None)}
-    assert not [n for n in table.columns if n.startswith("reversal")] and "method" in shred.flat_table(df, "reversal").columns
+    assert got == {1: ("s", 4, None, 0.5, "blame"), 3: ("t", None, 2, None, None), 4: ("u", None, None, None, None)}
+    assert {tuple(r) for r in shred.scalar_table(df, "matched_original_commit_sha").collect()} == {(1, 1, 1, "a1"), (1, 1, 2, "b2")}
+    assert not [n for n in table.columns if n.startswith("reversal")]
+    assert [(r.method, r.full_reverse_patch_match) for r in shred.flat_table(df, "reversal").collect()] == [("m", True)]
 
 
 def test_every_leaf_is_in_one_table():
     paths = [p for level in shred.LEVELS for p in shred.columns(level).values()]
+    paths += [p for p, _ in shred.SCALARS.values()]
     assert sorted(paths) == sorted(shred.Columns(shred.EVIDENCE).rows)
