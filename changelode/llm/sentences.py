@@ -3,43 +3,51 @@
 A text is first cut into blocks by its layout: fenced code, headings, log lines, attribution
 lines, trailers and list items are one unit each; what remains are paragraphs, whose lines are
 joined without quoting marks while every character keeps its place in the text. In a paragraph
-each terminator of the script at hand is a candidate. A full stop is decided by the word before
-it: fixed lists first, then evidence from unambiguous places of the same document (the word
-stands without a stop elsewhere, or with one before a small letter; the next word is a proper
-name that is always written large), then counts over the whole corpus.
-
-Defined results: null and empty texts, and texts without letters and digits, have no units.
+each terminator of the script at hand is a candidate. Most marks decide by themselves. A full
+stop is decided by the word before it and what follows, in this order:
+
+1. the document: unambiguous places elsewhere in it. A word that also stands small without a
+   stop is an ordinary word; one whose stop is followed by a small word is an abbreviation; a
+   next word that also stands small is no name, one that stands large inside a sentence and
+   never small is a proper name;
+2. the corpus, where the document is silent: how often the word's stop is followed by a small
+   word, a digit, a common word or a name, and how often it closes a paragraph. Ordinary words
+   do close paragraphs; titles and ``e.g.`` never do;
+3. a short list of abbreviations, where the corpus has seen the word fewer than five times.
+
+Texts are read once for the counts and once for the units. A stop that the document leaves open
+leaves the scan as a narrow row with its word, which meets the corpus evidence in a join; so
+evidence of any size works, nothing is collected, and the engine sends the evidence to all
+tasks only if its measured size is small.
+
+Defined results: null and empty texts, and texts without letters and digits, have no units. A
+run of more than 4,096 characters without a blank is no word, so a stop in it is judged by its
+last 4,096 characters.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelode.plans.durable import durable
 from changelode.plans.spread import spread
 
-# ------------------------------------------------------------- fixed values: words
-
-#: Abbreviations that a name, number or further word always follows.
-BEFORE_WORD = set(
-    "dr prof mr mrs ms messrs st mt gen col capt lt sgt rev hon pres gov sen rep hr hrn fr frl dipl ing sr sra srta dra dª d.ª lic mlle mme mgr vgl cf e.g i.e z.b d.h u.a viz resp approx ca env aprox bzw inkl exkl zzgl ggf evtl"
-    " s.o s.u p.ex p.ej c.-à-d т.е т.к т.н напр ср см ок прим п.ч π.χ δηλ βλ πρβλ κ κα डॉ श्री प्रो से सें vs dept est al abschn abb kap bd hrsg sog str tel max min med incl excl sel bspw insb"
-    .split()
-)
-#: Abbreviations only when a number follows.
-BEFORE_NUMBER = set("no nos nr nrn sec secs fig figs vol vols p pp pg pág págs ch eq eqs art arts ver rev tab ex ed abs abt rel jan feb mar apr jun jul aug sep sept oct nov dec янв февр апр авг сент окт нояб дек рис стр гл табл п пп ст n.º núm num seit s z bl ziff".split())
-#: Abbreviations that may end a sentence.
-MAY_END = set("etc usw ltd inc co corp bros jr sr.  u.s u.k e.u u.n a.m p.m a.d b.c ph.d u.s.a т.д т.п др г гг ee.uu uu κ.λπ κλπ usf o.ä u.ä et.al plc gmbh llc".split()) | {"al"}
+# ------------------------------------------- fixed values: words, the last resort
+
+#: Abbreviations that something always follows.
+LEADING = set("dr prof mr mrs ms st vs cf vgl bzw ca nr no fig vol pp e.g i.e z.b d.h т.е см рис mme sr sra".split())
+#: Abbreviations after which a small word goes on.
+TRAILING = set("etc ltd inc co usw u.s a.m p.m т.д al".split())
+#: Words before a German ordinal, and those after one.
 ARTICLES = set("im am der dem den des die das vom zum zur beim ab seit bis ein eine einem einen eines jeder jedem jeden dieser diesem pro je unser ihr sein".split())
 MONTHS = set("januar februar märz april mai juni juli august september oktober november dezember jänner".split())
-#: Two-part abbreviations written with a blank, by their text before the last stop.
-SPACED = re.compile(r"(?:(?<!\w)(?:(z\.\s?B|d\.\s?h|u\.\s?a|o\.\s?g|s\.\s?o|p\.\s?ex|p\.\s?ej|т\.\s?е|т\.\s?к|i\.\s?e|e\.\s?g|v\.\s?a|u\.\s?U|z\.\s?T|i\.\s?d)|(т\.\s?д|т\.\s?п|EE\.\s?UU|o\.\s?ä|u\.\s?ä|a\.\s?m|p\.\s?m|et\.?\s?al)))$")
 
 # ------------------------------------------------------------------------ layout
 
@@ -160,7 +168,6 @@ def blocks(text: str) -> Iterator[Block]:
 _CANDIDATE = re.compile(r"(?:\.(?![a-z0-9_])|[!?…。！？｡．।॥؟۔;\u037e])+")
 _INK = re.compile(r"\S")
 _LETTER_ONLY = re.compile(r"[^\W\d_]")
-_DOTTED_WORD = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 _SMALL_NUMBER = re.compile(r"\d{1,3}")
 _NUMERIC = re.compile(r"v?\d+(?:\.\d+)*|#?[A-Za-z]?\d+")
 _LETTERS_END = re.compile(r"[^\W\d_]+$")
@@ -177,44 +184,57 @@ _DEVANAGARI = re.compile(r"[ऀ-ॣ०-ॿ]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_END = re.compile(r"(?<=[฀-๿])[ \t\n\u3000]+(?=[\"'“(]?(?:[฀-๿]|[A-ZÀ-Þ#]|[a-z]+[_(]))")
-_TOKEN_EDGE = frozenset("\"'“”„«»()[]{}（）「」")
-_NEXT = re.compile(r"\s*[\"'“”„«»‘’(\[{（「『¿¡—–*_>\s-]*([^\s]*)")
+_NEXT = re.compile(r"\s*[\"'“”„«»‘’(\[{（「『¿¡—–*_>\s-]*([^\s]{0,4096})")
 #: Small-written words that can begin a sentence: identifiers, paths, mixed case, a list's first item.
 _IDENTIFIER = re.compile(r"^(?:[\w.:/-]*(?:[_/()]|\d)|[a-z]+[A-Z]|[a-z]{1,4},$)")
 _NAMELIKE = re.compile(r"^(?:[\w./:-]*[_()/]|[a-z]+\d|[a-z]+[A-Z]|[a-z]{1,4},$)")
 
 
 _OPENING = re.compile(r"[\"'“„«»「『(（\[【‘《‹]")
+_EDGE = re.compile(r"[^\s\"'“”„«»()\[\]{}（）「」]*\Z")
+WORD_MOST = 4096  # characters of a run without blanks that are looked at
 
 
 def _token(text: str, low: int, at: int) -> str:
     """What stands before a place, back to a blank, quote or bracket."""
-    k = at
-    while k > low and not (text[k - 1].isspace() or text[k - 1] in _TOKEN_EDGE):
-        k -= 1
-    return text[k:at]
+    reach = 64
+    while True:
+        begin = max(low, at - reach)
+        m = _EDGE.search(text[begin:at])
+        if m.start() > 0 or begin == low or reach >= WORD_MOST:
+            return m[0]
+        reach *= 8
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Quoted and bracketed stretches of a paragraph, outermost only: (first place, place of the closer)."""
+    """Quoted and bracketed stretches of a paragraph, outermost only: (first place, place of the closer).
+
+    A quotation or bracket closes anywhere in its paragraph, however long it is.
+    """
     out: list[tuple[int, int]] = []
     i, n = 0, len(text)
     if not _OPENING.search(text):
         return out
-    while i < n:
-        ch = text[i]
-        close = -1
-        if ch == '"':
-            if (i == 0 or not (text[i - 1].isalnum() or text[i - 1] in ".!?,")) and i + 1 < n and not text[i + 1].isspace():
-                close = _straight(text, i, '"')
-        elif ch == "'":
-            if (i == 0 or text[i - 1] in " \t\n([") and i + 1 < n and text[i + 1].isalnum():
-                close = _straight(text, i, "'")
+    closers: dict[str, list[int]] = {}
+    brackets: dict[int, int] | None = None
+    while m := _OPENING.search(text, i):
+        i, ch, close = m.start(), m[0], -1
+        if ch in "\"'":
+            before = not (text[i - 1].isalnum() or text[i - 1] in ".!?,") if ch == '"' else text[i - 1] in " \t\n(["
+            if (i == 0 or before) and i + 1 < n and (not text[i + 1].isspace() if ch == '"' else text[i + 1].isalnum()):
+                if ch not in closers:
+                    closers[ch] = [k.start() for k in re.finditer(rf"(?<!\s){ch}(?![^\W_])", text)]
+                close = _after(closers[ch], i)
         elif ch in "(（[【":
-            close = _bracket(text, i, ch, _PAIRS[ch])
-        elif ch in _PAIRS and (ch != "»" or (i + 1 < n and not text[i + 1].isspace() and (i == 0 or not text[i - 1].isalnum()))):
-            ends = [k for c in _PAIRS[ch] if (k := text.find(c, i + 1, i + 500)) > 0]
-            close = min(ends) if ends else -1
+            if brackets is None:
+                brackets = _brackets(text)
+            close = brackets.get(i, -1)
+        elif ch != "»" or (i + 1 < n and not text[i + 1].isspace() and (i == 0 or not text[i - 1].isalnum())):
+            for c in _PAIRS[ch]:
+                if c not in closers:
+                    closers[c] = [k.start() for k in re.finditer(c, text)]
+                if (k := _after(closers[c], i)) > 0 and (close < 0 or k < close):
+                    close = k
         if close > i:
             out.append((i, close))
             i = close
@@ -222,197 +242,271 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _straight(text: str, i: int, mark: str) -> int:
-    k = i
-    while (k := text.find(mark, k + 1, i + 400)) > 0:
-        if (k + 1 == len(text) or not text[k + 1].isalnum()) and not text[k - 1].isspace():
-            return k
-    return -1
+def _after(places: list[int], i: int) -> int:
+    k = bisect_right(places, i)
+    return places[k] if k < len(places) else -1
+
 
+def _brackets(text: str) -> dict[int, int]:
+    """Place of every opening bracket that is closed -> place of its closer."""
+    out: dict[int, int] = {}
+    for a in "(（[【":
+        open_: list[int] = []
+        for m in re.finditer(rf"[\{a}\{_PAIRS[a]}]", text):
+            if m[0] == a:
+                open_.append(m.start())
+            elif open_:
+                out[open_.pop()] = m.start()
+    return out
 
-def _bracket(text: str, i: int, a: str, b: str) -> int:
-    depth = 0
-    for k in range(i, min(len(text), i + 600)):
-        if text[k] == a:
-            depth += 1
-        elif text[k] == b:
-            depth -= 1
-            if not depth:
-                return k
-    return -1
 
+# ---------------------------------------------------------------------- evidence
 
-_SHORT = re.compile(r"(?<!\w)[^\W\d_]{1,6}(?!\w)\.?")
-_STOP_SMALL = re.compile(r"\.(?:[ \t]+|[ \t]*\r?\n[ \t>]*)[a-zà-öø-ÿа-яёα-ωά-ώ]+(?=\s)")
-_WORD_END = re.compile(r"(?<!\w)[^\W\d_]{1,6}$")
+KEY_MOST = 12  # letters of a word that may be an abbreviation
+_PARAGRAPH = re.compile(r"\r?\n(?:[ \t>|+]*\r?\n)+")
+_MARKS = frozenset(">|+")
+_BULLETS = frozenset("-*•·‣–◦")
+_LEAD = "\"'“„«»‘’([{（「『¿¡—–*_"
 _LARGE_INSIDE = re.compile(r"[a-zà-ÿа-яё,] ([^\W\d_]\w*)")
-_SMALL_WORD = re.compile(r"(?<!\w)[a-zà-ÿа-яё]\w*")
+_INITIAL = re.compile(r"(?<![^\s(„“«\"])([^\W\d_])\.[ \xa0\n]*$")
+_ORDINAL = re.compile(r"\d{1,3}\.")
 
+#: What may follow a stop: a small word, a digit, a word that also stands small, any other.
+SMALL, DIGIT, COMMON, OTHER = "s", "d", "c", "p"
 
-class Evidence:
+
+def contexts(text: str) -> Iterator[tuple[str, str, str]]:
+    """(word, what follows its stop, next word in small letters) of the stops of a text.
+
+    ``what`` is one of the above, or ``f`` where a paragraph or list entry is over. The parts of
+    an abbreviation written with blanks (``z. B.``) count as one word, ``z.b``. A word after a
+    number with a stop is given as ``#word`` with ``o``, one after another stop with ``f``.
+    """
+    small = set(text.split())
+    for paragraph in _PARAGRAPH.split(text):
+        tokens = paragraph.split()
+        last = len(tokens) - 1
+        for i in [i for i, t in enumerate(tokens) if t[-1] == "."]:
+            token = tokens[i]
+            k = i + 1
+            while k <= last and tokens[k] in _MARKS:
+                k += 1
+            nxt = tokens[k].lstrip(_LEAD) if k <= last else ""
+            bare = nxt.rstrip(".,;:!?)")
+            if _ORDINAL.fullmatch(token):
+                if bare.isalpha() and bare[0].isupper():
+                    yield "#" + bare.lower(), "o", ""
+                continue
+            word = token[:-1].lstrip(_LEAD)
+            if not word or len(word) > KEY_MOST or not word.replace(".", "").isalpha():
+                if bare.isalpha() and bare[0].isupper():
+                    yield "#" + bare.lower(), "f", ""
+                continue
+            key = word.lower()
+            if len(word) == 1 and len(nxt) >= 2 and nxt[1] == "." and nxt[0].isalpha() and (word.isupper() or nxt[0].islower() or not i or len(tokens[i - 1]) != 2):
+                continue  # the first part of one written with blanks, or an initial before another
+            if len(word) == 1 and i and tokens[i - 1][-1].isdigit():
+                continue  # a unit
+            if len(word) <= 3 and i and len(tokens[i - 1]) == 2 and tokens[i - 1][1] == "." and tokens[i - 1][0].islower():
+                key = f"{tokens[i - 1][0]}.{key}"
+            if k > last or tokens[k] in _BULLETS:
+                yield key, "f", ""
+            elif not nxt:
+                yield key, OTHER, ""
+            elif nxt[0].islower():
+                yield key, OTHER if _IDENTIFIER.match(nxt) else SMALL, ""
+            elif nxt[0].isdigit():
+                yield key, DIGIT, ""
+            else:
+                low = bare.lower()
+                if len(word) > 2 and bare.isalpha():
+                    yield "#" + low, "f", ""
+                yield key, COMMON if low in small and bare != low else OTHER, low if bare.isalpha() and bare != low else ""
+
+
+class Document:
     """What a document itself says on words and stops, read when first asked."""
 
-    def __init__(self, text: str, corpus: "Corpus") -> None:
-        self.text, self.corpus = text, corpus
+    def __init__(self, text: str) -> None:
+        self.text = text
         self._words: set[str] | None = None
-        self._stopped: set[str] | None = None
+        self._seen: dict[str, set[str]] | None = None
         self._large: set[str] | None = None
 
-    def abbreviation(self, word: str) -> bool:
-        """Whether a short word with a stop is an abbreviation: by this document, else by the corpus.
+    @property
+    def words(self) -> set[str]:
+        if self._words is None:
+            self._words = set(self.text.split())
+        return self._words
+
+    def seen(self, key: str) -> set[str]:
+        """What follows the stops of a word, over all its places."""
+        if self._seen is None:
+            self._seen = {}
+            for word, what, _ in contexts(self.text):
+                self._seen.setdefault(word, set()).add(what)
+        return self._seen.get(key, set())
+
+    def ordinary(self, key: str) -> bool:
+        """The word also stands small without a stop, and no stop of it is followed by a small word or digit."""
+        return key in self.words and len(key) > 1 and not {SMALL, DIGIT} & self.seen(key)
 
-        A word that is plain in the corpus is none either way, so the document is not read for it.
+    def abbreviation(self, key: str) -> bool:
+        """A stop of the word is followed by a small word, and it never stands without one.
+
+        A text that begins sentences small, as long words before stops show, says nothing so.
         """
-        if self.corpus.is_plain(word):
-            return False
-        low, text = word.lower(), self.text
-        if self._stopped is None:
-            ends = (_WORD_END.search(text[max(0, m.start() - 8) : m.start()]) for m in _STOP_SMALL.finditer(text))
-            self._stopped = {m[0].lower() for m in ends if m}
-        if low not in self._stopped and not self.corpus.is_abbreviation(word):
+        if SMALL not in (seen := self.seen(key)) or key in self.words or "f" in seen:
             return False
-        if self._words is None:
-            self._words = set(_SHORT.findall(text.lower()))
-        return low not in self._words
+        return not any(len(k) > 6 and "." not in k and SMALL in v for k, v in self._seen.items())
+
+    def common(self, word: str) -> bool:
+        """A large-written word that also stands small."""
+        return word != word.lower() and word.lower() in self.words
 
     def proper(self, word: str) -> bool:
         """Whether ``word`` stands large inside a sentence, and never small."""
         if self._large is None:
             self._large = {m[1] for m in _LARGE_INSIDE.finditer(self.text)}
-            self._small = {m[0] for m in _SMALL_WORD.finditer(self.text)}
-        return word in self._large and word[:1].lower() + word[1:] not in self._small
+        return word in self._large and word.lower() not in self.words
 
 
-class Corpus:
-    """Counts over the whole corpus: words with a stop before a small letter, with a stop, without."""
+class Open(NamedTuple):
+    """A stop that the document leaves open: its word, what follows, and the verdict without other evidence."""
 
-    def __init__(self, abbreviations: set[str] = frozenset(), plain: set[str] = frozenset()) -> None:
-        self.abbreviations, self.plain = abbreviations, plain
+    key: str
+    what: str
+    otherwise: bool
 
-    def is_abbreviation(self, word: str) -> bool:
-        return word.lower() in self.abbreviations
 
-    def is_plain(self, word: str) -> bool:
-        return word.lower() in self.plain
+#: Verdicts by word and what follows; a missing one is no evidence.
+Corpus = dict[str, dict[str, bool]]
 
 
-def _stop_ends(text: str, at: int, end: int, ev: Evidence, start: int = 0, nxt: str | None = None) -> bool:
+def _stop_ends(text: str, at: int, end: int, doc: Document, start: int = 0, nxt: str | None = None) -> bool | Open:
     """Whether the full stop at ``at`` ends a sentence, given what stands around it."""
     if end >= len(text):
         return True
-    spaced = text[end].isspace()
     if nxt is None:
-        nxt = _NEXT.match(text, end, end + 120)[1]
+        nxt = _NEXT.match(text, end)[1]
     first = nxt[:1]
     if not nxt:
         return True
-    word = _token(text, max(start, at - 60), at).lstrip("#*_-–—…")
+    word = _token(text, start, at).lstrip("#*_-–—…")
     low = word.lower()
-    if not spaced:
+    if not text[end].isspace():
         if end > at + 1:  # a closing mark in between
             return False
         if (_NUMERIC.fullmatch(word) or text[at - 1] in ")]}>`»”") and first.isupper():
             return True
         tail = _TAIL.search(word)
-        if not tail or "/" in word or "@" in word or "://" in word or "_" in word:
+        if not tail or "/" in word or "@" in word or "_" in word:
             return False
         unit = len(tail[0]) == 1 and _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1]) is not None
-        if first.isupper() and (len(tail[0]) > 1 or tail[0] in ")%" or unit) and low not in BEFORE_WORD and "." not in word:
-            return True
+        if first.isupper() and (len(tail[0]) > 1 or tail[0] in ")%" or unit) and "." not in word:
+            return Open(low, OTHER, low not in LEADING) if word.isalpha() and len(word) <= KEY_MOST and not doc.ordinary(low) else True
         return len(tail[0]) > 2 and first.isalpha() and not first.isupper() and not first.islower() and not first.isascii() and "." not in word
-    if (len(word) <= 2 or "." in word) and (m2 := SPACED.search(text[max(0, at - 10) : at])) is not None:
-        if m2[1]:
-            return False
-        return _opens(nxt, ev)
-    if _LETTER_ONLY.fullmatch(word) and not _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1]):
-        if word.islower() and word.isascii() is False and first.isupper() and low in MAY_END:
-            return _opens(nxt, ev)
-        if low in MAY_END and not first.isupper():
-            return False
-        if low in MAY_END:
-            return _opens(nxt, ev)
-        return not (first.isalpha() or first.isdigit()) if word.isupper() or low in BEFORE_NUMBER or low in BEFORE_WORD or len(word) == 1 else True
-    if _DEVANAGARI.search(word[-1:]) if word else False:
+    if _SMALL_NUMBER.fullmatch(word) and first.isalpha():
+        return _ordinal(text, at, nxt)
+    if word and _DEVANAGARI.search(word[-1:]):
         return len(word) > 5 and "।" not in text
-    if low in BEFORE_WORD or (_TWICE.fullmatch(word) and re.match(r"([A-Z])\1\.", nxt)):
+    if _TWICE.fullmatch(word) and re.match(r"([A-Z])\1\.", nxt):
         return False
-    if low in BEFORE_NUMBER and len(low) > 1:
-        if first.isdigit() or re.match(r"^[IVXLC]+\b", nxt):
-            return False
-        return _opens(nxt, ev)
-    if low in MAY_END or _DOTTED_WORD.fullmatch(word):
-        return _opens(nxt, ev)
-    if _SMALL_NUMBER.fullmatch(word) and first.isalpha():
-        lead = re.search(r"([^\W\d_]+)\s+\d{1,3}$", text[max(0, at - 24) : at])
-        if (first.islower() and not _NAMELIKE.match(nxt)) or (lead and lead[1].lower() in ARTICLES and first.isupper()) or re.match(r"[^\W\d_]*", nxt)[0].lower() in MONTHS:
-            return False
-        return True
+    small = first.islower() and not _IDENTIFIER.match(nxt)
     letters = _LETTERS_END.search(word)
-    if letters and letters[0] == word and len(word) <= 6 and ev.abbreviation(word):
+    plain = not small or (not word[-1:].isdigit() if letters is None else len(letters[0]) > 2 or "/" in word)
+    unit = len(word) == 1 and _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1]) is not None
+    if not word or len(word) > KEY_MOST or not word.replace(".", "").isalpha() or unit:
+        return plain
+    key = low
+    m = _INITIAL.search(text[max(0, at - len(word) - 6) : at - len(word)]) if len(word) <= 3 else None
+    if len(word) == 1 and nxt[1:2] == "." and first.isalpha() and (word.isupper() or first.islower() or m is None):
         return False
-    if first.islower() and not _IDENTIFIER.match(nxt):
-        # A plain small word follows: an end only after an ordinary word, mark or path.
-        if letters is None:
-            return not word[-1:].isdigit()
-        return len(letters[0]) > 2 or "/" in word
-    return True
-
-
-def _opens(nxt: str, ev: Evidence) -> bool:
-    """Whether the next word opens a sentence after an abbreviation that may end one."""
-    first = nxt[0]
-    if first.islower():
-        return bool(_IDENTIFIER.match(nxt)) and not first.isdigit()
-    if first.isdigit():
+    if m and m[1].islower():
+        key = f"{m[1]}.{low}"
+    dotted = "." in key or len(word) == 1
+    if not dotted and doc.ordinary(key):
+        return plain
+    name = re.match(r"\w*", nxt)[0]
+    what = SMALL if small else DIGIT if first.isdigit() else COMMON if first.isupper() and doc.common(name) else OTHER
+    if doc.abbreviation(key) and (what in (SMALL, DIGIT) or (what == OTHER and first.isupper() and doc.proper(name))):
         return False
-    if first.isupper() and len(name := re.match(r"\w*", nxt)[0]) > 2:
-        return not ev.proper(name)
-    return True
+    return Open(key, what, _otherwise(key, what, plain, dotted, first, doc.proper(name) if first.isupper() and dotted else False))
 
 
-def _ends(text: str, m: re.Match, ev: Evidence, start: int = 0) -> int:
-    """The place after which a sentence that ends at this candidate is over, or -1."""
+def _otherwise(key: str, what: str, plain: bool, dotted: bool, first: str, proper: bool) -> bool:
+    """The verdict where neither document nor corpus says anything: by list, else by form."""
+    if key in LEADING:
+        return False
+    if key in TRAILING:
+        return what in (COMMON, OTHER) and not proper
+    if len(key) == 1:
+        return not (first.isalpha() or first.isdigit())
+    if dotted:
+        return what in (COMMON, OTHER) and not proper
+    return plain
+
+
+def _ordinal(text: str, at: int, nxt: str) -> bool | Open:
+    """A small number with a stop before a word: an ordinal, or an end."""
+    if nxt[0].islower():
+        return bool(_NAMELIKE.match(nxt))
+    name = re.match(r"[^\W\d_]*", nxt)[0].lower()
+    lead = re.search(r"([^\W\d_]+)\s+\d{1,3}$", text[max(0, at - 24) : at])
+    otherwise = not (name in MONTHS or (nxt[0].isupper() and lead is not None and lead[1].lower() in ARTICLES))
+    return Open("#" + name, "o", otherwise) if nxt[0].isupper() and otherwise else otherwise
+
+
+def _ends(text: str, m: re.Match, doc: Document, start: int = 0) -> tuple[int, bool | Open]:
+    """The place after which a sentence that ends at this candidate is over, and whether it ends."""
     marks, at, end = m[0], m.start(), m.end()
     close = end
     while close < len(text) and text[close] in _CLOSER and not (text[close] in "“„«»\"'" and (close + 1 < len(text) and text[close + 1].isalnum()) and text[close - 1] in ".!?…" and text[close] != "”"):
         close += 1
     if close >= len(text) or marks[0] in _ALWAYS or (len(marks) > 1 and not _ALWAYS.isdisjoint(marks)) or not _INK.search(text, close):
-        return close
-    nxt = _NEXT.match(text, close, close + 120)[1]
+        return close, True
+    nxt = _NEXT.match(text, close)[1]
     if marks == ".":
-        return close if _stop_ends(text, at, close, ev, start, nxt) else -1
-    rest = text[close : close + 80]
+        return close, _stop_ends(text, at, close, doc, start, nxt)
+    blank = text[close].isspace()
     first = nxt[:1]
-    if marks[-1] in ";;":
-        return close if _GREEK.search(text[max(0, at - 40) : at]) and rest[0].isspace() and not first.islower() else -1
+    if marks[-1] in ";\u037e":
+        return close, _GREEK.search(text[max(0, at - 40) : at]) is not None and blank and not first.islower()
     if "!" in marks or "?" in marks:
-        token = _token(text, max(start, at - 120), at)
-        if not rest[0].isspace():
-            return close if first.isupper() and "://" not in token and "/" not in token or (first and not first.isascii() and first.isalpha() and "://" not in token) and rest[0] not in ",;:" else -1
-        ahead = rest.lstrip()[:1]
+        token = _token(text, start, at)
+        if not blank:
+            return close, (first.isupper() and "://" not in token and "/" not in token) or bool(first and not first.isascii() and first.isalpha() and "://" not in token and text[close] not in ",;:")
+        ahead = text[_INK.search(text, close).start()]
         if ahead in ",;:":
-            return -1
+            return close, False
         if ahead in _QUOTES or _CASELESS.match(text[at - 1 : at]):
-            return close
-        return -1 if first.islower() and not _NAMELIKE.match(nxt) else close
+            return close, True
+        return close, not first.islower() or bool(_NAMELIKE.match(nxt))
     if "…" in marks or len(marks) > 1:
-        if not rest[0].isspace():
-            return close if first.isupper() else -1
-        if first.islower() and not _NAMELIKE.match(nxt):
-            return -1
-        return close
-    return close if _stop_ends(text, at, close, ev, start) else -1
+        if not blank:
+            return close, first.isupper()
+        return close, not first.islower() or bool(_NAMELIKE.match(nxt))
+    return close, _stop_ends(text, at, close, doc, start, nxt)
 
 
-def sentences(text: str, ev: Evidence) -> list[int]:
-    """Places in a paragraph at which a new sentence begins, 0 first."""
+def sentences(text: str, doc: Document) -> list[tuple[int, bool | Open]]:
+    """Places in a paragraph at which a new sentence begins or may begin, 0 first."""
     inner = spans(text)
-    starts, k = [0], 0
+    out: list[tuple[int, bool | Open]] = [(0, True)]
+    begin, k = 0, 0  # begin: the last beginning, as far as it is known
     greek = (";" in text or "\u037e" in text) and _GREEK.search(text) is not None
+
+    def add(place: int, verdict: bool | Open) -> None:
+        nonlocal begin
+        if verdict is not False:
+            out.append((place, verdict))
+            if verdict is True or verdict.otherwise:
+                begin = place
+
     for m in _CANDIDATE.finditer(text):
-        if m.start() < starts[-1] or (not greek and m[0] in ";\u037e"):
+        if m.start() < begin or (not greek and m[0] in ";\u037e"):
             continue
-        if m.start() - starts[-1] < 40 and not text[starts[-1] : m.start()].strip(" \t\n" + _OPENER):
+        if m.start() - begin < 40 and not text[begin : m.start()].strip(" \t\n" + _OPENER):
             continue  # leading marks belong to what follows
         while k < len(inner) and inner[k][1] < m.start():
             k += 1
@@ -421,106 +515,145 @@ def sentences(text: str, ev: Evidence) -> list[int]:
             closer = inner[k][1]
             if m.end() != closer or text[closer] in "”」』）】" and closer + 1 < len(text) and not text[closer + 1].isspace():
                 continue
-            rest = text[closer + 1 : closer + 121]
-            nxt = _NEXT.match(rest)[1]
-            if not rest.strip():
+            ink = _INK.search(text, closer + 1)
+            if ink is None or ink.start() == closer + 1 or text[ink.start()] in "—–-,;:":
                 continue
-            if rest[0].isspace() and nxt[:1] and not nxt[:1].islower() and not nxt[:1].isdigit() and rest.lstrip()[:1] not in "—–-,;:" and (text[m.start()] != "." or _stop_ends(text, m.start(), closer + 1, ev, starts[-1])):
-                if text[inner[k][0]] in "(（[【" or inner[k][0] <= starts[-1] + 1 or text[m.start()] in ".!?":
-                    starts.append(closer + 1)
+            nxt = _NEXT.match(text, closer + 1)[1]
+            if nxt and not nxt[0].islower() and not nxt[0].isdigit() and (text[inner[k][0]] in "(（[【" or inner[k][0] <= begin + 1 or text[m.start()] in ".!?"):
+                add(closer + 1, True if text[m.start()] != "." else _stop_ends(text, m.start(), closer + 1, doc, begin, nxt))
             continue
-        place = _ends(text, m, ev, starts[-1])
-        if place > 0 and _INK.search(text, place):
-            starts.append(place)
+        place, verdict = _ends(text, m, doc, begin)
+        if verdict is not False and _INK.search(text, place):
+            add(place, verdict)
     if _THAI.search(text):
-        inside = lambda p: any(a < p < b for a, b in inner)
-        starts = sorted({*starts, *(m.end() for m in _THAI_END.finditer(text) if not inside(m.start()))})
-    return starts
+        firsts = [a for a, _ in inner]
+        inside = lambda p: (i := bisect_left(firsts, p)) > 0 and inner[i - 1][1] > p
+        known = dict(out) | {m.end(): True for m in _THAI_END.finditer(text) if not inside(m.start())}
+        out = sorted(known.items())
+    return out
 
 
-def unit_starts(text: str | None, corpus: Corpus | None = None) -> list[int]:
-    """Places (from 0) of the first letter or digit of every unit, in order."""
+def candidates(text: str | None) -> list[tuple[int, Open | None]]:
+    """Places (from 0) of the first letter or digit of every unit, in order; those of stops left open with what decides them."""
     if not text:
         return []
-    ev = Evidence(text, corpus or Corpus())
-    out: list[int] = []
+    doc = Document(text)
+    out: dict[int, Open | None] = {}
     for block in blocks(text):
         body = block.text
-        begins = sentences(body, ev) if block.kind == "text" else [0]
-        for a, b in zip(begins, [*begins[1:], len(body)]):
-            if m := _LETTER.search(body, a, b):
-                out.append(block.source(m.start()))
-    return out
+        for place, verdict in sentences(body, doc) if block.kind == "text" else [(0, True)]:
+            if m := _LETTER.search(body, place):
+                at = block.source(m.start())
+                if verdict is True or at not in out:
+                    out[at] = None if verdict is True else verdict
+    return sorted(out.items())
+
+
+def unit_starts(text: str | None, corpus: Corpus | None = None) -> list[int]:
+    """Places (from 0) of the first letter or digit of every unit, in order, given what the corpus says on words."""
+    known = corpus or {}
+    return [at for at, v in candidates(text) if v is None or known.get(v.key, {}).get(v.what, v.otherwise)]
 
 
 # --------------------------------------------------------------------- operators
 
 HELD = 100_000  # words a task counts before it passes them on
+LEAST = 5  # stops of a word that are evidence
+OFTEN = 40  # stops of a word of which an ordinary one would close a paragraph
+_COUNTS = ["s", "d", "c", "p", "f", "o"]
 
 
 def stop_counts(documents: DataFrame) -> DataFrame:
-    """(word, stopped_small, stopped, plain): counts over all documents, fused in batches first."""
+    """(key, next, s, d, c, p, f, o): what follows the stops of each word, over all documents; fused in tasks first.
+
+    ``next`` is the large-written word that follows, else empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small, stopped, plain = Counter(), Counter(), Counter()
+        counts: dict[tuple[str, str], list[int]] = {}
+        column = {c: i for i, c in enumerate(_COUNTS)}
         for b in batches:
             for text in b.column(0).to_pylist():
-                tokens = text.split()
-                plain.update(filter(str.isalpha, tokens))
-                for token, after in zip(tokens, [*tokens[1:], ""]):
-                    if token[-1] == "." and token[:-1].isalpha():
-                        stopped[token[:-1]] += 1
-                        small[token[:-1]] += after[:1].islower()
-            if len(plain) + len(stopped) > HELD:
-                yield table(small, stopped, plain)
-                small, stopped, plain = Counter(), Counter(), Counter()
-        yield table(small, stopped, plain)
-
-    def table(*counters: Counter) -> pa.RecordBatch:
-        low: dict[str, list[int]] = {}
-        for i, c in enumerate(counters):
-            for w, n in c.items():
-                if 1 < len(w) < 7:
-                    low.setdefault(w.lower(), [0, 0, 0])[i] += n
-        arrays = [pa.array(list(low), pa.string()), *(pa.array([n[i] for n in low.values()], pa.int64()) for i in range(3))]
-        return pa.RecordBatch.from_arrays(arrays, names=["word", "stopped_small", "stopped", "plain"])
-
-    counted = spread(documents.select("text").where("text is not null")).mapInArrow(run, "word string, stopped_small bigint, stopped bigint, plain bigint")
-    return counted.groupBy("word").agg(F.sum("stopped_small").alias("stopped_small"), F.sum("stopped").alias("stopped"), F.sum("plain").alias("plain"))
-
-
-def corpus_evidence(documents: DataFrame) -> Corpus:
-    """The corpus fallback: words that mostly stand with a stop, before small letters, and
-    frequent words that mostly stand without.
-
-    A word counts from one in a million of all occurrences (and five), so at most a million
-    words can count, whatever the corpus; that bounds what is collected and sent out.
+                for key, what, low in contexts(text):
+                    row = counts.get((key, low))
+                    if row is None:
+                        row = counts[key, low] = [0] * len(column)
+                    row[column[what]] += 1
+            if len(counts) > HELD:
+                yield table(counts)
+                counts.clear()
+        yield table(counts)
+
+    def table(counts: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+        arrays = [pa.array([k[i] for k in counts], pa.string()) for i in range(2)] + [pa.array([n[i] for n in counts.values()], pa.int64()) for i in range(len(_COUNTS))]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "next", *_COUNTS])
+
+    counted = spread(documents.select("text").where("text is not null")).mapInArrow(run, "key string, next string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return counted.groupBy("key", "next").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def corpus_evidence(counts: DataFrame) -> DataFrame:
+    """(key, s, d, c, p, o): verdicts on stops by what follows, true for an end, null for no evidence; of :func:`stop_counts`.
+
+    Shares of the stops of a word decide: one often followed by small words or digits, or only
+    by names, and never at the end of a paragraph, abbreviates. A large-written word is common
+    if it often stands small in the documents where it follows a stop. Words without any
+    verdict against an end are left out, as an end is what remains.
     """
-    from changelode.plans.durable import durable
-
-    counts = durable(stop_counts(documents))
-    total = counts.agg(F.sum(F.col("stopped") + F.col("plain"))).first()[0] or 0
-    least = max(5, total // 1_000_000 + 1)
-    often = counts.where(F.col("stopped") + F.col("plain") >= least)
-    abbreviations = often.where((F.col("stopped_small") >= 5) & (F.col("stopped_small") >= 0.4 * F.col("stopped")) & (F.col("plain") <= 0.2 * F.col("stopped")))
-    plain = often.where(F.col("plain") >= 0.1 * F.col("stopped"))
-    found = {r[0] for r in abbreviations.select("word").collect()}
-    return Corpus(found, {r[0] for r in plain.select("word").collect()} - found)
-
-
-def sentence_starts(documents: DataFrame, corpus: Corpus | None = None) -> DataFrame:
-    """(doc_id, start_pos): one row for each unit; positions count characters from 1."""
-    shared = documents.sparkSession.sparkContext.broadcast(corpus if corpus is not None else corpus_evidence(documents))
+    following = counts.where("next != ''").groupBy("next").agg((F.sum("c") >= 0.005 * F.sum(F.col("c") + F.col("p"))).alias("begins"))
+    joined = counts.join(following, "next", "left")
+    large = F.when(F.col("next") != "", F.col("c") + F.col("p"))
+    words = joined.groupBy("key").agg(*[F.sum(c).alias(c) for c in _COUNTS], F.sum(large).alias("large"), F.sum(F.when(F.col("begins"), large)).alias("begun"))
+    n = F.col("s") + F.col("d") + F.col("c") + F.col("p") + F.col("f")
+    closes = F.col("f") >= 0.02 * n
+    goes_on = F.col("s") + F.col("d") >= 0.5 * n
+    begun = F.try_divide(F.coalesce("begun", F.lit(0)), "large")
+    names = (F.coalesce(begun, F.lit(0)) < 0.1) & ((F.col("large") >= LEAST) | ((F.col("f") == 0) & (n >= OFTEN)))
+    capital = F.when(closes, True).when(goes_on | names, False).when(begun >= 0.3, True)
+    ordinal = F.try_divide("o", F.col("o") + F.col("f"))
+    enough = (n >= LEAST) & ~F.col("key").startswith("#")
+    verdicts = words.select(
+        "key",
+        F.when(enough & (F.col("s") >= 3) & (F.col("s") >= 0.15 * n), False).alias("s"),
+        F.when(enough & (F.col("d") >= 0.3 * n), False).when(enough & (F.col("d") < 0.1 * n) & closes, True).alias("d"),
+        F.when(enough, capital).alias("c"),
+        F.when(enough, capital).alias("p"),
+        F.when(F.col("key").startswith("#") & (F.col("o") + F.col("f") >= LEAST), F.when(ordinal >= 0.5, False).when(ordinal < 0.05, True)).alias("o"),
+    )
+    listed = F.col("key").isin(sorted(LEADING | TRAILING)) | F.col("key").contains(".") | (F.length("key") == 1)
+    against = F.lit(False)
+    for c in ("s", "d", "c", "p", "o"):
+        against = against | F.coalesce(~F.col(c), F.lit(False))
+    return verdicts.where(against | (listed & F.coalesce("s", "d", "c", "p", "o").isNotNull()))
+
+
+def sentence_starts(documents: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start_pos): one row for each unit; positions count characters from 1.
+
+    Rows of certain beginnings carry keys that spread them and meet no evidence.
+    """
+    evidence = durable(corpus_evidence(stop_counts(documents))) if evidence is None else evidence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
-                ids, places = [], []
+                ids, places, keys, whats, verdicts = [], [], [], [], []
                 for doc, text in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
-                    got = unit_starts(text, shared.value)
+                    got = candidates(text)
+                    certain = f"!{doc % 4096}"
                     ids += [doc] * len(got)
-                    places += [p + 1 for p in got]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["doc_id", "start_pos"])
+                    for at, v in got:
+                        places.append(at + 1)
+                        keys.append(certain if v is None else v.key)
+                        whats.append(None if v is None else v.what)
+                        verdicts.append(v is None or v.otherwise)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(places, pa.int64()), pa.array(keys, pa.string()), pa.array(whats, pa.string()), pa.array(verdicts, pa.bool_())], names=["doc_id", "start_pos", "key", "what", "otherwise"]
+                )
 
     texts = documents.select("doc_id", "text").where("doc_id is not null and text is not null and text != ''")
-    return spread(texts, "doc_id").mapInArrow(run, "doc_id bigint, start_pos bigint")
+    found = spread(texts, "doc_id").mapInArrow(run, "doc_id bigint, start_pos bigint, key string, what string, otherwise boolean")
+    verdict = F.lit(None).cast("boolean")
+    for c in ("s", "d", "c", "p", "o"):
+        verdict = F.when(F.col("what") == c, F.col(f"e.{c}")).otherwise(verdict)
+    return found.alias("u").join(evidence.alias("e"), F.col("u.key") == F.col("e.key"), "left").where(F.coalesce(verdict, F.col("otherwise"))).select("doc_id", "start_pos")
