@@ -17,8 +17,8 @@ stop is decided by the word before it and what follows, in this order:
 
 Texts are read once for the counts and once for the units. A stop that the document leaves open
 leaves the scan as a narrow row with its word, which meets the corpus evidence in a join; so
-evidence of any size works, nothing is collected, and the engine sends the evidence to all
-tasks only if its measured size is small.
+evidence of any size works and nothing is collected: counted small evidence is sent to all
+tasks, larger is shuffled.
 
 Defined results: null and empty texts, and texts without letters and digits, have no units. A
 run of more than 4,096 characters without a blank is no word, so a stop in it is judged by its
@@ -174,6 +174,8 @@ _LETTERS_END = re.compile(r"[^\W\d_]+$")
 _TAIL = re.compile(r"[^\W\d_]+$|[)%]$")
 _NUMBER_BEFORE = re.compile(r"\d[\s\xa0]$")
 _TWICE = re.compile(r"([A-Z])\1")
+_TWICE_NEXT = re.compile(r"([A-Z])\1\.")
+_NAME = re.compile(r"\w*")
 _CLOSER = "\"'”’»«“)]}）】」』〉》›〗＂"
 _OPENER = "\"'“„‚«»‘([{（【「『〈《¿¡‹›"
 _ALWAYS = set("。！？｡।॥؟۔")
@@ -267,7 +269,7 @@ _PARAGRAPH = re.compile(r"\r?\n(?:[ \t>|+]*\r?\n)+")
 _MARKS = frozenset(">|+")
 _BULLETS = frozenset("-*•·‣–◦")
 _LEAD = "\"'“„«»‘’([{（「『¿¡—–*_"
-_LARGE_INSIDE = re.compile(r"[a-zà-ÿа-яё,] ([^\W\d_]\w*)")
+_LARGE_INSIDE = re.compile(r"(?<=[a-zà-ÿа-яё,] )([^\W\d_]\w*)")
 _INITIAL = re.compile(r"(?<![^\s(„“«\"])([^\W\d_])\.[ \xa0\n]*$")
 _ORDINAL = re.compile(r"\d{1,3}\.")
 
@@ -275,14 +277,14 @@ _ORDINAL = re.compile(r"\d{1,3}\.")
 SMALL, DIGIT, COMMON, OTHER = "s", "d", "c", "p"
 
 
-def contexts(text: str) -> Iterator[tuple[str, str, str]]:
+def contexts(text: str, words: set[str] | None = None) -> Iterator[tuple[str, str, str]]:
     """(word, what follows its stop, next word in small letters) of the stops of a text.
 
     ``what`` is one of the above, or ``f`` where a paragraph or list entry is over. The parts of
     an abbreviation written with blanks (``z. B.``) count as one word, ``z.b``. A word after a
     number with a stop is given as ``#word`` with ``o``, one after another stop with ``f``.
     """
-    small = set(text.split())
+    small = set(text.split()) if words is None else words
     for paragraph in _PARAGRAPH.split(text):
         tokens = paragraph.split()
         last = len(tokens) - 1
@@ -343,7 +345,7 @@ class Document:
         """What follows the stops of a word, over all its places."""
         if self._seen is None:
             self._seen = {}
-            for word, what, _ in contexts(self.text):
+            for word, what, _ in contexts(self.text, self.words):
                 self._seen.setdefault(word, set()).add(what)
         return self._seen.get(key, set())
 
@@ -406,32 +408,39 @@ def _stop_ends(text: str, at: int, end: int, doc: Document, start: int = 0, nxt:
         if first.isupper() and (len(tail[0]) > 1 or tail[0] in ")%" or unit) and "." not in word:
             return Open(low, OTHER, low not in LEADING) if word.isalpha() and len(word) <= KEY_MOST and not doc.ordinary(low) else True
         return len(tail[0]) > 2 and first.isalpha() and not first.isupper() and not first.islower() and not first.isascii() and "." not in word
-    if _SMALL_NUMBER.fullmatch(word) and first.isalpha():
-        return _ordinal(text, at, nxt)
-    if word and _DEVANAGARI.search(word[-1:]):
-        return len(word) > 5 and "।" not in text
-    if _TWICE.fullmatch(word) and re.match(r"([A-Z])\1\.", nxt):
-        return False
     small = first.islower() and not _IDENTIFIER.match(nxt)
-    letters = _LETTERS_END.search(word)
-    plain = not small or (not word[-1:].isdigit() if letters is None else len(letters[0]) > 2 or "/" in word)
-    unit = len(word) == 1 and _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1]) is not None
-    if not word or len(word) > KEY_MOST or not word.replace(".", "").isalpha() or unit:
-        return plain
     key = low
-    m = _INITIAL.search(text[max(0, at - len(word) - 6) : at - len(word)]) if len(word) <= 3 else None
-    if len(word) == 1 and nxt[1:2] == "." and first.isalpha() and (word.isupper() or first.islower() or m is None):
-        return False
-    if m and m[1].islower():
-        key = f"{m[1]}.{low}"
+    if word.isalpha() and word[-1] < "\u0900":
+        n = len(word)
+        plain = not small or n > 2
+        if n > KEY_MOST or (n == 1 and _NUMBER_BEFORE.search(text[max(0, at - 3) : at - 1])):
+            return plain
+        if n == 2 and _TWICE.fullmatch(word) and _TWICE_NEXT.match(nxt):
+            return False
+        if n <= 3:
+            m = _INITIAL.search(text[max(0, at - n - 6) : at - n])
+            if n == 1 and nxt[1:2] == "." and first.isalpha() and (word.isupper() or first.islower() or m is None):
+                return False
+            if m and m[1].islower():
+                key = f"{m[1]}.{low}"
+    else:
+        if _SMALL_NUMBER.fullmatch(word) and first.isalpha():
+            return _ordinal(text, at, nxt)
+        if word and _DEVANAGARI.search(word[-1:]):
+            return len(word) > 5 and "।" not in text
+        letters = _LETTERS_END.search(word)
+        plain = not small or (not word[-1:].isdigit() if letters is None else len(letters[0]) > 2 or "/" in word)
+        if not word or len(word) > KEY_MOST or not word.replace(".", "").isalpha():
+            return plain
     dotted = "." in key or len(word) == 1
     if not dotted and doc.ordinary(key):
         return plain
-    name = re.match(r"\w*", nxt)[0]
-    what = SMALL if small else DIGIT if first.isdigit() else COMMON if first.isupper() and doc.common(name) else OTHER
-    if doc.abbreviation(key) and (what in (SMALL, DIGIT) or (what == OTHER and first.isupper() and doc.proper(name))):
+    name = _NAME.match(nxt)[0]
+    large = first.isupper()
+    what = SMALL if small else DIGIT if first.isdigit() else COMMON if large and doc.common(name) else OTHER
+    if doc.abbreviation(key) and (what in (SMALL, DIGIT) or (what == OTHER and large and doc.proper(name))):
         return False
-    return Open(key, what, _otherwise(key, what, plain, dotted, first, doc.proper(name) if first.isupper() and dotted else False))
+    return Open(key, what, _otherwise(key, what, plain, dotted, first, large and dotted and doc.proper(name)))
 
 
 def _otherwise(key: str, what: str, plain: bool, dotted: bool, first: str, proper: bool) -> bool:
@@ -559,6 +568,7 @@ def unit_starts(text: str | None, corpus: Corpus | None = None) -> list[int]:
 
 HELD = 100_000  # words a task counts before it passes them on
 LEAST = 5  # stops of a word that are evidence
+SENT = 200_000  # rows of evidence, a few megabytes, that are sent to all tasks; more are joined by a shuffle of narrow rows
 OFTEN = 40  # stops of a word of which an ordinary one would close a paragraph
 _COUNTS = ["s", "d", "c", "p", "f", "o"]
 
@@ -632,7 +642,9 @@ def sentence_starts(documents: DataFrame, evidence: DataFrame | None = None) ->
 
     Rows of certain beginnings carry keys that spread them and meet no evidence.
     """
-    evidence = durable(corpus_evidence(stop_counts(documents))) if evidence is None else evidence
+    evidence = durable(corpus_evidence(durable(stop_counts(documents)))) if evidence is None else evidence
+    if evidence.count() <= SENT:
+        evidence = F.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
