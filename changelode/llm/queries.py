@@ -48,6 +48,12 @@ def p5_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
 
 
+def p5_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Where each disclosed passage stands: characters of the document, first word of the item, words matched."""
+    found = leak.leaks(table(spark, d, "documents"), table(spark, d, "eval_keys"))
+    return found.select("doc_id", "item_id", "start_pos", "end_pos", "item_word", "matched_words")
+
+
 def p5_clean(spark: SparkSession, d: str) -> DataFrame:
     """The documents that are left when all that disclose an item are removed."""
     documents = table(spark, d, "documents")
@@ -76,7 +82,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_masked, p1_masked_editors, p5_found, p5_items, p5_clean, p6_ids, p7_packing, p7_fill, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_masked, p1_masked_editors, p5_found, p5_items, p5_passages, p5_clean, p6_ids, p7_packing, p7_fill, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:

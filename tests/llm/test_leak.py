@@ -40,6 +40,60 @@ def test_matches_equal_brute_force():
     assert got == want
 
 
+def test_repeated_trigrams_do_not_break_a_passage():
+    # Document and item repeat phrases, so very many short matches lie between true neighbours.
+    rng = random.Random(8)
+    phrase = "see the log".split()
+    w = [x for i in range(60) for x in (f"k{i}", *phrase)]
+    doc = [x for i, x in enumerate(w[:160])  if i % 19 != 4]
+    noise = phrase * 80
+    text = np.array([], np.int32)
+    items = leak.Items([(1, " ".join(w), None)])
+    text = np.array([items.number.get(x, -1) for x in noise[:60] + doc + noise], np.int32)
+    p, q, n = leak.matches(text, items)
+    got = leak.passages(p, q, n)
+    assert got.span >= 150 and got.matched >= 120
+
+    def brute(p, q, n):  # every chain against every earlier one
+        order = sorted(range(len(p)), key=lambda i: (p[i], q[i]))
+        best, top = {}, 0
+        for i in order:
+            best[i] = max([(float(n[i]), q[i])] + [
+                (best[j][0] + n[i] - over - 0.1 * abs((p[i] - p[j]) - (q[i] - q[j])), best[j][1]) for j in best
+                if q[j] < q[i] and p[j] < p[i] and p[i] - p[j] - n[j] <= leak.REACH and q[i] - q[j] - n[j] <= leak.REACH and (over := max(0, p[j] + n[j] - p[i], q[j] + n[j] - q[i])) < n[i]
+            ], key=lambda t: t[0])
+            span = q[i] + n[i] - best[i][1]
+            if best[i][0] >= leak.DENSE * span:
+                top = max(top, span)
+        return top
+
+    assert brute(p.tolist(), q.tolist(), n.tolist()) == got.span
+    assert rng
+
+
+def test_blocks_find_what_one_search_finds(monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(item(rng, 40)), None) for i in range(5)]
+    docs = [" ".join([*item(rng, 10), *body.split()[5:30], *item(rng, 10)]) for _, body, _ in items] * 2
+    whole = found(docs, items)
+    monkeypatch.setattr(leak, "BLOCK_PAIRS", 7)
+    assert found(docs, items) == whole and len(whole) == 10
+
+
+def test_locations_equal_find():
+    rng = random.Random(10)
+    w = item(rng)
+    passage = " ".join(w[10:60])
+    docs = [f"Intro, here: {passage}. The end", f"> quoted\n> é\u200bx <b>{passage.upper()}</b> end", f"long-\nword ﬁne {passage}"]
+    rows = list(leak._leaks(pd.DataFrame({"doc_id": range(3), "text": docs}), leak.Items([(1, " ".join(w), None)])))
+    assert [(r[0], r[1], r[6]) for r in rows] == [(0, 1, 10), (1, 1, 10), (2, 1, 10)]
+    for r, text in zip(rows, docs):
+        at = text.lower().find(passage)
+        assert (r[4] - 1, r[5]) == (at, at + len(passage))
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    assert [r[4:6] for r in leak._leaks(pd.DataFrame({"doc_id": [1], "text": [f"see {sha} and {sha}"]}), leak.Items([(1, None, [sha])]))] == [(5, 44)]
+
+
 def item(rng, n=100):
     return [rng.choice(WORDS) for _ in range(n)]
 
@@ -70,7 +124,7 @@ def test_commit_ids():
     assert found(docs, [(1, None, [sha, None, "short"])]) == {(0, 1), (1, 1)}
 
 
-def test_operator(spark):
+def test_operator(spark, monkeypatch):
     rng = random.Random(6)
     w = " ".join(item(rng))
     docs = spark.createDataFrame([(1, w), (1, w), (2, w), (3, None), (4, "x" * 200000), (None, w), (2**60 + 1, w)], "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "2 AS share")
@@ -78,4 +132,6 @@ def test_operator(spark):
     out = leak.leaks(docs, keys)
     assert sorted((r.doc_id, r.item_id, r.share) for r in out.collect()) == [(1, 5, 1.0), (2, 5, 1.0), (2**60 + 1, 5, 1.0)]
     assert sorted(r.doc_id for r in leak.without_leaks(docs, out).where("doc_id is not null").collect()) == [3, 4]
+    monkeypatch.setattr(leak, "GROUP_ITEMS", 1)
+    assert len(leak.held_out(keys)) == 2 and sorted((r.doc_id, r.item_id) for r in leak.leaks(docs, keys).collect()) == [(1, 5), (2, 5), (2**60 + 1, 5)]
     assert leak.leaks(docs.limit(0), keys).count() == 0 and leak.leaks(docs, keys.limit(0)).count() == 0
