@@ -19,3 +19,11 @@ def parse_time(c: Column) -> Column:
     s = F.regexp_replace(s, r"(T[\d:.]+)\s*([+-]\d{2}):?(\d{2})$", "$1$2:$3")
     s = F.regexp_replace(s, r"(T[\d:.]+)\s*([+-]\d{2})$", "$1$2:00")
     return s.try_cast("timestamp")
+
+
+def exact_time(t: Column) -> Column:
+    """A TIMESTAMP as ISO 8601 text in UTC, with as many digits of a fraction as it needs."""
+    micros = F.unix_micros(t)
+    rest = F.pmod(micros, F.lit(1_000_000))
+    fraction = F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(rest.cast("string"), 6, "0"), "0+$", "")))
+    return F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))

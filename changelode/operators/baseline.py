@@ -40,10 +40,12 @@ def window_totals(changes: DataFrame, cases: DataFrame, entity: list[str], measu
 
 
 def verdicts(totals: DataFrame, cases: DataFrame, min_commits: int = MIN_COMMITS) -> DataFrame:
-    """(case_id, subsystem, commits, churn, defects, score, tercile, risky) of each case's own subsystem.
+    """(case_id, subsystem, commits, churn, defects, score, tercile, risky, reason) of each case's own subsystem.
 
     Only subsystems with ``min_commits`` are scored: the mean of the mid-rank percentiles of
-    defect density and churn among them. An inactive or absent one is not risky.
+    defect density and churn among them. An inactive or absent one is not risky, for the reason
+    ``low_activity`` or ``no_commits``; a scored one has an empty reason. A case without a known
+    subsystem has a null verdict.
     ``totals``: case_id, subsystem, commits, churn, defects; ``cases``: case_id, subsystem.
     """
     totals = durable(totals)  # read several times below
@@ -54,4 +56,5 @@ def verdicts(totals: DataFrame, cases: DataFrame, min_commits: int = MIN_COMMITS
     scored = scored.join(thirds, ["case_id", "score"]).select("case_id", "subsystem", "score", "tercile")
     out = cases.select("case_id", "subsystem").join(totals, ["case_id", "subsystem"], "left").join(scored, ["case_id", "subsystem"], "left")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("case_id", "subsystem", n("commits"), n("churn"), n("defects"), "score", "tercile", F.coalesce(F.col("tercile") == 3, F.lit(False)).alias("risky"))
+    reason = F.when(F.coalesce("commits", F.lit(0)) == 0, "no_commits").when(F.col("commits") < min_commits, "low_activity").otherwise("")
+    return out.select("case_id", "subsystem", n("commits"), n("churn"), n("defects"), "score", "tercile", F.when(F.col("subsystem").isNotNull(), F.coalesce(F.col("tercile") == 3, F.lit(False))).alias("risky"), reason.alias("reason"))

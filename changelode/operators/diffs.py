@@ -161,9 +161,12 @@ def multiset_overlap(left: DataFrame, right: DataFrame, group: list[str], item:
     return both.groupBy(*group).agg(F.sum("a").alias("left_items"), F.sum("b").alias("right_items"), F.sum(F.least("a", "b")).alias("shared"))
 
 
-def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: list[str]) -> DataFrame:
+def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: list[str], patches: DataFrame | None = None) -> DataFrame:
     """How far later changes take back original ones, by key.
 
+    ``patches``: key, original_patch, reverse_patch (of the later change read backwards); equal
+    ids that are not empty make the reversal ``full``, whatever the lines say.
+
     ``original`` and ``later``: key, kind (``+``/``-``), path, content; ``supported``: key, path,
     content of removed lines that trace to the original. A later removal matches an original
     addition and the reverse; a candidate needs two matches in one path or one that is supported.
@@ -182,4 +185,11 @@ def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: l
     )
     total = F.col("added") + F.col("removed")
     overlap = F.col("removed_again") + F.col("added_again")
-    return out.select(*key, "added", "removed", "removed_again", "added_again", "supported", F.coalesce(F.try_divide(overlap, total), F.lit(0.0)).alias("fraction"), F.when(F.col("candidate"), "partial_candidate").otherwise("none").alias("reversal_type"))
+    if patches is not None:
+        whole = patches.where((F.col("original_patch") != "") & (F.col("original_patch") == F.col("reverse_patch"))).select(*key).distinct().withColumn("full", F.lit(True))
+        out = out.join(whole, key, "full")
+    else:
+        out = out.withColumn("full", F.lit(False))
+    kind = F.when(F.coalesce("full", F.lit(False)), "full").when(F.col("candidate"), "partial_candidate").otherwise("none")
+    counts = [n(c).alias(c) for c in ("added", "removed", "removed_again", "added_again", "supported")]
+    return out.select(*key, *counts, F.coalesce(F.try_divide(overlap, total), F.lit(0.0)).alias("fraction"), kind.alias("reversal_type"))

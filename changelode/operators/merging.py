@@ -49,12 +49,15 @@ def batch_of(number: Column, size: int = 50) -> Column:
     return F.floor(number / size).cast("bigint")
 
 
-def batches(rows: DataFrame, group: list[str], order: str, size: int = 50, chunk: int = 1_000_000) -> DataFrame:
-    """``rows`` with fixed batch numbers in key order; positions are counted in two levels."""
-    cut = rows.withColumn("_chunk", F.floor(F.col(order) / chunk))
+def batches(rows: DataFrame, group: list[str], order: str, size: int = 50, chunk: int = 1_000_000, tie: str | None = None) -> DataFrame:
+    """``rows`` with fixed batch numbers in key order, nulls first; positions are counted in two levels.
+
+    ``tie`` orders rows of equal keys, so that batches never depend on how rows arrive.
+    """
+    cut = rows.withColumn("_chunk", F.coalesce(F.floor(F.col(order) / chunk), F.lit(-(2**62))))
     before = Window.partitionBy(*group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*group, "_chunk").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    here = F.row_number().over(Window.partitionBy(*group, "_chunk").orderBy(order)) - 1
+    here = F.row_number().over(Window.partitionBy(*group, "_chunk").orderBy(F.asc_nulls_first(order), *([tie] if tie else []))) - 1
     return cut.withColumn("_here", here).join(sums, [*group, "_chunk"]).withColumn("batch", batch_of(F.col("_here") + F.col("_before"), size)).drop("_chunk", "_here", "_before")
 
 

@@ -15,6 +15,29 @@ def records(pr_record: DataFrame) -> DataFrame:
     return pr_record.where(F.col("original").isNotNull()).dropDuplicates(["record_id"])
 
 
+def place(log: DataFrame) -> Column:
+    """A row's place in the log; unknown places come last."""
+    return F.coalesce("log_idx", F.lit(2**62)) if "log_idx" in log.columns else F.lit(0).cast("bigint")
+
+
+def first_places(log: DataFrame) -> DataFrame:
+    """(repository, sha, place): the first row of each commit, as narrow rows."""
+    return log.where("sha is not null and repository is not null").groupBy("repository", "sha").agg(F.min(place(log)).alias("place"))
+
+
+def patches(pr_record: DataFrame) -> DataFrame:
+    """(record_id, sha, patch): patch ids of later commits, as the stored signals record them."""
+    r = pr_record.where(F.col("original").isNotNull())
+    each = [r.select("record_id", F.explode(f"retrospective.{t}").alias("s")).select("record_id", F.col("s.source_ref").alias("sha"), F.col("s.logical_patch_id").alias("patch")) for t in ("strong_signals", "medium_signals")]
+    return each[0].unionByName(each[1]).where("sha is not null and patch != ''").groupBy("record_id", "sha").agg(F.min("patch").alias("patch"))
+
+
+def locations_of_commits(prs: DataFrame) -> DataFrame:
+    """(repository, sha, path, function): functions of the commits that belong to a request, as its record lists them."""
+    own = prs.select("repository", "commit_shas", F.explode("changed_function_locations").alias("l"))
+    return own.select("repository", F.explode("commit_shas").alias("sha"), "l.path", "l.function").where("sha is not null and path != '' and function != ''").distinct()
+
+
 def requests(pr_record: DataFrame) -> DataFrame:
     """The original facts of each request, flat."""
     return records(pr_record).select("record_id", "original.*", F.col("provenance.observation_end").alias("observation_end"))
@@ -22,7 +45,7 @@ def requests(pr_record: DataFrame) -> DataFrame:
 
 def commits(log: DataFrame) -> DataFrame:
     """One row a commit and repository; the first of repeated rows by log position."""
-    cols = ["sha", "author_date", "committer_date", "subject", "full_message", "log_idx"]
+    cols = ["sha", "author_date", "committer_date", "subject", "full_message", "parents", "log_idx"]
     first = F.min_by(F.struct(*cols), F.coalesce("log_idx", F.lit(2**62))).alias("c")
     return log.where("sha is not null and repository is not null").groupBy("repository", F.col("sha").alias("key")).agg(first).select("repository", "c.*")
 

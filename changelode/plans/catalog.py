@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from changelode.functions import paths, refs
-from changelode.functions.times import parse_time
+from changelode.functions.times import exact_time, parse_time
 from changelode.operators import baseline, correlate, diffs, keys, matching, merging, ranking, records, relations, rules
 from changelode.sources.tables import table
 
@@ -38,14 +38,33 @@ def _quoted(pattern: str) -> str:
 
 # ----------------------------------------------------------- shared SQL
 
+
+class Sql:
+    """Patterns of the oracles, written for RE2 apart from those of the functions they check."""
+
+    FIXES_SHA = r"""(?i)(?:fixed-by|fixed\s+by|fixes(?:\s+(?:commit|in))?):\s*[\"']?([a-f0-9]{6,40})[\"']?"""
+    FIXES_PR = r"(?i)(?:closes|resolves|reverts|fixes|fixed-by)\s*:?\s*#(\d+)\b"
+    REVERT_COMMIT = r"""(?i)(?:(?:this\s+)?reverts\s+commit|revert(?:ed)?\s+commit)\s+[\"']?([a-f0-9]{6,40})[\"']?"""
+    REVERT_SUBJECT = r'(?i)revert\s+"(.*)"'
+    REGRESSION = (
+        r"(?i)(?:regression\s+introduced\s+in|regression\s+caused\s+by|regression\s+in|regression|broken\s+by|introduced\s+(?:in|by)|caused\s+by|fault\s+in|broke\s+in)"
+        r"\s+(?:commit\s+([a-f0-9]{6,40})|#(\d+)|([a-f0-9]{6,40}))"
+    )
+    FIX_WORDS = r"(?i)\b(?:fix(?:es|ed)?|crash|leak|race|panic|null|segfault|deadlock|regression|memory corruption|use-after-free)\b"
+    CITATION = r"fix|revert|regression|broken|caused|close|resolve"
+    MERGE_SUBJECT = r"^Merge pull request #(\d+)"
+    CVE = r"(?i)\bcve-\d{4}-\d{4,7}\b"
+    NUMBER_REF = r"(?:^|[^\w/])#(\d+)\b"
+
+
 PR = """pr AS (SELECT record_id, original.repository AS repository, original.number AS number, original.title AS title, original.body AS body, original.merged_at AS merged_at,
  original.head_sha AS head_sha, original.merge_commit_sha AS merge_commit_sha, original.commit_shas AS commit_shas, original.changed_files AS changed_files, original.changed_functions AS changed_functions,
  original.changed_function_locations AS locations, original.commit_messages AS commit_messages, original.labels AS labels, stateful, retrospective, provenance
  FROM (SELECT DISTINCT ON (record_id) * FROM pr_record WHERE original IS NOT NULL))"""
-CM = """cm AS (SELECT repository, sha, arg_min(author_date, coalesce(log_idx, 4611686018427387904)) AS author_date, arg_min(subject, coalesce(log_idx, 4611686018427387904)) AS subject,
+CM = """cm AS (SELECT repository, sha, arg_min(author_date, coalesce(log_idx, 4611686018427387904)) AS author_date, arg_min(subject, coalesce(log_idx, 4611686018427387904)) AS subject, coalesce(len(arg_min(parents, coalesce(log_idx, 4611686018427387904))) > 1, false) AS merge,
  arg_min(full_message, coalesce(log_idx, 4611686018427387904)) AS full_message FROM commits WHERE sha IS NOT NULL AND repository IS NOT NULL GROUP BY ALL)"""
-CITING = f"citing AS (SELECT * FROM cm WHERE regexp_matches(lower(full_message), {_quoted(refs.CITATION)}))"
-CORRECTIVE = f"corrective AS (SELECT * FROM cm WHERE regexp_matches(subject, {_quoted(refs.FIX_WORDS)}) OR regexp_matches(lower(full_message), {_quoted(refs.CITATION)}))"
+CITING = f"citing AS (SELECT * FROM cm WHERE regexp_matches(lower(full_message), {_quoted(Sql.CITATION)}))"
+CORRECTIVE = f"corrective AS (SELECT * FROM cm WHERE regexp_matches(subject, {_quoted(Sql.FIX_WORDS)}) OR regexp_matches(lower(full_message), {_quoted(Sql.CITATION)}))"
 TARGET = """target AS (SELECT DISTINCT record_id, repository, merged_at, provenance.observation_end AS obs, lower(t) AS target FROM
  (SELECT *, unnest(list_concat([merge_commit_sha, head_sha], coalesce(commit_shas, []))) AS t FROM pr) WHERE length(t) >= 6)"""
 FILES = "fl AS (SELECT record_id, repository, number, merged_at, provenance.observation_end AS obs, f.path AS path, f.additions AS additions, f.deletions AS deletions FROM (SELECT *, unnest(changed_files) AS f FROM pr) WHERE f.path IS NOT NULL)"
@@ -79,22 +98,22 @@ def _commits(s: SparkSession, d: str) -> DataFrame:
 # ----------------------------------------------------------- references in messages
 
 
-def _refs_query(name: str, pattern: str) -> None:
+def _refs_query(name: str, pattern: str, sql: str) -> None:
     def query(s: SparkSession, d: str) -> DataFrame:
         hit = correlate.mentions(_commits(s, d), refs.found(F.col("full_message"), pattern))
         return hit.select("repository", "sha", F.col("pos").cast("bigint").alias("pos"), F.col("hit.value").alias("ref"), F.col("hit.snippet").alias("snippet"))
 
     query.__name__ = name
-    register(_with(CM, CITING, _hits("h", pattern, [1])) + "SELECT repository, sha, pos, h1 AS ref, h0 AS snippet FROM h")(query)
+    register(_with(CM, CITING, _hits("h", sql, [1])) + "SELECT repository, sha, pos, h1 AS ref, h0 AS snippet FROM h")(query)
 
 
-_refs_query("refs_fixes_sha", refs.FIXES_SHA)
-_refs_query("refs_fixes_pr", refs.FIXES_PR)
-_refs_query("refs_revert_commit", refs.REVERT_COMMIT)
-_refs_query("refs_revert_subject", refs.REVERT_SUBJECT)
+_refs_query("refs_fixes_sha", refs.FIXES_SHA, Sql.FIXES_SHA)
+_refs_query("refs_fixes_pr", refs.FIXES_PR, Sql.FIXES_PR)
+_refs_query("refs_revert_commit", refs.REVERT_COMMIT, Sql.REVERT_COMMIT)
+_refs_query("refs_revert_subject", refs.REVERT_SUBJECT, Sql.REVERT_SUBJECT)
 
 
-@register(_with(CM, CITING, _hits("h", refs.REGRESSION, [1, 2, 3])) + "SELECT repository, sha, pos, CASE WHEN h1 <> '' THEN h1 ELSE coalesce(h3, '') END AS named_sha, coalesce(h2, '') AS named_number, h0 AS snippet FROM h")
+@register(_with(CM, CITING, _hits("h", Sql.REGRESSION, [1, 2, 3])) + "SELECT repository, sha, pos, CASE WHEN h1 <> '' THEN h1 ELSE coalesce(h3, '') END AS named_sha, coalesce(h2, '') AS named_number, h0 AS snippet FROM h")
 def refs_regression(s: SparkSession, d: str) -> DataFrame:
     hit = correlate.mentions(_commits(s, d), refs.regressions(F.col("full_message")))
     return hit.select("repository", "sha", F.col("pos").cast("bigint").alias("pos"), F.col("hit.sha").alias("named_sha"), F.col("hit.number").alias("named_number"), F.col("hit.snippet").alias("snippet"))
@@ -107,21 +126,21 @@ def _all(pattern: str, group: int) -> str:
 @register(
     _with(CM)
     + f"""SELECT repository, sha,
- (SELECT count(DISTINCT lower(x)) FROM (SELECT unnest(list_concat({_all(refs.FIXES_SHA, 1)}, {_all(refs.REVERT_COMMIT, 1)}, {_all(refs.REGRESSION, 1)}, {_all(refs.REGRESSION, 3)})) AS x) WHERE x <> '') AS shas,
- (SELECT count(DISTINCT try_cast(x AS BIGINT)) FROM (SELECT unnest(list_concat({_all(refs.FIXES_PR, 1)}, {_all(refs.REGRESSION, 2)})) AS x) WHERE try_cast(x AS BIGINT) > 0) AS numbers,
- {" OR ".join(f"regexp_matches(full_message, {_quoted(p)})" for p in (refs.FIXES_SHA, refs.FIXES_PR, refs.REVERT_COMMIT, refs.REVERT_SUBJECT, refs.REGRESSION))} AS matched FROM cm"""
+ (SELECT count(DISTINCT lower(x)) FROM (SELECT unnest(list_concat({_all(Sql.FIXES_SHA, 1)}, {_all(Sql.REVERT_COMMIT, 1)}, {_all(Sql.REGRESSION, 1)}, {_all(Sql.REGRESSION, 3)})) AS x) WHERE x <> '') AS shas,
+ (SELECT count(DISTINCT try_cast(x AS BIGINT)) FROM (SELECT unnest(list_concat({_all(Sql.FIXES_PR, 1)}, {_all(Sql.REGRESSION, 2)})) AS x) WHERE try_cast(x AS BIGINT) > 0) AS numbers,
+ {" OR ".join(f"regexp_matches(full_message, {_quoted(p)})" for p in (Sql.FIXES_SHA, Sql.FIXES_PR, Sql.REVERT_COMMIT, Sql.REVERT_SUBJECT, Sql.REGRESSION))} AS matched FROM cm"""
 )
 def refs_untargeted(s: SparkSession, d: str) -> DataFrame:
     shas, numbers, matched = refs.untargeted(F.col("full_message"))
     return _commits(s, d).select("repository", "sha", F.size(shas).cast("bigint").alias("shas"), F.size(numbers).cast("bigint").alias("numbers"), matched.alias("matched"))
 
 
-@register(_with(CM) + f"SELECT repository, sha, regexp_matches(subject, {_quoted(refs.FIX_WORDS)}) AS fix_words, regexp_matches(lower(full_message), {_quoted(refs.CITATION)}) AS citation FROM cm")
+@register(_with(CM) + f"SELECT repository, sha, regexp_matches(subject, {_quoted(Sql.FIX_WORDS)}) AS fix_words, regexp_matches(lower(full_message), {_quoted(Sql.CITATION)}) AS citation FROM cm")
 def commit_vocabulary(s: SparkSession, d: str) -> DataFrame:
     return _commits(s, d).select("repository", "sha", refs.has_fix_words(F.col("subject")).alias("fix_words"), refs.has_citation(F.col("full_message")).alias("citation"))
 
 
-@register(_with(CM) + f"SELECT repository, count(*) AS merges, count(DISTINCT n) AS numbers FROM (SELECT repository, regexp_extract(subject, {_quoted(refs.MERGE_SUBJECT)}, 1) AS n FROM cm) GROUP BY repository")
+@register(_with(CM) + f"SELECT repository, count(*) AS merges, count(DISTINCT n) AS numbers FROM (SELECT repository, regexp_extract(subject, {_quoted(Sql.MERGE_SUBJECT)}, 1) AS n FROM cm) GROUP BY repository")
 def merge_subject_numbers(s: SparkSession, d: str) -> DataFrame:
     n = F.regexp_extract("subject", refs.MERGE_SUBJECT, 1).alias("n")
     return _commits(s, d).select("repository", n).groupBy("repository").agg(F.count("*").alias("merges"), F.count_distinct("n").alias("numbers"))
@@ -137,71 +156,85 @@ s3 AS (SELECT record_id, sha, 'EXPLICIT_REVERT' AS signal_type, arg_min(snippet,
 S_REG = f"""s4x AS (SELECT record_id, sha, pos, h0 FROM (SELECT *, lower(CASE WHEN h1 <> '' THEN h1 ELSE h3 END) AS ref FROM h5q) x JOIN target USING (repository) WHERE length(ref) >= 6 AND {BEGINS} AND {WINDOW}
  UNION ALL SELECT record_id, sha, pos, h0 FROM h5q h JOIN (SELECT *, provenance.observation_end AS obs FROM pr) p ON h.repository = p.repository AND try_cast(h.h2 AS BIGINT) = p.number WHERE p.number > 0 AND {WINDOW}),
 s4 AS (SELECT record_id, sha, 'REGRESSION_MENTION' AS signal_type, arg_min(h0, pos) AS snippet FROM s4x GROUP BY record_id, sha)"""
-STRONG = [PR, CM, CITING, TARGET, _hits("h1q", refs.FIXES_SHA, [1]), _hits("h2q", refs.FIXES_PR, [1]), _hits("h3q", refs.REVERT_COMMIT, [1]), _hits("h4q", refs.REVERT_SUBJECT, [1]), _hits("h5q", refs.REGRESSION, [1, 2, 3]), S_FIX, S_NUM, S_REV, S_REG]
+STRONG = [PR, CM, CITING, TARGET, _hits("h1q", Sql.FIXES_SHA, [1]), _hits("h2q", Sql.FIXES_PR, [1]), _hits("h3q", Sql.REVERT_COMMIT, [1]), _hits("h4q", Sql.REVERT_SUBJECT, [1]), _hits("h5q", Sql.REGRESSION, [1, 2, 3]), S_FIX, S_NUM, S_REV, S_REG]
 
 
-def _strong_query(name: str, step: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+def _strong_query(name: str, step: str, kind: str) -> None:
     def query(s: SparkSession, d: str) -> DataFrame:
-        return f(_commits(s, d), _prs(s, d))
+        return correlate.strong(table(s, d, "commits"), _prs(s, d), [kind])
 
     query.__name__ = name
     register(_with(*STRONG) + f"SELECT record_id, sha, signal_type, snippet FROM {step}")(query)
 
 
-_strong_query("strong_fixes_sha", "s1", correlate.fixes_sha)
-_strong_query("strong_fixes_pr", "s2", correlate.fixes_number)
-_strong_query("strong_revert", "s3", correlate.reverts)
-_strong_query("strong_regression", "s4", correlate.regressions)
+_strong_query("strong_fixes_sha", "s1", "FIXES_SHA")
+_strong_query("strong_fixes_pr", "s2", "FIXES_PR")
+_strong_query("strong_revert", "s3", "EXPLICIT_REVERT")
+_strong_query("strong_regression", "s4", "REGRESSION_MENTION")
 
 CPATH = """cp AS (SELECT DISTINCT repository, sha, path FROM (
   SELECT repository, s.source_ref AS sha, unnest(s.changed_paths) AS path FROM (SELECT repository, unnest(retrospective.strong_signals) AS s FROM pr) WHERE s IS NOT NULL
   UNION ALL SELECT repository, s.source_ref AS sha, unnest(s.changed_paths) AS path FROM (SELECT repository, unnest(retrospective.medium_signals) AS s FROM pr) WHERE s IS NOT NULL) WHERE path IS NOT NULL AND sha IS NOT NULL AND repository IS NOT NULL)"""
-MEDIUM = f"""sym AS (SELECT DISTINCT repository, sha, path, function FROM cp JOIN (SELECT repository, sha, unnest(list_distinct(regexp_extract_all(full_message, '[A-Za-z_][A-Za-z0-9_]*'))) AS function FROM cm) USING (repository, sha)),
+MEDIUM = f"""sym AS (SELECT DISTINCT repository, sha, l.path AS path, l.function AS function FROM (SELECT repository, unnest(commit_shas) AS sha, locations FROM pr) x, unnest(x.locations) AS u(l) WHERE sha IS NOT NULL),
 own AS (SELECT record_id, repository, merged_at, provenance.observation_end AS obs, l.path AS path, l.function AS function FROM (SELECT *, unnest(locations) AS l FROM pr) WHERE l.path <> '' AND l.function <> ''),
-md AS (SELECT DISTINCT record_id, c.sha, own.path || ':' || own.function AS function_or_path FROM own JOIN sym USING (repository, path, function) JOIN corrective c ON c.repository = own.repository AND c.sha = sym.sha WHERE {WINDOW})"""
+md AS (SELECT DISTINCT record_id, c.sha, own.path || ':' || own.function AS function_or_path FROM own JOIN sym USING (repository, path, function) JOIN corrective c ON c.repository = own.repository AND c.sha = sym.sha WHERE NOT c.merge AND {WINDOW})"""
 WEAK = f"""wk AS (SELECT record_id, c.sha, min(fl.path) AS path FROM fl JOIN cp ON cp.repository = fl.repository AND cp.path = fl.path JOIN corrective c ON c.repository = cp.repository AND c.sha = cp.sha
-  WHERE {WINDOW} AND epoch_us(author_date) - epoch_us(merged_at) <= 90 * 86400000000 GROUP BY record_id, c.sha)"""
-LEGACY = f"""lg AS (SELECT DISTINCT record_id, sha, function FROM (SELECT record_id, repository, merged_at, provenance.observation_end AS obs, unnest(list_distinct(changed_functions)) AS function FROM pr
-   WHERE coalesce(len(list_filter(locations, lambda x: x IS NOT NULL)), 0) = 0) o
- JOIN (SELECT repository, sha, author_date, unnest(list_distinct(regexp_extract_all(full_message, '[A-Za-z_][A-Za-z0-9_]*'))) AS function FROM corrective) c USING (repository, function) WHERE strlen(function) >= 6 AND {WINDOW})"""
+  WHERE NOT c.merge AND {WINDOW} AND epoch_us(author_date) - epoch_us(merged_at) <= 90 * 86400000000 GROUP BY record_id, c.sha)"""
+LEGACY = f"""lg AS (SELECT DISTINCT record_id, sha, function FROM (SELECT record_id, repository, merged_at, provenance.observation_end AS obs, coalesce(len(list_filter(locations, lambda x: x IS NOT NULL)), 0) = 0 AS bare,
+   unnest(list_distinct(changed_functions)) AS function FROM pr) o
+ JOIN (SELECT *, merge OR (repository, sha) NOT IN (SELECT (repository, sha) FROM cp) AS blind FROM corrective) c ON c.repository = o.repository AND contains(full_message, function)
+ WHERE length(function) >= 6 AND (bare OR blind) AND {WINDOW})"""
 
 
-def _symbols(s: SparkSession, d: str) -> DataFrame:
-    """Functions of later commits: identifiers of the message, in each path the commit changed."""
-    names = F.explode(F.array_distinct(F.regexp_extract_all("full_message", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("function")
-    return records.commit_paths(table(s, d, "pr_record")).join(_commits(s, d).select("repository", "sha", names), ["repository", "sha"])
+def _readable(s: SparkSession, d: str) -> DataFrame:
+    return records.commit_paths(table(s, d, "pr_record"))
 
 
-@register(_with(PR, CM, CORRECTIVE, CPATH, MEDIUM) + "SELECT record_id, sha, function_or_path FROM md")
+@register(_with(PR, CM, CORRECTIVE, MEDIUM) + "SELECT record_id, sha, function_or_path FROM md")
 def medium_same_function(s: SparkSession, d: str) -> DataFrame:
-    return correlate.same_function(_commits(s, d), _symbols(s, d), _prs(s, d))
+    """Corrective commits to a request's own functions; functions of a commit are those of the request it belongs to.
+
+    The tables hold no diffs; where there are some, :func:`diffs.diff_symbols` gives the functions.
+    """
+    prs = _prs(s, d)
+    return correlate.same_function(table(s, d, "commits"), records.locations_of_commits(prs), prs)
 
 
 @register(_with(PR, CM, CORRECTIVE, FILES, CPATH, WEAK) + "SELECT record_id, sha, path FROM wk")
 def weak_same_file(s: SparkSession, d: str) -> DataFrame:
-    return correlate.same_file(_commits(s, d), records.commit_paths(table(s, d, "pr_record")), _prs(s, d))
+    return correlate.same_file(table(s, d, "commits"), _readable(s, d), _prs(s, d))
 
 
-@register(_with(PR, CM, CORRECTIVE, LEGACY) + "SELECT record_id, sha, function FROM lg")
+@register(_with(PR, CM, CORRECTIVE, CPATH, LEGACY) + "SELECT record_id, sha, function FROM lg")
 def weak_legacy_name(s: SparkSession, d: str) -> DataFrame:
-    return correlate.legacy_names(_commits(s, d), _prs(s, d))
+    return correlate.legacy_names(table(s, d, "commits"), _prs(s, d), _readable(s, d))
+
+
+@register(_with(PR, CM) + "SELECT DISTINCT record_id, sha, function FROM (SELECT record_id, repository, unnest(changed_functions) AS function FROM pr) o JOIN cm USING (repository) WHERE length(function) >= 6 AND contains(full_message, function)")
+def function_mentions(s: SparkSession, d: str) -> DataFrame:
+    """Commits whose message contains a function of a request, before or after its merge."""
+    names = _prs(s, d).select("record_id", "repository", F.explode("changed_functions").alias("function"))
+    return correlate.naming(table(s, d, "commits"), names).select("record_id", "sha", "function")
 
 
+PATCH = """pt AS (SELECT record_id, sha, min(patch) AS patch FROM (SELECT record_id, s.source_ref AS sha, s.logical_patch_id AS patch FROM (SELECT record_id, unnest(retrospective.strong_signals) AS s FROM pr)
+  UNION ALL SELECT record_id, s.source_ref, s.logical_patch_id FROM (SELECT record_id, unnest(retrospective.medium_signals) AS s FROM pr)) WHERE sha IS NOT NULL AND patch <> '' GROUP BY ALL)"""
 RANK = """rk AS (SELECT record_id, coalesce(a.n, 0) AS strong_leads, coalesce(b.n, 0) AS medium_leads, coalesce(w.n, 0) AS weak_signals FROM pr
- LEFT JOIN (SELECT record_id, count(DISTINCT sha) AS n FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) GROUP BY 1) a USING (record_id)
- LEFT JOIN (SELECT record_id, count(DISTINCT sha) AS n FROM md GROUP BY 1) b USING (record_id)
+ LEFT JOIN (SELECT record_id, count(DISTINCT coalesce(patch, 'sha:' || sha)) AS n FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) LEFT JOIN pt USING (record_id, sha) GROUP BY 1) a USING (record_id)
+ LEFT JOIN (SELECT record_id, count(DISTINCT coalesce(patch, 'sha:' || sha)) AS n FROM md LEFT JOIN pt USING (record_id, sha) GROUP BY 1) b USING (record_id)
  LEFT JOIN (SELECT record_id, count(*) AS n FROM (SELECT record_id FROM wk UNION ALL SELECT record_id FROM lg) GROUP BY 1) w USING (record_id)),
-ranked AS (SELECT *, least(1.0::DOUBLE, CASE WHEN strong_leads > 0 THEN 1.0::DOUBLE WHEN medium_leads > 0 THEN 0.5::DOUBLE + 0.05::DOUBLE * medium_leads WHEN weak_signals > 0 THEN 0.1::DOUBLE + 0.02::DOUBLE * weak_signals ELSE 0.0::DOUBLE END) AS rank_score FROM rk)"""
-EVERYTHING = [*STRONG, CORRECTIVE, FILES, CPATH, MEDIUM, WEAK, LEGACY, RANK]
+ ranked AS (SELECT *, least(1.0::DOUBLE, CASE WHEN strong_leads > 0 THEN 1.0::DOUBLE WHEN medium_leads > 0 THEN 0.5::DOUBLE + 0.05::DOUBLE * medium_leads WHEN weak_signals > 0 THEN 0.1::DOUBLE + 0.02::DOUBLE * weak_signals ELSE 0.0::DOUBLE END) AS rank_score FROM rk)"""
+EVERYTHING = [*STRONG, CORRECTIVE, FILES, CPATH, MEDIUM, WEAK, LEGACY, PATCH, RANK]
 
 
 @register(_with(*EVERYTHING) + "SELECT record_id, strong_leads, medium_leads, weak_signals, rank_score FROM ranked")
 def rank_score(s: SparkSession, d: str) -> DataFrame:
     """Every request's strength of later evidence, recomputed from the commit log."""
-    log, prs = _commits(s, d), _prs(s, d)
-    medium = correlate.same_function(log, _symbols(s, d), prs)
-    weak = correlate.same_file(log, records.commit_paths(table(s, d, "pr_record")), prs).select("record_id").unionByName(correlate.legacy_names(log, prs).select("record_id"))
-    return correlate.rank(prs, correlate.strong(log, prs), medium, weak)
+    log, pr_record, prs = table(s, d, "commits"), table(s, d, "pr_record"), _prs(s, d)
+    known = records.commit_paths(pr_record)
+    medium = correlate.same_function(log, records.locations_of_commits(prs), prs)
+    weak = correlate.same_file(log, known, prs).select("record_id").unionByName(correlate.legacy_names(log, prs, known).select("record_id"))
+    return correlate.rank(prs, correlate.strong(log, prs), medium, weak, records.patches(pr_record))
 
 
 # ----------------------------------------------------------- rules
@@ -385,12 +418,12 @@ def reversal_totals(s: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    """SELECT DISTINCT case_id, 'case-' || substr(sha256(repository || '#' || pr || '@' || strftime(t AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ')), 1, 16) AS computed FROM (SELECT case_id, repository, pr,
+    """SELECT DISTINCT case_id, 'case-' || substr(sha256(repository || '#' || pr || '@' || strftime(t AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(t) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((epoch_us(t) % 1000000)::VARCHAR, 6, '0'), '0') END || 'Z'), 1, 16) AS computed FROM (SELECT case_id, repository, pr,
  try_cast(regexp_replace(regexp_replace(replace(cutoff_timestamp, ' ', 'T'), '(\\.\\d{6})\\d+', '\\1'), '([+-]\\d{2})(\\d{2})$', '\\1:\\2') AS TIMESTAMPTZ) AS t FROM review_metadata) WHERE t IS NOT NULL"""
 )
 def case_id(s: SparkSession, d: str) -> DataFrame:
     t = parse_time(F.col("cutoff_timestamp"))
-    text = F.concat("repository", F.lit("#"), F.col("pr").cast("string"), F.lit("@"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    text = F.concat("repository", F.lit("#"), F.col("pr").cast("string"), F.lit("@"), exact_time(t))
     return table(s, d, "review_metadata").where(t.isNotNull()).select("case_id", F.concat(F.lit("case-"), F.substring(F.sha2(text, 256), 1, 16)).alias("computed")).distinct()
 
 
@@ -404,13 +437,11 @@ def source_digest(s: SparkSession, d: str) -> DataFrame:
     return records.two_level_digest(_prs(s, d).select("repository", h.alias("h")), ["repository"], "h")
 
 
-@register(
-    _with(PR)
-    + """SELECT repository, coalesce(min(provenance.miner_version) = max(provenance.miner_version), true) AS miner_version_uniform, coalesce(min(provenance.config_hash) = max(provenance.config_hash), true) AS config_hash_uniform FROM pr GROUP BY repository"""
-)
+@register(_with(PR) + "SELECT repository, coalesce(min(to_json(provenance)::VARCHAR) = max(to_json(provenance)::VARCHAR), true) AS provenance_uniform FROM pr GROUP BY repository")
 def provenance_uniform(s: SparkSession, d: str) -> DataFrame:
-    rows = _records(s, d).select("original.repository", "provenance.miner_version", "provenance.config_hash")
-    return merging.uniform(rows, ["repository"], ["miner_version", "config_hash"])
+    """Whether all records of a source carry the same provenance, whatever fields it has."""
+    rows = _records(s, d).select("original.repository", F.to_json("provenance").alias("provenance"))
+    return merging.uniform(rows, ["repository"], ["provenance"])
 
 
 @register("SELECT record_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(schema_version))), ',') AS labels FROM pr_record GROUP BY record_id HAVING count(*) > 1")
@@ -418,9 +449,9 @@ def source_duplicates(s: SparkSession, d: str) -> DataFrame:
     return merging.duplicates(table(s, d, "pr_record"), ["record_id"], "schema_version")
 
 
-@register(_with(PR) + "SELECT repository, record_id, (row_number() OVER (PARTITION BY repository ORDER BY number, record_id) - 1) // 50 AS batch FROM pr")
+@register(_with(PR) + "SELECT repository, record_id, (row_number() OVER (PARTITION BY repository ORDER BY number NULLS FIRST, record_id) - 1) // 50 AS batch FROM pr")
 def batch_numbers(s: SparkSession, d: str) -> DataFrame:
-    return merging.batches(_prs(s, d).select("repository", "record_id", "number"), ["repository"], "number").select("repository", "record_id", "batch")
+    return merging.batches(_prs(s, d).select("repository", "record_id", "number"), ["repository"], "number", tie="record_id").select("repository", "record_id", "batch")
 
 
 RECLASSED = _with(*EVERYTHING, f"cls AS (SELECT {TIER} AS a, CASE WHEN strong_leads > 0 THEN 'strong' WHEN medium_leads > 0 THEN 'medium' WHEN weak_signals > 0 THEN 'weak' ELSE 'none' END AS b FROM pr JOIN ranked USING (record_id))")
@@ -489,7 +520,7 @@ def baseline_features(s: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    _with(PR, CM, FILES, PRIMARY, f"""cited AS (SELECT repository, sha, lower(unnest({_all(refs.FIXES_SHA, 1)})) AS ref FROM cm)""", """byref AS (SELECT c.repository, c.sha, c.ref, min(t.record_id) AS record_id FROM cited c JOIN (SELECT record_id, repository, lower(unnest(list_concat([merge_commit_sha, head_sha], coalesce(commit_shas, [])))) AS target FROM pr) t
+    _with(PR, CM, FILES, PRIMARY, f"""cited AS (SELECT repository, sha, lower(unnest({_all(Sql.FIXES_SHA, 1)})) AS ref FROM cm)""", """byref AS (SELECT c.repository, c.sha, c.ref, min(t.record_id) AS record_id FROM cited c JOIN (SELECT record_id, repository, lower(unnest(list_concat([merge_commit_sha, head_sha], coalesce(commit_shas, [])))) AS target FROM pr) t
    ON c.repository = t.repository AND length(t.target) >= 6 AND (starts_with(t.target, c.ref) OR starts_with(c.ref, t.target)) GROUP BY ALL)""")
     + "SELECT c.repository, c.sha, c.ref, coalesce(s.subsystem, '(self)') AS subsystem FROM (SELECT DISTINCT repository, sha, ref FROM cited) c LEFT JOIN byref b ON b.repository = c.repository AND b.sha = c.sha AND b.ref = c.ref LEFT JOIN sub s ON s.record_id = b.record_id"
 )
@@ -563,14 +594,14 @@ def document_diff_symbols(s: SparkSession, d: str) -> DataFrame:
     return diffs.diff_symbols(table(s, d, "documents").select(F.col("doc_id").alias("sha"), F.col("text").alias("raw_diff")))
 
 
-@register(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(coalesce(cve_ids, []), regexp_extract_all(coalesce(body, ''), {_quoted(refs.CVE)})), lambda x: upper(x)))), ',') AS cves FROM eval_keys")
+@register(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(coalesce(cve_ids, []), regexp_extract_all(coalesce(body, ''), {_quoted(Sql.CVE)})), lambda x: upper(x)))), ',') AS cves FROM eval_keys")
 def keys_cve(s: SparkSession, d: str) -> DataFrame:
     text = F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(refs.java(refs.CVE)), F.lit(0))
     ids = F.concat(F.coalesce("cve_ids", F.array().cast("array<string>")), text)
     return table(s, d, "eval_keys").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.transform(ids, F.upper))), ",").alias("cves"))
 
 
-@register(f"SELECT case_id, count(DISTINCT n) AS refs, min(n) AS least, max(n) AS most FROM (SELECT case_id, try_cast(unnest(regexp_extract_all(body, {_quoted(refs.NUMBER_REF)}, 1)) AS BIGINT) AS n FROM discussion WHERE case_id IS NOT NULL) WHERE n > 0 GROUP BY case_id")
+@register(f"SELECT case_id, count(DISTINCT n) AS refs, min(n) AS least, max(n) AS most FROM (SELECT case_id, try_cast(unnest(regexp_extract_all(body, {_quoted(Sql.NUMBER_REF)}, 1)) AS BIGINT) AS n FROM discussion WHERE case_id IS NOT NULL) WHERE n > 0 GROUP BY case_id")
 def keys_refs(s: SparkSession, d: str) -> DataFrame:
     """Numbers that a case's discussion refers to; pairs are made distinct before they are counted."""
     n = F.explode(F.regexp_extract_all("body", F.lit(refs.java(refs.NUMBER_REF)), F.lit(1))).alias("n")
@@ -644,7 +675,7 @@ ter AS (SELECT *, (rank() OVER (PARTITION BY case_id ORDER BY score) - 1) / coun
 
 @register(
     _with(PR, FILES, PRIMARY, HISTORY)
-    + """SELECT cs.case_id, cs.subsystem, coalesce(tot.commits, 0)::BIGINT AS commits, coalesce(tot.churn, 0)::BIGINT AS churn, coalesce(tot.defects, 0)::BIGINT AS defects, coalesce(share >= 2/3::DOUBLE, false) AS risky
+    + """SELECT cs.case_id, cs.subsystem, coalesce(tot.commits, 0)::BIGINT AS commits, coalesce(tot.churn, 0)::BIGINT AS churn, coalesce(tot.defects, 0)::BIGINT AS defects, coalesce(share >= 2/3::DOUBLE, false) AS risky, CASE WHEN coalesce(tot.commits, 0) = 0 THEN 'no_commits' WHEN tot.commits < 2 THEN 'low_activity' ELSE '' END AS reason
  FROM cs LEFT JOIN tot ON tot.case_id = cs.case_id AND tot.subsystem = cs.subsystem LEFT JOIN ter ON ter.case_id = cs.case_id AND ter.subsystem = cs.subsystem"""
 )
 def baseline_verdict(s: SparkSession, d: str) -> DataFrame:
@@ -661,7 +692,7 @@ def baseline_verdict(s: SparkSession, d: str) -> DataFrame:
     cases = prs.where("merged_at is not null").select(F.col("record_id").cast("string").alias("case_id"), "record_id", "repository", F.col("merged_at").alias("cutoff")).join(records.primary_subsystem(prs), "record_id")
     totals = baseline.window_totals(changes, cases.select("case_id", "repository", "cutoff"), ["repository", "subsystem"], ["commits", "churn", "defects"])
     out = baseline.verdicts(totals.drop("repository"), cases, min_commits=2)
-    return out.select(F.col("case_id").cast("bigint").alias("case_id"), "subsystem", "commits", "churn", "defects", "risky")
+    return out.select(F.col("case_id").cast("bigint").alias("case_id"), "subsystem", "commits", "churn", "defects", "risky", "reason")
 
 
 @register(
@@ -676,7 +707,7 @@ def fixing_commits(s: SparkSession, d: str) -> DataFrame:
 
 @register(
     _with(PR, CM)
-    + f"""SELECT DISTINCT record_id, n AS number FROM (SELECT record_id, number AS own, try_cast(unnest(regexp_extract_all(full_message, {_quoted(refs.NUMBER_REF)}, 1)) AS BIGINT) AS n FROM cm JOIN (
+    + f"""SELECT DISTINCT record_id, n AS number FROM (SELECT record_id, number AS own, try_cast(unnest(regexp_extract_all(full_message, {_quoted(Sql.NUMBER_REF)}, 1)) AS BIGINT) AS n FROM cm JOIN (
    SELECT DISTINCT record_id, repository, number, x.source_ref AS sha FROM (SELECT record_id, repository, number, unnest(retrospective.strong_signals) AS x FROM pr) WHERE x IS NOT NULL
    UNION SELECT DISTINCT record_id, repository, number, x.source_ref FROM (SELECT record_id, repository, number, unnest(retrospective.medium_signals) AS x FROM pr) WHERE x IS NOT NULL) f USING (repository, sha)) WHERE n > 0 AND n <> own"""
 )

@@ -93,7 +93,19 @@ def test_medium_and_weak_signals(spark):
     assert [(r.record_id, r.function_or_path) for r in correlate.same_function(log, symbols, prs).collect()] == [(1, "a.c:go")]
     touched = spark.createDataFrame([("r", f"{k:040d}", p) for k, p in [(0, "a.c"), (0, "0.c"), (1, "a.c")]], "repository string, sha string, path string")
     assert [(r.record_id, r.path) for r in correlate.same_file(log, touched, prs).collect()] == [(1, "0.c")]
-    assert [(r.record_id, r.function) for r in correlate.legacy_names(log, prs).collect()] == [(2, "long_name")]
+    assert [(r.record_id, r.function) for r in correlate.legacy_names(log, prs, touched).collect()] == [(2, "long_name")]
+    # Inside a longer word, for a merge and for an unknown diff also with locations, each commit once though delivered twice.
+    prs = spark.createDataFrame([request(3, changed_functions=["walk_peer", "tiny"], changed_function_locations=[loc("a.c", "walk_peer")])], PRS)
+    rows = [("r", k * 40, T(9), "fix it", text, parents, i) for i, (k, text, parents) in enumerate([("a", "in rib_walk_peer_all()", ["p"]), ("b", "walk_peer", ["p", "q"]), ("c", "walk_peer", ["p"]), ("d", "walk peer", ["p"]), ("c", "walk_peer", ["p"])])]
+    log = spark.createDataFrame(rows, "repository string, sha string, author_date timestamp, subject string, full_message string, parents array<string>, log_idx bigint")
+    seen = spark.createDataFrame([("r", k * 40, "z") for k in "bc"], "repository string, sha string, path string")
+    assert sorted(r.sha[0] for r in correlate.legacy_names(log, prs, seen).collect()) == ["a", "b"]
+    symbols = spark.createDataFrame([("r", k * 40, "a.c", "walk_peer") for k in "bc"], "repository string, sha string, path string, function string")
+    assert [r.sha[0] for r in correlate.same_function(log, symbols, prs).collect()] == ["c"]
+    # Two commits with one patch are one lead.
+    lead = spark.createDataFrame([(3, "a"), (3, "b"), (3, "c")], "record_id bigint, sha string")
+    patches = spark.createDataFrame([(3, "a", "p1"), (3, "b", "p1"), (3, "c", "")], "record_id bigint, sha string, patch string")
+    assert correlate.rank(prs, lead, lead, lead.select("record_id"), patches).select("strong_leads", "medium_leads").first() == (2, 2)
 
 
 def test_rules_fold_in_order(spark):
@@ -176,6 +188,9 @@ def test_reversal(spark):
     proof = spark.createDataFrame([("k", "a.c", "line one;")], "key string, path string, content string")
     r = diffs.reversal(original, later, proof, ["key"]).first()
     assert (r.added, r.removed, r.removed_again, r.added_again, r.supported, r.reversal_type) == (2, 1, 2, 0, 1, "partial_candidate") and abs(r.fraction - 2 / 3) < 1e-12
+    patches = spark.createDataFrame([("k", "p", "p"), ("l", "q", "q"), ("m", "", "")], "key string, original_patch string, reverse_patch string")
+    whole = {x.key: (x.reversal_type, x.added) for x in diffs.reversal(original, later, proof, ["key"], patches).collect()}
+    assert whole == {"k": ("full", 2), "l": ("full", 0)}
 
 
 def brute_pairs(cands, fallback):
