@@ -34,6 +34,13 @@ def subsystem(path: Column) -> Column:
     return F.when(top == "", "(root)").when((F.size(parts) > 2) & F.lower(top).isin(CONTAINERS), inner).otherwise(top)
 
 
+def majority_group(paths: Column) -> Column:
+    """The subsystem that most of an array's paths belong to, ties to the lesser name; ``(none)`` without paths."""
+    groups = F.transform(F.filter(F.coalesce(paths, F.array().cast("array<string>")), lambda p: p.isNotNull()), subsystem)
+    counted = F.transform(F.array_distinct(groups), lambda g: F.struct((-F.size(F.filter(groups, lambda x: x == g))).alias("less"), g.alias("name")))
+    return F.coalesce(F.array_min(counted)["name"], F.lit("(none)"))
+
+
 def is_ancillary(name: Column) -> Column:
     bare = ~name.contains("/") & (name.contains(".") | (F.lower(name) == "makefile"))
     return F.lower(name).isin(ANCILLARY) | bare

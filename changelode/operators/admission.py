@@ -15,6 +15,28 @@ ADMITTED, EDITED_LATER, UNVERIFIABLE = "admitted", "omitted-post-cutoff-edit", "
 CURRENT, RECONSTRUCTED = "current", "reconstructed"
 
 
+def outcomes(decisions: DataFrame) -> DataFrame:
+    """(field, outcome, n): how often each field was admitted or not."""
+    return decisions.groupBy("field", "outcome").agg(F.count("*").alias("n"))
+
+
+#: Contracts of the metadata a reviewer sees; without a name, the first holds.
+CONTRACTS = {"": "v1", "v1": "v1", "v2": "v2"}
+
+
+def contract(name: str) -> str:
+    if name not in CONTRACTS:
+        raise ValueError(f"unknown metadata contract {name!r}")
+    return CONTRACTS[name]
+
+
+def unchanged_since(cutoff: Column) -> dict[str, Column]:
+    """The first contract: title, description and base branch, each only if the request was not updated after the cut-off."""
+    pr = "pull_request."
+    still = F.coalesce(F.col(pr + "updated_at") <= cutoff, F.lit(False))
+    return {n: F.when(still, F.col(c)) for n, c in (("title", pr + "title"), ("description", pr + "body"), ("base_branch", pr + "base.ref"))}
+
+
 def _result(outcome: str, method: str | None = None, value: Column | None = None) -> Column:
     return F.struct(F.lit(outcome).alias("outcome"), F.lit(method).cast("string").alias("method"), (value if value is not None else F.lit(None).cast("string")).alias("value"))
 

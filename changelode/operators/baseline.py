@@ -6,7 +6,7 @@ the two-level running sums that also number versions, so cases never meet all co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelode.operators.asof import running
@@ -39,6 +39,19 @@ def window_totals(changes: DataFrame, cases: DataFrame, entity: list[str], measu
     return line.where("case_id is not null").groupBy("case_id", *entity).agg(*signed)
 
 
+def touched(lines: DataFrame, scored: DataFrame, primary: DataFrame) -> DataFrame:
+    """(case_id, subsystem, lines, score, tercile, place): what a case touches, in report order.
+
+    The primary subsystem leads, then more lines, higher scores (an unscored one after all
+    others) and lesser names. ``lines``: case_id, subsystem, lines; ``scored``: case_id,
+    subsystem, score, tercile; ``primary``: case_id, subsystem. A case's window is as large as
+    its change.
+    """
+    rows = lines.join(scored.select("case_id", "subsystem", "score", "tercile"), ["case_id", "subsystem"], "left").join(primary.select("case_id", "subsystem").withColumn("leads", F.lit(0)), ["case_id", "subsystem"], "left")
+    order = Window.partitionBy("case_id").orderBy(F.coalesce("leads", F.lit(1)), F.desc("lines"), F.desc(F.coalesce("score", F.lit(-1.0))), "subsystem")
+    return rows.withColumn("place", F.row_number().over(order)).select("case_id", "subsystem", "lines", "score", "tercile", "place")
+
+
 def verdicts(totals: DataFrame, cases: DataFrame, min_commits: int = MIN_COMMITS) -> DataFrame:
     """(case_id, subsystem, commits, churn, defects, score, tercile, risky, reason) of each case's own subsystem.
 

@@ -161,15 +161,12 @@ def multiset_overlap(left: DataFrame, right: DataFrame, group: list[str], item:
     return both.groupBy(*group).agg(F.sum("a").alias("left_items"), F.sum("b").alias("right_items"), F.sum(F.least("a", "b")).alias("shared"))
 
 
-def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: list[str], patches: DataFrame | None = None) -> DataFrame:
-    """How far later changes take back original ones, by key.
-
-    ``patches``: key, original_patch, reverse_patch (of the later change read backwards); equal
-    ids that are not empty make the reversal ``full``, whatever the lines say.
+def reversal_paths(original: DataFrame, later: DataFrame, supported: DataFrame, key: list[str]) -> DataFrame:
+    """(key, path, added, removed, removed_again, added_again, supported): how far later changes take back original ones.
 
     ``original`` and ``later``: key, kind (``+``/``-``), path, content; ``supported``: key, path,
     content of removed lines that trace to the original. A later removal matches an original
-    addition and the reverse; a candidate needs two matches in one path or one that is supported.
+    addition and the reverse; only lines that say something count.
     """
     lines = lambda x, kind: x.where(F.col("kind") == kind).withColumn("content", substantive(F.col("content"))).where("content is not null").select(*key, "path", "content")
     by = [*key, "path"]
@@ -178,11 +175,25 @@ def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: l
     proof = multiset_overlap(lines(original, "+"), supported.withColumn("content", substantive(F.col("content"))).where("content is not null").select(*by, "content"), by, "content").select(*by, F.col("shared").alias("supported"))
     n = lambda c: F.coalesce(c, F.lit(0))
     paths = undone.join(redone, by, "full").join(proof, by, "left")
-    paths = paths.select(*by, *[n(c).alias(c) for c in ("added", "removed", "removed_again", "added_again", "supported")])
-    out = paths.groupBy(*key).agg(
-        *[F.sum(c).alias(c) for c in ("added", "removed", "removed_again", "added_again", "supported")],
+    return paths.select(*by, *[n(c).alias(c) for c in REVERSAL_COUNTS])
+
+
+REVERSAL_COUNTS = ("added", "removed", "removed_again", "added_again", "supported")
+
+
+def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: list[str], patches: DataFrame | None = None) -> DataFrame:
+    """(key, counts, fraction, reversal_type, path_overlaps) over the paths of :func:`reversal_paths`.
+
+    A candidate needs two matches in one path or one that is supported. ``patches``: key,
+    original_patch, reverse_patch (of the later change read backwards); equal ids that are not
+    empty make the reversal ``full``, whatever the lines say.
+    """
+    n = lambda c: F.coalesce(c, F.lit(0))
+    out = reversal_paths(original, later, supported, key).groupBy(*key).agg(
+        *[F.sum(c).alias(c) for c in REVERSAL_COUNTS],
         F.max((F.col("removed_again") + F.col("added_again") >= 2) | (F.col("supported") > 0)).alias("candidate"),
-    )
+        F.array_sort(F.collect_list(F.struct("path", *REVERSAL_COUNTS))).alias("path_overlaps"),
+    )
     total = F.col("added") + F.col("removed")
     overlap = F.col("removed_again") + F.col("added_again")
     if patches is not None:
@@ -191,5 +202,4 @@ def reversal(original: DataFrame, later: DataFrame, supported: DataFrame, key: l
     else:
         out = out.withColumn("full", F.lit(False))
     kind = F.when(F.coalesce("full", F.lit(False)), "full").when(F.col("candidate"), "partial_candidate").otherwise("none")
-    counts = [n(c).alias(c) for c in ("added", "removed", "removed_again", "added_again", "supported")]
-    return out.select(*key, *counts, F.coalesce(F.try_divide(overlap, total), F.lit(0.0)).alias("fraction"), kind.alias("reversal_type"))
+    return out.select(*key, *[n(c).alias(c) for c in REVERSAL_COUNTS], F.coalesce(F.try_divide(overlap, total), F.lit(0.0)).alias("fraction"), kind.alias("reversal_type"), "path_overlaps")

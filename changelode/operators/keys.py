@@ -35,6 +35,28 @@ def _signals(records: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+FORBIDDEN_LEAST = 7  # bytes of a text that must not stand in what a reviewer sees
+
+
+def forbidden(records: DataFrame) -> DataFrame:
+    """(record_id, value): what later evidence would give away: commit ids, snippets, contexts and notes.
+
+    Full commit ids count whatever their place; texts of fewer than seven bytes are too common
+    to tell anything.
+    """
+    parts = []
+    for tier, fields in (("strong", ("source_ref", "raw_snippet")), ("medium", ("source_ref", "context")), ("weak", ("source_ref", "context"))):
+        rows = records.select("record_id", F.explode(f"retrospective.{tier}_signals").alias("s"))
+        parts.append(rows.select("record_id", F.explode(F.array(*[F.col(f"s.{f}") for f in fields])).alias("value")))
+    relations = records.select("record_id", F.explode("retrospective.commit_relationships").alias("r"))
+    parts.append(relations.select("record_id", F.explode(F.array("r.source_ref", "r.analysis_note")).alias("value")))
+    parts.append(relations.select("record_id", F.explode("r.lineage.matched_original_commit_shas").alias("value")))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.where(F.octet_length("value") >= FORBIDDEN_LEAST).distinct()
+
+
 def texts(fixing: DataFrame, records: DataFrame, commits: DataFrame) -> DataFrame:
     """(record_id, source, kind, body): messages of the fixing commits, without blank ones."""
     repository = records.select("record_id", F.col("original.repository").alias("repository"))

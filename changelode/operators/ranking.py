@@ -38,6 +38,19 @@ def tercile() -> Column:
     return F.when(share < 1 / 3, 1).when(share < 2 / 3, 2).otherwise(3)
 
 
+def pair_ids(pairs: DataFrame, order: str, scope: list[str], chunk: int = 1_000_000) -> DataFrame:
+    """``pairs`` with ``pair_id`` (``pair-0001`` and on) in ascending ``order`` within ``scope``; counted in two levels."""
+    from changelode.operators.merging import batches
+
+    numbered = batches(pairs, scope, order, size=1, chunk=chunk)
+    return numbered.withColumn("pair_id", F.concat(F.lit("pair-"), F.when(F.col("batch") < 9999, F.lpad((F.col("batch") + 1).cast("string"), 4, "0")).otherwise((F.col("batch") + 1).cast("string")))).drop("batch")
+
+
+def first_by(rows: DataFrame, key: list[str], value: str, order: str) -> DataFrame:
+    """(key, value): the value of each key's first row; equal places go to the lesser value."""
+    return rows.groupBy(*key).agg(F.min(F.struct(order, value))[value].alias(value))
+
+
 def islands(rows: DataFrame, group: list[str], number: str, chunk_size: int = 100_000) -> DataFrame:
     """(group, first, last, n): runs of consecutive positive numbers; doubles count once.
 

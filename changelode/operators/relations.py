@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changelode.functions import paths, refs
 from changelode.operators import records
+from changelode.operators.diffs import REVERSAL_COUNTS, reversal
 from changelode.operators.ranking import islands
 
 # Sizes beyond which a commit's analysis is flagged.
@@ -46,6 +47,64 @@ def status(parents, readable):
     return F.when(parents.isNull(), "error").when(parents > 1, "skipped_merge").when(parents == 0, "skipped_root").when(readable, "complete").otherwise("partial")
 
 
+def relationships(
+    candidates: DataFrame, heads: DataFrame, removed: DataFrame, blame: DataFrame, targets: DataFrame, requests: DataFrame, request_lines: DataFrame, commits: DataFrame, commit_lines: DataFrame, reverse: DataFrame
+) -> DataFrame:
+    """(record_id, source_ref, analysis_status, analysis_note, lineage, reversal): every candidate put together.
+
+    ``candidates``: record_id, sha. ``heads``: sha, parents, error. ``removed``: sha, path, line,
+    content. ``blame``: sha, path, line, origin_sha, error. ``targets``: record_id, target.
+    ``requests``: record_id, patch_id, error, and ``request_lines``: record_id, kind, path, content.
+    ``commits``: sha, error, and ``commit_lines``: sha, kind, path, content. ``reverse``: sha,
+    patch_id, error.
+
+    A commit that is not among ``heads`` is ``unavailable``, an unreadable one an ``error``;
+    merges and roots are skipped. The others have their lineage; a reversal needs both diffs.
+    They are ``partial``, with a note, where a blame, a diff or a patch id is missing.
+    """
+    known = candidates.select("record_id", "sha").distinct()
+    one = lambda df, *cols: df.dropDuplicates(["sha"]).select("sha", *cols)
+    state = known.join(one(heads, "parents", F.col("error").alias("head_error"), F.lit(True).alias("seen")), "sha", "left")
+    kind = F.when(F.col("seen").isNull(), "unavailable").when(F.col("head_error").isNotNull() | F.col("parents").isNull(), "error").when(F.col("parents") > 1, "skipped_merge").when(F.col("parents") == 0, "skipped_root")
+    state = state.withColumn("state", kind)
+    open_ = state.where("state is null").select("record_id", "sha")
+
+    lines = lineage(open_, removed, blame.where("error is null"), targets)
+    failed = blame.where("error is not null").groupBy("sha").agg(F.concat_ws("; ", F.array_sort(F.collect_set(F.concat(F.lit("blame of "), "path", F.lit(": "), "error")))).alias("blame_error"))
+    own = targets.where(F.length("target") == 40).select("record_id", F.col("target").alias("origin_sha")).distinct()
+    traced = open_.join(blame.where("error is null").select("sha", "path", "line", F.lower("origin_sha").alias("origin_sha")), "sha").join(own, ["record_id", "origin_sha"], "left_semi")
+    supported = traced.join(removed.select("sha", "path", "line", "content").distinct(), ["sha", "path", "line"]).select("record_id", "sha", "path", "content")
+
+    asked = requests.dropDuplicates(["record_id"]).select("record_id", F.col("patch_id").alias("original_patch"), F.col("error").alias("request_error"), F.lit(True).alias("asked"))
+    read = open_.join(asked, "record_id", "left").join(one(commits, F.col("error").alias("commit_error"), F.lit(True).alias("fetched")), "sha", "left").join(one(reverse, F.col("patch_id").alias("reverse_patch"), F.col("error").alias("reverse_error")), "sha", "left")
+    request_fault = F.when(F.col("asked").isNull(), "request diff: unavailable").when(F.col("request_error").isNotNull(), F.concat(F.lit("request diff: "), "request_error"))
+    commit_fault = F.when(F.col("fetched").isNull(), "commit diff: unavailable").when(F.col("commit_error").isNotNull(), F.concat(F.lit("commit diff: "), "commit_error"))
+    read = read.withColumn("request_fault", request_fault).withColumn("commit_fault", commit_fault)
+    both = read.where("request_fault is null and commit_fault is null").select("record_id", "sha", "original_patch", "reverse_patch")
+    key = ["record_id", "sha"]
+    original = both.select(*key).join(request_lines.select("record_id", "kind", "path", "content"), "record_id")
+    later = both.select(*key).join(commit_lines.select("sha", "kind", "path", "content"), "sha").select(*key, "kind", "path", "content")
+    undone = reversal(original, later, supported.join(both.select(*key), key, "left_semi"), key, both)
+
+    patch_fault = F.when(F.col("request_fault").isNull() & F.col("commit_fault").isNull(), F.concat_ws("; ", F.when(F.coalesce("original_patch", F.lit("")) == "", "no patch id of the request"), F.when(F.coalesce("reverse_patch", F.lit("")) == "", F.concat(F.lit("no reverse patch id: "), F.coalesce("reverse_error", F.lit("unavailable"))))))
+    notes = read.join(failed, "sha", "left").select(*key, F.concat_ws(" | ", "blame_error", F.nullif(F.concat_ws("; ", "request_fault", "commit_fault", F.nullif(patch_fault, F.lit(""))), F.lit(""))).alias("note"))
+    counts = [F.col(c) for c in REVERSAL_COUNTS]
+    empty = F.array().cast("array<struct<path:string,added:bigint,removed:bigint,removed_again:bigint,added_again:bigint,supported:bigint>>")
+    taken = F.struct(
+        (F.coalesce("reversal_type", F.lit("none")) == "full").alias("full_reverse_patch_match"), F.coalesce("reversal_type", F.lit("none")).alias("reversal_type"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for c, n in zip(counts, REVERSAL_COUNTS)],
+        F.coalesce("overlap_fraction", F.lit(0.0)).alias("fraction"), F.coalesce("path_overlaps", empty).alias("path_overlaps"),
+    )
+    out = (
+        state.join(lines.select(*key, F.struct("removed_lines", "analyzed_lines", "blamed_lines", "fraction", "matched").alias("lineage")), key, "left").join(notes, key, "left")
+        .join(both.select(*key, F.lit(True).alias("both")), key, "left").join(undone.withColumnRenamed("fraction", "overlap_fraction"), key, "left")
+    )
+    note = F.when(F.col("state") == "unavailable", "repository is unavailable").when(F.col("state") == "error", F.coalesce("head_error", F.lit("unreadable"))).otherwise(F.coalesce("note", F.lit("")))
+    return out.select(
+        "record_id", F.col("sha").alias("source_ref"), F.coalesce("state", F.when(F.coalesce("note", F.lit("")) == "", "complete").otherwise("partial")).alias("analysis_status"), note.alias("analysis_note"),
+        F.when(F.col("state").isNull(), F.col("lineage")).alias("lineage"), F.when(F.col("both"), taken).alias("reversal"),
+    )
+
+
 def homes(log: DataFrame, prs: DataFrame, changed: DataFrame) -> DataFrame:
     """(repository, target, home): every known commit id with the subsystem of its files, null if they are unknown.
 

@@ -14,7 +14,8 @@ from pyspark.sql import Window
 
 from changelode.functions import paths, refs
 from changelode.functions.times import exact_time, parse_time
-from changelode.operators import baseline, correlate, diffs, keys, matching, merging, ranking, records, relations, rules
+from changelode.operators import admission, baseline, correlate, diffs, keys, matching, merging, ranking, records, relations, reports, rules
+from changelode.sources import sinks
 from changelode.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +58,7 @@ class Sql:
     NUMBER_REF = r"(?:^|[^\w/])#(\d+)\b"
 
 
-PR = """pr AS (SELECT record_id, original.repository AS repository, original.number AS number, original.title AS title, original.body AS body, original.merged_at AS merged_at,
+PR = """pr AS (SELECT record_id, original.repository AS repository, original.number AS number, original.title AS title, original.author AS author, original.body AS body, original.merged_at AS merged_at,
  original.head_sha AS head_sha, original.merge_commit_sha AS merge_commit_sha, original.commit_shas AS commit_shas, original.changed_files AS changed_files, original.changed_functions AS changed_functions,
  original.changed_function_locations AS locations, original.commit_messages AS commit_messages, original.labels AS labels, stateful, retrospective, provenance
  FROM (SELECT DISTINCT ON (record_id) * FROM pr_record WHERE original IS NOT NULL))"""
@@ -622,14 +623,14 @@ def forbidden_values(s: SparkSession, d: str) -> DataFrame:
 
 @register(
     _with(PR)
-    + """SELECT record_id, repository || ',' || number || ',' || printf('%.2f', stateful.score) || ',' || stateful.category || ',' || coalesce(array_to_string(list_filter(changed_functions, lambda x: x IS NOT NULL), '; '), '') AS line FROM pr WHERE stateful.score IS NOT NULL AND stateful.category IS NOT NULL AND number IS NOT NULL"""
+    + """SELECT number AS PR_Number, title AS Title, author AS Author, strftime(merged_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS Merged_At, printf('%.2f', coalesce(stateful.score, 0)) AS Stateful_Score, stateful.category AS Stateful_Category,
+ coalesce(len(retrospective.strong_signals), 0)::INTEGER AS Strong_Signals_Count, coalesce(len(retrospective.medium_signals), 0)::INTEGER AS Medium_Signals_Count, coalesce(len(retrospective.weak_signals), 0)::INTEGER AS Weak_Signals_Count,
+ printf('%.2f', coalesce(retrospective.summary_rank_score, 0)) AS Summary_Rank_Score, coalesce(len(changed_files), 0)::INTEGER AS Changed_Files_Count,
+ coalesce(array_to_string(list_filter(changed_functions, lambda x: x IS NOT NULL), '; '), '') AS Changed_Functions, stateful.explanation AS Explanation FROM pr"""
 )
 def csv_lines(s: SparkSession, d: str) -> DataFrame:
     """Candidates as the CSV sink formats them."""
-    r = _records(s, d).where("stateful.score is not null and stateful.category is not null and original.number is not null")
-    names = F.coalesce(F.array_join(F.filter("original.changed_functions", lambda x: x.isNotNull()), "; "), F.lit(""))
-    line = F.concat(F.col("original.repository"), F.lit(","), F.col("original.number").cast("string"), F.lit(","), F.format_string("%.2f", "stateful.score"), F.lit(","), F.col("stateful.category"), F.lit(","), names)
-    return r.select("record_id", line.alias("line"))
+    return _records(s, d).select(*sinks.candidate_columns())
 
 
 @register(
@@ -660,6 +661,136 @@ def matched_pairs(s: SparkSession, d: str) -> DataFrame:
     return matching.pairs(rows.drop("record_id", "tier"), fallback=True)
 
 
+# ----------------------------------------------------------- reports, lists, identity
+
+REPORT = """rep AS (SELECT record_id, sub.subsystem, number, coalesce(stateful.score, 0)::DOUBLE AS score, coalesce(retrospective.summary_rank_score, 0)::DOUBLE AS rank, coalesce(len(retrospective.strong_signals), 0) AS strong, coalesce(len(retrospective.medium_signals), 0) AS medium,
+ coalesce(len(retrospective.weak_signals), 0) AS weak, coalesce(len(changed_files), 0) AS files, coalesce(list_sum(list_transform(list_filter(changed_files, lambda f: f IS NOT NULL), lambda f: coalesce(f.additions, 0))), 0)::BIGINT AS additions,
+ coalesce(list_sum(list_transform(list_filter(changed_files, lambda f: f IS NOT NULL), lambda f: coalesce(f.deletions, 0))), 0)::BIGINT AS deletions FROM pr JOIN sub USING (record_id))"""
+
+
+@register(
+    _with(PR, FILES, PRIMARY, REPORT)
+    + """SELECT *, CASE WHEN strong > 0 THEN strong || ' strong' WHEN medium > 0 THEN medium || ' medium' WHEN weak > 0 THEN weak || ' weak' ELSE '-' END AS label FROM rep"""
+)
+def selection_report(s: SparkSession, d: str) -> DataFrame:
+    """The rows of a selection report, in its order."""
+    out = reports.rows(table(s, d, "pr_record"))
+    label = reports.tier_label(F.col("strong"), F.col("medium"), F.col("weak")).alias("label")
+    return reports.ordered(out).select("record_id", "subsystem", "number", "score", "rank", "strong", "medium", "weak", "files", "additions", "deletions", label)
+
+
+@register(_with(PR, FILES, PRIMARY, REPORT) + "SELECT count(*) AS candidates, count(DISTINCT subsystem) AS subsystems, count(*)::BIGINT AS exportable, 0::BIGINT AS blocked FROM rep")
+def report_totals(s: SparkSession, d: str) -> DataFrame:
+    return reports.totals(reports.rows(table(s, d, "pr_record")))
+
+
+@register(
+    _with(PR, "sg AS (SELECT record_id, i AS pos, x.changed_paths AS ps FROM (SELECT record_id, unnest(retrospective.strong_signals) AS x, generate_subscripts(retrospective.strong_signals, 1) AS i FROM pr) WHERE x IS NOT NULL)")
+    + f"""SELECT sg.record_id, sg.pos, coalesce(g.name, '(none)') AS subsystem FROM sg LEFT JOIN (SELECT DISTINCT ON (record_id, pos) record_id, pos, name FROM (SELECT record_id, pos, {SUBSYSTEM} AS name, count(*) AS n
+   FROM (SELECT record_id, pos, string_split(p, '/') AS parts FROM (SELECT record_id, pos, unnest(ps) AS p FROM sg) WHERE p IS NOT NULL) GROUP BY ALL) ORDER BY record_id, pos, n DESC, name) g ON g.record_id = sg.record_id AND g.pos = sg.pos"""
+)
+def signal_subsystem(s: SparkSession, d: str) -> DataFrame:
+    """The subsystem most paths of a strong signal belong to."""
+    sg = _records(s, d).select("record_id", F.posexplode("retrospective.strong_signals").alias("at", "s")).where("s is not null")
+    return sg.select("record_id", (F.col("at") + 1).cast("bigint").alias("pos"), paths.majority_group(F.col("s.changed_paths")).alias("subsystem"))
+
+
+@register("SELECT field, outcome, count(*) AS n FROM field_decisions GROUP BY ALL")
+def admission_counts(s: SparkSession, d: str) -> DataFrame:
+    return admission.outcomes(table(s, d, "field_decisions"))
+
+
+LISTED = "ls AS (SELECT DISTINCT repository, unnest(fixing_pr_numbers) AS number FROM eval_keys)"
+
+
+@register(_with(PR, LISTED) + "SELECT record_id, 'kept' AS side FROM pr SEMI JOIN ls USING (repository, number) UNION ALL SELECT record_id, 'dropped' FROM pr ANTI JOIN ls USING (repository, number)")
+def listed_records(s: SparkSession, d: str) -> DataFrame:
+    """Requests on the list of fixing requests, and those off it."""
+    prs, members = _prs(s, d), _listed(s, d)
+    on, off = (merging.listed(prs, members, ["repository", "number"], keep).select("record_id", F.lit(side).alias("side")) for keep, side in ((True, "kept"), (False, "dropped")))
+    return on.unionByName(off)
+
+
+@register(_with(PR, LISTED) + "SELECT repository, number FROM ls ANTI JOIN pr USING (repository, number) WHERE number IS NOT NULL")
+def listed_absent(s: SparkSession, d: str) -> DataFrame:
+    """Listed requests that the records lack."""
+    return merging.absent(_prs(s, d), _listed(s, d), ["repository", "number"])
+
+
+def _listed(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "eval_keys").select("repository", F.explode("fixing_pr_numbers").alias("number")).where("number is not null")
+
+
+@register(
+    """SELECT DISTINCT record_id, part FROM (SELECT a.record_id, unnest([CASE WHEN to_json(a.original)::VARCHAR <> to_json(b.original)::VARCHAR OR (a.original IS NULL) <> (b.original IS NULL) THEN 'original' END,
+ CASE WHEN to_json(a.provenance)::VARCHAR <> to_json(b.provenance)::VARCHAR OR (a.provenance IS NULL) <> (b.provenance IS NULL) THEN 'provenance' END, CASE WHEN a.original.number IS DISTINCT FROM a.record_id THEN 'number' END]) AS part
+ FROM pr_record a JOIN pr_record b ON a.record_id = b.record_id) WHERE part IS NOT NULL"""
+)
+def record_differences(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries of one record that are not the same record, and records whose number is not their id."""
+    rows = table(s, d, "pr_record")
+    first = rows.dropDuplicates(["record_id"])  # any that differ at all differ from this one
+    unlike = merging.differences(first, rows, ["record_id"], {"original": "original", "provenance": "provenance"})
+    other = merging.differences(first.selectExpr("record_id", "record_id AS n"), rows.selectExpr("record_id", "original.number AS n"), ["record_id"], {"number": "n"})
+    return unlike.unionByName(other)
+
+
+@register("SELECT record_id, CASE WHEN count(*) > 1 THEN 'more than once' END AS problem FROM pr_record WHERE record_id IS NOT NULL AND original IS NOT NULL GROUP BY record_id HAVING count(*) > 1")
+def batch_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries held against records: what a concatenation of batches would hold twice, lack or add."""
+    held = table(s, d, "pr_record").where("original is not null and record_id is not null")
+    return merging.coverage(_records(s, d).where("record_id is not null"), held, ["record_id"])
+
+
+@register(_with(CM) + f"SELECT repository, number, arg_min(sha, row(place, sha)) AS sha FROM (SELECT repository, sha, coalesce(place, 4611686018427387904) AS place, try_cast(regexp_extract(subject, {_quoted(Sql.MERGE_SUBJECT)}, 1) AS BIGINT) AS number FROM (SELECT cm.*, p.place FROM cm JOIN (SELECT repository, sha, min(log_idx) AS place FROM commits GROUP BY ALL) p USING (repository, sha))) WHERE number > 0 GROUP BY ALL")
+def first_merges(s: SparkSession, d: str) -> DataFrame:
+    """The first commit in the log that merges each request number."""
+    rows = _commits(s, d).select("repository", "sha", F.coalesce("log_idx", F.lit(2**62)).alias("place"), F.regexp_extract("subject", refs.MERGE_SUBJECT, 1).try_cast("bigint").alias("number")).where("number > 0")
+    return ranking.first_by(rows, ["repository", "number"], "sha", "place")
+
+
+FORBIDDEN = """fb AS (SELECT DISTINCT record_id, value FROM (
+ SELECT record_id, unnest([x.source_ref, x.raw_snippet]) AS value FROM (SELECT record_id, unnest(retrospective.strong_signals) AS x FROM pr) UNION ALL SELECT record_id, unnest([x.source_ref, x.context]) FROM (SELECT record_id, unnest(retrospective.medium_signals) AS x FROM pr)
+ UNION ALL SELECT record_id, unnest([x.source_ref, x.context]) FROM (SELECT record_id, unnest(retrospective.weak_signals) AS x FROM pr) UNION ALL SELECT record_id, unnest([x.source_ref, x.analysis_note]) FROM (SELECT record_id, unnest(retrospective.commit_relationships) AS x FROM pr)
+ UNION ALL SELECT record_id, unnest(x.lineage.matched_original_commit_shas) FROM (SELECT record_id, unnest(retrospective.commit_relationships) AS x FROM pr)) WHERE strlen(value) >= 7)"""
+
+
+@register(_with(PR, FORBIDDEN) + "SELECT record_id, value FROM fb")
+def forbidden_of_record(s: SparkSession, d: str) -> DataFrame:
+    """Everything a record's later evidence would give away."""
+    return keys.forbidden(_records(s, d))
+
+
+@register(
+    """WITH e AS (SELECT DISTINCT edit_id, repository, pr, diff FROM body_edits WHERE diff IS NOT NULL), n AS (SELECT *, lead(diff) OVER (PARTITION BY repository, pr ORDER BY edit_id) AS later FROM e),
+ l AS (SELECT edit_id, 'a' AS side, unnest(string_split(diff, chr(10))) AS x FROM n WHERE later IS NOT NULL UNION ALL SELECT edit_id, 'b', unnest(string_split(later, chr(10))) FROM n WHERE later IS NOT NULL),
+ t AS (SELECT edit_id, side, t FROM (SELECT edit_id, side, """
+    + r"regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
+    + """ AS t FROM l) WHERE NOT (t IN ('{', '}', '};', '()', '{}', '[]', '(', ')', ';', 'else', 'else {') OR starts_with(t, '//') OR starts_with(t, '/*') OR starts_with(t, '*') OR strlen(t) < 3)),
+ c AS (SELECT edit_id, t, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM t GROUP BY ALL),
+ g AS (SELECT edit_id, sum(a)::BIGINT AS added, sum(least(a, b))::BIGINT AS removed_again FROM c GROUP BY ALL)
+ SELECT edit_id, added, removed_again, CASE WHEN added > 0 THEN removed_again / added::DOUBLE ELSE 0 END AS fraction, CASE WHEN n.diff = n.later THEN 'full' WHEN removed_again >= 2 THEN 'partial_candidate' ELSE 'none' END AS reversal_type FROM g JOIN n USING (edit_id)"""
+)
+def edit_reversals(s: SparkSession, d: str) -> DataFrame:
+    """Reversal over made relations: each edit adds its lines, and the next one takes all of its own away."""
+    edits = table(s, d, "body_edits").where("diff is not null").select("edit_id", "repository", "pr", "diff").distinct()
+    order = edits.select("edit_id", "repository", "pr").withColumn("later_id", F.lead("edit_id").over(Window.partitionBy("repository", "pr").orderBy("edit_id"))).where("later_id is not null")
+    texts = edits.select("edit_id", "diff")
+    own = order.select("edit_id").join(texts, "edit_id")
+    later = order.select("edit_id", "later_id").join(texts.withColumnRenamed("edit_id", "later_id"), "later_id")
+    lines = lambda x, kind: x.select("edit_id", F.lit(kind).alias("kind"), F.lit("text").alias("path"), F.explode(F.split("diff", "\n")).alias("content"))
+    none = own.limit(0).select("edit_id", F.lit("text").alias("path"), F.lit("").alias("content"))
+    digest = lambda x, name: x.select("edit_id", F.sha2("diff", 256).alias(name))
+    out = diffs.reversal(lines(own, "+"), lines(later, "-"), none, ["edit_id"], digest(own, "original_patch").join(digest(later, "reverse_patch"), "edit_id"))
+    return out.where("added + removed_again > 0 or reversal_type = 'full'").select("edit_id", "added", "removed_again", "fraction", "reversal_type")
+
+
+@register()
+def paired_cases(s: SparkSession, d: str) -> DataFrame:
+    """Matched pairs with their ids in ascending positive number."""
+    return ranking.pair_ids(matched_pairs(s, d), "positive", ["repository"])
+
+
 # ----------------------------------------------------------- baselines and keys
 
 HISTORY = f"""chg AS (SELECT repository, subsystem, happened, 1 AS commits, churn, CASE WHEN fixed THEN 1 ELSE 0 END AS defects FROM (SELECT repository, record_id, any_value(merged_at) AS happened, {SUBSYSTEM} AS subsystem, sum(coalesce(additions, 0) + coalesce(deletions, 0)) AS churn

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from changelode.sources.jsonl import replace
+
 BUNDLE = """bundle_version string,
 pull_request struct<number:bigint,title:string,body:string,created_at:timestamp,updated_at:timestamp,merged_at:timestamp,commits:bigint,html_url:string,user:struct<login:string>,
   base:struct<ref:string,sha:string>,head:struct<ref:string,sha:string>,merge_commit_sha:string,labels:array<struct<name:string>>>,
@@ -28,6 +32,30 @@ def read(spark: SparkSession, cache: str) -> DataFrame:
     return rows.select("*", F.regexp_extract(place, r"/([^/]+)/prs/pr_\d+\.json$", 1).alias("repository_dir"), F.regexp_extract(place, r"/pr_(\d+)\.json$", 1).cast("bigint").alias("number"))
 
 
+def cached_first(spark: SparkSession, wanted: DataFrame, cache: str, fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Bundles of the requests wanted (repository, number): cached ones, and what ``fetch`` gives for the rest.
+
+    Without ``fetch`` (offline) a request that is not cached is an error. A cached file without
+    a readable request counts as not cached.
+    """
+    place = F.concat(F.regexp_replace("repository", "/", "_"))
+    keys = wanted.select(place.alias("repository_dir"), "number", "repository").distinct()
+    have = read(spark, cache).where("pull_request is not null").join(keys.drop("repository"), ["repository_dir", "number"], "left_semi")
+    lack = keys.join(have.select("repository_dir", "number"), ["repository_dir", "number"], "left_anti")
+    if fetch is None:
+        if rows := lack.take(10):
+            raise LookupError("not cached: " + ", ".join(f"{r['repository']}#{r['number']}" for r in rows))
+        return have
+    return have.unionByName(fetch(lack.select("repository", "number")), allowMissingColumns=True)
+
+
+def store(cache: str, repository: str, number: int, bundle: str) -> str:
+    """Writes one bundle to its place in a local cache, over a former one."""
+    target = f"{cache}/{path_of(repository, number)}"
+    replace(target, bundle)
+    return target
+
+
 def original(bundles: DataFrame) -> DataFrame:
     """The facts at the time of the merge, as a request record has them."""
     pr = "pull_request."

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import uuid
 from collections.abc import Callable
@@ -23,6 +24,13 @@ def read_raw(spark: SparkSession, path: str, key: str) -> DataFrame:
     return lines.select(F.get_json_object("value", f"$.{key}").alias("key"), F.col("value").alias("raw"))
 
 
+def read_version(spark: SparkSession, path: str, schema: StructType | str, prefix: str, field: str = "schema_version") -> DataFrame:
+    """Rows of one kind of record: a row whose version does not begin with ``prefix`` fails the read."""
+    rows = read(spark, path, schema)
+    wrong = F.concat(F.lit(f"{field} is no {prefix}: "), F.coalesce(F.col(field), F.lit("null")))
+    return rows.withColumn(field, F.when(F.col(field).startswith(prefix), F.col(field)).otherwise(F.raise_error(wrong).cast("string")))
+
+
 def lookup_first(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """The first line, in file order, whose field has the value; empty if there is none."""
     rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
@@ -49,6 +57,18 @@ def write_sorted(df: DataFrame, path: str, *order: str) -> None:
     df.orderBy(*order).write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def replace(target: str, text: str) -> None:
+    """A local file written beside its place and moved over it, so that a reader sees the old or the new one."""
+    place = Path(target)
+    place.parent.mkdir(parents=True, exist_ok=True)
+    part = place.with_name(f".{place.name}.{uuid.uuid4().hex}")
+    try:
+        part.write_text(text, encoding="utf-8")
+        os.replace(part, place)
+    finally:
+        part.unlink(missing_ok=True)
+
+
 def publish(target: str, write: Callable[[str], None]) -> None:
     """A local directory all or nothing: written beside its place, then moved; never replaced."""
     place = Path(target)
