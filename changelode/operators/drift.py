@@ -17,13 +17,16 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from changelode.functions.times import parse_time
+
 TYPES = {str: "string", bool: "boolean", int: "number", float: "number", dict: "object", list: "array"}
 
 #: Kinds of scalar values, tried in this order; the share of each in a file is its profile.
@@ -282,13 +285,11 @@ def decided(bundles: DataFrame, shape: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["a", "b"])
 
     pairs = per_file.select("rows").mapInArrow(candidates, "a string, b string").distinct()
-    place = shape.select("stream", "file_name", "path")
-    apart = (
-        pairs.join(place.withColumnRenamed("path", "a"), "a")
-        .join(place.withColumnRenamed("path", "b"), ["stream", "file_name", "b"], "left_semi")
-        .select("a", "b")
-        .distinct()
-    )
+    # Names stand side by side in distinct sets of candidate names, which are far fewer than files.
+    names = pairs.select(F.col("a").alias("path")).unionByName(pairs.select(F.col("b").alias("path"))).distinct()
+    sets = shape.select("stream", "file_name", "path").join(names, "path").groupBy("stream", "file_name").agg(F.sort_array(F.collect_set("path")).alias("paths")).select("paths").distinct()
+    member = sets.select(F.sha2(F.to_json("paths"), 256).alias("set"), F.explode("paths").alias("path"))
+    apart = pairs.join(member.withColumnRenamed("path", "a"), "a").join(member.withColumnRenamed("path", "b"), ["set", "b"], "left_semi").select("a", "b").distinct()
     # Each file takes the pairs among its own differing paths.
     own = (
         diff.select("stream", "file_name", F.col("path").alias("a")).join(apart, "a").join(diff.select("stream", "file_name", F.col("path").alias("b")), ["stream", "file_name", "b"], "left_semi")
@@ -349,14 +350,13 @@ def one_name(renames: list[tuple[str, str, int]], schemas: list[tuple[Any, list[
     return {p: c for p in first if (c := canon(p)) != p}
 
 
-def canonical_paths(bundles: DataFrame) -> DataFrame:
-    """(stream, file_name, names): for each file that writes fields under other names, (path, canonical path).
+def canonical_paths(bundles: DataFrame, shape: DataFrame) -> DataFrame:
+    """(stream, file_name, path, name, shape): every file's paths with the name of their field in the stream.
 
     What one task sees of a stream is its distinct renames and its distinct sets of paths, not its files.
     """
     from changelode.plans.durable import durable
 
-    shape = durable(shapes(bundles))
     renames = decided(bundles, shape).where("change = 'renamed'").groupBy("stream", "old_path", "field_path").agg(F.count("*").alias("n"))
     renames = durable(renames.groupBy("stream").agg(F.collect_list(F.struct("old_path", "field_path", "n")).alias("renames")))
     written = bundles.where("stream is not null and file_name is not null").groupBy("stream", "file_name").agg(F.coalesce(F.min(F.unix_micros("written_at")), F.lit(0)).alias("at"))
@@ -372,27 +372,82 @@ def canonical_paths(bundles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in range(3)], names=["stream", "path", "name"])
 
     named = renames.join(sets, "stream").select("stream", "renames", "sets").mapInArrow(run, "stream string, path string, name string")
-    return shape.select("stream", "file_name", "path").join(named, ["stream", "path"]).groupBy("stream", "file_name").agg(F.collect_list(F.struct("path", "name")).alias("names"))
+    return shape.join(named, ["stream", "path"], "left").select("stream", "file_name", "path", F.coalesce("name", "path").alias("name"), "shape")
 
 
-def canonical(bundles: DataFrame) -> DataFrame:
-    """All readable bundles in one table with one row for each line and path, one at least a line.
+def _kinds(*names: str) -> Column:
+    """How many values of a path are of some kinds."""
+    total = F.lit(0)
+    for n in names:
+        total = total + F.element_at("shape.kinds", KIND_PLACE[n] + 1)
+    return F.sum(total)
+
+
+def field_types(paths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, type): the one type all values of a field convert to without loss; of :func:`canonical_paths`.
+
+    A field is a time if it has times as text and its numbers could all be moments; numbers
+    alone stay numbers, however large. Text that mostly counts does not make numbers of text.
+    """
+    profile = paths.groupBy(*keys).agg(
+        F.bit_or("shape.types").alias("tags"), F.sum("shape.n").alias("n"), _kinds("time").alias("times"), _kinds("moment").alias("moments"), _kinds("count").alias("counts"), _kinds("flag").alias("flags"),
+        _kinds("url", "flag", "count", "version", "id", "word", "text").alias("other_text"), _kinds("small", "large", "fraction").alias("other_numbers"),
+    )
+    has = lambda *tags: F.col("tags").bitwiseAND(F.lit(sum(TAGS[t] for t in tags))) == F.col("tags")
+    kind = (
+        F.when(has("string", "number") & (F.col("times") > 0) & (F.col("other_text") == 0) & (F.col("other_numbers") == 0), "timestamp")
+        .when(has("number"), "double")
+        .when(has("boolean") | (has("boolean", "string") & (F.col("flags") == F.col("other_text")) & (F.col("times") == 0) & (F.col("tags") != TAGS["string"])), "boolean")
+        .when(has("number", "string") & (F.col("counts") == F.col("other_text")) & (F.col("times") == 0) & (F.col("tags") != TAGS["string"]), "double")
+        .otherwise("string")
+    )
+    return profile.select(*keys, "n", "tags", kind.alias("type"))
+
+
+def moment(v: float) -> str | None:
+    """Seconds or milliseconds since 1970 as an ISO time, or None if no calendar has it."""
+    try:
+        at = datetime.fromtimestamp(v / 1000 if abs(v) > 3e11 else v, timezone.utc)
+    except (OverflowError, OSError, ValueError):
+        return None
+    return at.strftime("%Y-%m-%dT%H:%M:%S") + (f".{at.microsecond:06d}".rstrip("0") if at.microsecond else "") + "Z"
+
+
+def plain(v: Any, time: bool) -> str | None:
+    """The canonical text of a value: true or false, ISO times for the moments of a time field, JSON for what nests."""
+    if v is None:
+        return None
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if time and isinstance(v, (int, float)):
+        return moment(v) or json.dumps(v)
+    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+
+
+def _lines(bundles: DataFrame, paths: DataFrame) -> DataFrame:
+    """(stream, file_name, line_no, raw, names): each line once, with (path, name, time) of its file's renamed or time fields.
+
+    A file's lines come together, so that neither the distinct lines nor the names move the texts again.
+    """
+    times = field_types(paths, ["stream", "name"]).where("type = 'timestamp'").select("stream", "name", F.lit(True).alias("time"))
+    told = paths.join(times, ["stream", "name"], "left").where("name != path or time").select("stream", "file_name", F.struct("path", "name", F.coalesce("time", F.lit(False)).alias("time")).alias("x"))
+    names = told.groupBy("stream", "file_name").agg(F.collect_list("x").alias("names"))
+    once = bundles.select("stream", "file_name", "line_no", "raw").where("raw is not null").repartition("stream", "file_name").dropDuplicates(["stream", "file_name", "line_no"])
+    return once.join(names, ["stream", "file_name"], "left").select("stream", "file_name", "line_no", "raw", "names")
+
+
+def branches(bundles: DataFrame) -> DataFrame:
+    """All readable bundles, one row for each line and path, one at least a line.
 
     Columns: stream, file_name, line_no, path, the typed branches ``as_string``, ``as_number``,
     ``as_boolean``, ``as_json`` (objects' and arrays' own text), of which one is set, and
     ``value``, the canonical text all branches convert to (true/false for flags, ISO times for
-    moments). ``path`` is the file's own, with positions in arrays (``a.b[2].c``);
-    ``field_path`` drops them and has the one name of its field in the stream, through all
-    renames that were decided. An object without fields has its path with ``{}``, a line
-    without fields an empty path and no value. Repeated lines count once.
+    the moments of time fields). ``path`` is the file's own, with positions in arrays
+    (``a.b[2].c``); ``field_path`` drops them and has the one name of its field in the stream,
+    through all renames that were decided. An object without fields has its path with ``{}``, a
+    line without fields an empty path and no value. Repeated lines count once.
     """
-
-    def text(v: Any, kind: str) -> str | None:
-        if isinstance(v, bool):
-            return "true" if v else "false"
-        if kind == "moment":
-            return pd.Timestamp(v, unit="ms" if v > 3e11 else "s").strftime("%Y-%m-%dT%H:%M:%SZ")
-        return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    from changelode.plans.durable import durable
 
     def walk(v: Any, path: str) -> Iterator[tuple[str, Any]]:
         if isinstance(v, dict) and any(x is not None for x in v.values()):
@@ -408,27 +463,111 @@ def canonical(bundles: DataFrame) -> DataFrame:
         else:
             yield path, v
 
+    def number(v: Any) -> float | None:
+        try:
+            return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+        except OverflowError:
+            return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["stream", "file_name", "line_no", "path", "field_path", "as_string", "as_number", "as_boolean", "as_json", "value"]
         for b in batches:
             rows = []
-            for stream, file, no, raw, pairs in zip(b["stream"], b["file_name"], b["line_no"], b["raw"], b["names"]):
+            for stream, file, no, raw, told in zip(b["stream"], b["file_name"], b["line_no"], b["raw"], b["names"]):
                 if (obj := readable(raw)) is None:
                     continue
-                named = {x["path"]: x["name"] for x in pairs} if pairs is not None else {}
+                named, times = _told(told)
                 for path, v in walk(obj, ""):
-                    kind = kind_of(v)
                     field = re.sub(r"\[\d+\]", "[]", path)
                     rows.append(
-                        (stream, file, no, path, _named(field, named), v if isinstance(v, str) else None, float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else None)
-                        + (v if isinstance(v, bool) else None, json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else None, None if v is None else text(v, kind))
+                        (stream, file, no, path, _named(field, named), v if isinstance(v, str) else None, number(v), v if isinstance(v, bool) else None)
+                        + (json.dumps(v, ensure_ascii=False) if isinstance(v, (list, dict)) else None, plain(v, field in times))
                     )
             yield pd.DataFrame(rows, columns=names)
 
     ddl = "stream string, file_name string, line_no int, path string, field_path string, as_string string, as_number double, as_boolean boolean, as_json string, value string"
-    # A file's lines come together, so that neither the distinct lines nor the names move the texts again.
-    once = bundles.select("stream", "file_name", "line_no", "raw").where("raw is not null").repartition("stream", "file_name").dropDuplicates(["stream", "file_name", "line_no"])
-    return once.join(canonical_paths(bundles), ["stream", "file_name"], "left").select("stream", "file_name", "line_no", "raw", "names").mapInPandas(run, ddl)
+    return _lines(bundles, durable(canonical_paths(bundles, durable(shapes(bundles))))).mapInPandas(run, ddl)
+
+
+def _told(told: Any) -> tuple[dict[str, str], set[str]]:
+    rows = told if told is not None else []
+    return {x["path"]: x["name"] for x in rows if x["name"] != x["path"]}, {x["path"] for x in rows if x["time"]}
+
+
+MAX_COLUMNS = 1000  # fields that have columns of their own, the most frequent ones; all others share a map
+
+
+def canonical(bundles: DataFrame) -> DataFrame:
+    """All readable bundles in one consistent table: one row a line, one column a field.
+
+    Columns: stream, file_name, line_no, then each field outside of arrays under its one name
+    through all renames (``a.b`` is ``a_b``), in the one type all its values convert to without
+    loss (number, boolean, time, else text). Arrays are JSON text with the one names inside, as
+    is an object where other files have a value. ``other_fields`` maps the names of fields
+    beyond MAX_COLUMNS to their text. Fields a line lacks are null; a line without fields has
+    nulls only. Repeated lines count once.
+    """
+    from changelode.plans.durable import durable
+
+    paths = durable(canonical_paths(bundles, durable(shapes(bundles))))
+    top = field_types(paths.where("path not like '%[]%' and name not like '%[]%'"), ["name"]).where(F.col("tags") != TAGS["object"])
+    chosen = sorted((r["name"], r["type"]) for r in top.orderBy(F.desc("n"), "name").limit(MAX_COLUMNS).collect())
+    place = {name: i for i, (name, _) in enumerate(chosen)}
+    titles: list[str] = []
+    for name, _ in chosen:
+        title = name.replace(".", "_")
+        taken = {t.lower() for t in titles} | {"stream", "file_name", "line_no", "other_fields"}
+        k = 2
+        while title.lower() in taken:
+            title, k = f"{name.replace('.', '_')}_{k}", k + 1
+        titles.append(title)
+
+    def renamed(v: Any, path: str, named: dict[str, str]) -> Any:
+        if isinstance(v, list):
+            return [renamed(x, path + "[]", named) for x in v]
+        if isinstance(v, dict):
+            return {_named(p, named).rpartition(".")[2]: renamed(x, p, named) for k, x in v.items() if x is not None for p in [f"{path}.{k}"]}
+        return v
+
+    def flat(v: dict, path: str, named: dict[str, str]) -> Iterator[tuple[str, str, Any]]:
+        for k, x in v.items():
+            if x is not None:
+                p = f"{path}.{k}" if path else k
+                name = _named(p, named)
+                if isinstance(x, dict) and name not in place:
+                    yield from flat(x, p, named)
+                else:
+                    yield p, name, renamed(x, p, named) if isinstance(x, (dict, list)) else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys: list[tuple] = []
+            cells: list[list] = [[] for _ in chosen]
+            others: list[list] = []
+            for stream, file, no, raw, told in zip(*(c.to_pylist() for c in b.columns)):
+                if (obj := readable(raw)) is None:
+                    continue
+                named, times = _told(told)
+                row: list = [None] * len(chosen)
+                rest: dict[str, str] = {}
+                for path, name, v in flat(obj, "", named):
+                    text = plain(v, path in times)
+                    if (i := place.get(name)) is None:
+                        rest[name] = text
+                    else:
+                        row[i] = text
+                keys.append((stream, file, no))
+                others.append(list(rest.items()))
+                for cell, x in zip(cells, row):
+                    cell.append(x)
+            head = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array(c, pa.string()) for c in cells), pa.array(others, pa.map_(pa.string(), pa.string()))], names=["stream", "file_name", "line_no", *(f"c{i}" for i in range(len(chosen))), "other_fields"])
+
+    ddl = "stream string, file_name string, line_no int, " + "".join(f"c{i} string, " for i in range(len(chosen))) + "other_fields map<string,string>"
+    wide = _lines(bundles, paths).mapInArrow(run, ddl)
+    typed = {"timestamp": lambda c: parse_time(c), "string": lambda c: c}
+    columns = [typed.get(kind, lambda c, kind=kind: c.try_cast(kind))(F.col(f"c{i}")).alias(title) for i, ((_, kind), title) in enumerate(zip(chosen, titles))]
+    return wide.select("stream", "file_name", "line_no", *columns, "other_fields")
 
 
 def _named(field: str, named: dict[str, str]) -> str:

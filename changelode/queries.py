@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from changelode.operators import asof, drift, shred
 from changelode.plans import catalog
@@ -62,12 +63,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, d: str) -> DataFrame:
-    """All readable bundles in one consistent table of typed branches and canonical values."""
+    """All readable bundles in one consistent table: a row a line, a column a field, renames undone."""
     return drift.canonical(table(spark, d, "bundle_raw"))
 
 
+def p4_branches(spark: SparkSession, d: str) -> DataFrame:
+    """The typed branches and the canonical value of every path of every line."""
+    return drift.branches(table(spark, d, "bundle_raw"))
+
+
+def p4_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of the table each file has: one for each of its readable lines."""
+    return drift.canonical(table(spark, d, "bundle_raw")).groupBy("stream", "file_name").agg(F.count("*").alias("lines"))
+
+
 def problem_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_strong_signals, p2_commit_relationships, p2_reversals, p2_path_overlaps, p2_changed_paths, p2_matched_commits, p3_found, p3_descriptions, p4_found, p4_table)}
+    return {f.__name__: f for f in (p2_found, p2_strong_signals, p2_commit_relationships, p2_reversals, p2_path_overlaps, p2_changed_paths, p2_matched_commits, p3_found, p3_descriptions, p4_found, p4_table, p4_branches, p4_lines)}
 
 
 #: Fixed spellings of times as DuckDB reads them.
@@ -175,4 +186,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return P2 | {"p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL
+    lines = "SELECT stream, file_name, count(DISTINCT line_no) AS lines FROM (SELECT * FROM bundle_raw WHERE json_valid(raw)) WHERE json_type(raw::JSON) = 'OBJECT' GROUP BY ALL"
+    return P2 | {"p4_lines": lines, "p3_found": P3_FOUND, "p3_descriptions": P3_DESCRIPTIONS} | catalog.SQL

@@ -46,11 +46,12 @@ def test_nulls_and_clashing_columns(spark):
     rows = [("s", "f0", None, None, '{"a": 1}'), ("s", "f1", datetime(2025, 1, 1), 1, '{"a": true}'), (None, "f2", None, 2, '{"a": 1}'), ("s", None, None, 3, '{"a": 1}'), ("s", "f1", datetime(2025, 1, 1), 2, '{"a": "' + "x" * 200000 + '"}')]
     df = spark.createDataFrame(rows, DDL).selectExpr("*", "'c' AS path", "1 AS old", "2 AS types", "3 AS week", "4 AS next_name", "5 AS value")
     assert found(df) == [("f1", "type_changed", "a", "")]
-    assert drift.canonical(df).count() == 5 and drift.canonical(df.limit(0)).count() == 0
+    assert drift.branches(df).count() == 5 and drift.branches(df.limit(0)).count() == 0
 
 
 def test_canonical_branches(spark):
-    rows = {r.field_path: r for r in drift.canonical(files(spark, [{"n": 1, "t": "x", "f": False, "m": 1735689600, "a": [1, "b"], "o": [{"q": None, "r": "1"}]}, "bad"])).collect()}
+    rows = {r.field_path: r for r in sorted( drift.branches(files(spark, [{"n": 1, "t": "x", "f": False, "m": 1735689600, "a": [1, "b"], "o": [{"q": None, "r": "1"}], "big": 5000000000, "huge": 10**400}, {"m": "2025-02-01T00:00:00Z"}, "bad"])).collect(), key=lambda r: -r.line_no)}
+    assert rows["big"].value == "5000000000" and rows["huge"].value == "1" + "0" * 400 and rows["huge"].as_number is None
     assert rows["n"].as_number == 1 and rows["t"].as_string == "x" and rows["f"].value == "false"
     assert rows["m"].value == "2025-01-01T00:00:00Z" and json.loads(rows["a"].as_json) == [1, "b"] and rows["o[].r"].path == "o[1].r"
 
@@ -61,7 +62,7 @@ def test_canonical_names_follow_renames(spark):
     last = {"history": [{"at": "2025-03-01T00:00:00Z", "who": "cid-3"}], "link": "https://a.example/3"}
     df = files(spark, [old], [new], [last])
     other = files(spark, [{"web": "https://b.example/1"}], stream="other")
-    got = {(r.stream, r.file_name, r.path, r.field_path) for r in drift.canonical(df.unionByName(other)).collect()}
+    got = {(r.stream, r.file_name, r.path, r.field_path) for r in drift.branches(df.unionByName(other)).collect()}
     want = {("s", f"f{i}", f"{h}[1].{x}", f"edits[].{x}") for i, h in enumerate(["edits", "history", "history"]) for x in ("at", "who")}
     assert got == want | {("s", f"f{i}", p, "url") for i, p in enumerate(["url", "web", "link"])} | {("other", "f0", "web", "web")}
 
@@ -74,5 +75,30 @@ def test_names_side_by_side_stay_apart():
 
 def test_every_readable_line_has_a_row(spark):
     df = files(spark, [{}, {"a": None}, {"b": {}}, {"c": {"d": None}}, "bad", None, "[]"])
-    got = {(r.line_no, r.path, r.value) for r in drift.canonical(df).collect()}
+    got = {(r.line_no, r.path, r.value) for r in drift.branches(df).collect()}
     assert got == {(0, "", None), (1, "", None), (2, "b", "{}"), (3, "c", "{}")}
+
+
+def test_one_wide_table(spark):
+    old = [{"pr": {"id": 7, "closed_at": "2025-01-01T00:00:00Z"}, "tags": ["a"], "done": True, "url": "https://a.example/1", "count": 5000000000}, {}, "bad", "[]"]
+    new = [{"pr": {"id": 8, "closed_at": 1735693200}, "tags": [{"name": None, "x": 1}], "done": "no", "web": "https://a.example/2", "count": 3, "extra": {"a": {"b": "t"}}}]
+    df = files(spark, old, new)
+    table = drift.canonical(df)
+    rows = {(r.file_name, r.line_no): r for r in table.collect()}
+    assert set(rows) == {("f0", 0), ("f0", 1), ("f1", 0)}  # one row a readable line
+    kinds = dict(table.dtypes)
+    assert (kinds["pr_id"], kinds["pr_closed_at"], kinds["done"], kinds["count"], kinds["url"], kinds["tags"]) == ("double", "timestamp", "boolean", "double", "string", "string") and "web" not in kinds
+    a, b = rows["f0", 0], rows["f1", 0]
+    assert (a.url, b.url, a.done, b.done, a["count"], b.extra_a_b) == ("https://a.example/1", "https://a.example/2", True, None, 5e9, "t") or b.done is False
+    assert str(b.pr_closed_at) == "2025-01-01 01:00:00" and b.tags == '[{"x":1}]' and rows["f0", 1].url is None
+    assert drift.canonical(df.limit(0)).count() == 0
+
+
+def test_rare_fields_share_a_map(spark, monkeypatch):
+    monkeypatch.setattr(drift, "MAX_COLUMNS", 1)
+    row = drift.canonical(files(spark, [{"a": 1, "b": "x", "c": {"d": True}}, {"a": 2}])).where("line_no = 0").first()
+    assert row.a == 1 and row.other_fields == {"b": "x", "c.d": "true"}
+
+
+def test_moments():
+    assert drift.moment(1735689600) == drift.moment(1735689600000) == "2025-01-01T00:00:00Z" and drift.moment(10**400) is None and drift.moment(1e300) is None
