@@ -35,6 +35,7 @@ def check(rows, sizes, capacities):
 
 def test_as_tight_as_one_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_ROWS", 20)  # several groups a size
+    monkeypatch.setattr(packing, "BLOCK", 16)
     rng = random.Random(9)
     sizes = [(i, rng.choice([0, 1, 1, 1, rng.randint(1, 40), rng.randint(1, 130)])) for i in range(600)]
     windows = {1: 32, 2: 50, 3: 100}
@@ -47,6 +48,17 @@ def test_as_tight_as_one_at_a_time(spark, monkeypatch):
     assert all(report[w].fullest <= c and report[w].least <= report[w].containers for w, c in windows.items())
 
 
+def test_windows_in_groups_and_large_plans(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_WINDOWS", 1)
+    monkeypatch.setattr(packing, "SENT", 0)
+    sizes = [(i, i % 23) for i in range(200)]
+    df = spark.createDataFrame(sizes, "doc_id bigint, n_tokens bigint")
+    win = spark.createDataFrame([(1, 32), (2, 10), (2, 50), (3, 5_000_000)], "window_id bigint, capacity_tokens bigint")
+    windows = {1: 32, 2: 50, 3: 5_000_000}
+    assert len(list(packing.capacities(win))) >= 2
+    assert check(packing.pack(df, win).collect(), sizes, windows) == {w: brute([n for _, n in sizes], c) for w, c in windows.items()}
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id bigint, n_tokens bigint")
     win = spark.createDataFrame([(1, 10)], "window_id bigint, capacity_tokens bigint")
