@@ -6,7 +6,8 @@ number; what holds at a number is the same for all events that share it, so wide
 are attached afterwards by an equi-join on the entity and the version's edit.
 
 An entity may hold a third of all rows, so nothing is sorted or counted over a whole entity at
-once: time lines are cut into chunks of one day, chunk totals (one row a day) are accumulated,
+once: all time lines are range-sorted together and cut into chunks of about equally many rows,
+wherever an entity begins or ends; chunk totals (one row an entity and chunk) are accumulated,
 and counts inside chunks are added. Which edit holds at a number is a running maximum for edits
 that are never deleted; an edit that is deleted holds for a range of numbers and is filed under
 the range's dyadic intervals, at most two a power of two, in which events look up their number.
@@ -29,24 +30,35 @@ def squeezed(c: Column) -> Column:
 
 
 def running(events: DataFrame, entity: list[str], ts: str, order: list[str], sums: dict[str, str], maxima: dict[str, str] | None = None) -> DataFrame:
-    """Running sums and maxima of columns in time order within an entity, up to and with each row.
+    """Running sums and maxima of columns in the order of ``ts`` within an entity, up to and with each row.
 
-    ``sums`` and ``maxima`` name a result for a column. Two levels, so no window spans more than
-    an entity's days or a day's rows.
+    ``sums`` and ``maxima`` name a result for a column. Rows are range-sorted by entity and
+    order, and a row's chunk is the partition it falls into, written once so that it never
+    changes. No window spans more than a chunk's rows or an entity's chunks, however many rows
+    an entity has or fall on one time.
     """
     maxima = maxima or {}
-    chunked = events.withColumn("_chunk", F.date_trunc("day", F.col(ts)))
-    days = Window.partitionBy(*entity).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    day = Window.partitionBy(*entity, "_chunk").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
-    per_day = [F.sum(c).alias(f"_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_{n}") for n, c in maxima.items()]
-    before = [F.coalesce(F.sum(f"_{n}").over(days), F.lit(0)).alias(f"_{n}_before") for n in sums] + [F.max(f"_{n}").over(days).alias(f"_{n}_before") for n in maxima]
-    totals = chunked.groupBy(*entity, "_chunk").agg(*per_day).select(*entity, "_chunk", *before)
-    here = {f"_{n}_here": F.sum(c).over(day) for n, c in sums.items()} | {f"_{n}_here": F.max(c).over(day) for n, c in maxima.items()}
+    chunked = durable(events.repartitionByRange(*entity, ts, *order).withColumn("_chunk", F.spark_partition_id()))
+    chunks = Window.partitionBy(*entity).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = Window.partitionBy(*entity, "_chunk").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
+    per_chunk = [F.sum(c).alias(f"_{n}") for n, c in sums.items()] + [F.max(c).alias(f"_{n}") for n, c in maxima.items()]
+    before = [F.coalesce(F.sum(f"_{n}").over(chunks), F.lit(0)).alias(f"_{n}_before") for n in sums] + [F.max(f"_{n}").over(chunks).alias(f"_{n}_before") for n in maxima]
+    totals = chunked.groupBy(*entity, "_chunk").agg(*per_chunk).select(*entity, "_chunk", *before)
+    here = {f"_{n}_here": F.sum(c).over(chunk) for n, c in sums.items()} | {f"_{n}_here": F.max(c).over(chunk) for n, c in maxima.items()}
     both = {n: F.col(f"_{n}_here") + F.col(f"_{n}_before") for n in sums} | {n: F.greatest(f"_{n}_here", f"_{n}_before") for n in maxima}
     joined = chunked.withColumns(here).join(totals, [*entity, "_chunk"]).withColumns(both)
     return joined.drop("_chunk", *here, *(f"_{n}_before" for n in both))
 
 
+def successors(rows: DataFrame, entity: list[str], order: str) -> DataFrame:
+    """(entity, order, later): each row's successor in its entity; ``order`` is unique there. Rows without one are left out.
+
+    Rows are numbered in chunks and meet their successor by an equi-join on entity and number.
+    """
+    numbered = durable(running(rows.select(*entity, order, F.lit(1).alias("_one")), entity, order, [], {"_number": "_one"}).select(*entity, order, "_number"))
+    return numbered.join(numbered.select(*entity, (F.col("_number") - 1).alias("_number"), F.col(order).alias("later")), [*entity, "_number"]).select(*entity, order, "later")
+
+
 def dyadic_cover(start: Column, end: Column) -> Column:
     """The canonical dyadic intervals of [start, end) as an array of (level, index).
 
@@ -155,13 +167,13 @@ def known_at_cutoff(body_edits: DataFrame, review_metadata: DataFrame, field_dec
         .where(F.col("held").isNull() | (F.col("held") != F.col("digest")))
         .select("case_id", *ENTITY, "cutoff", "digest")
     )
-    leaks = (
-        open_cases.join(edits.where(F.col("digest").isNotNull()).select(*ENTITY, "digest", "edit_id", "edited_at", "created_at"), [*ENTITY, "digest"])
-        .where((F.col("edited_at") > F.col("cutoff")) | (F.col("created_at") > F.col("cutoff")))
-        .groupBy("case_id")
-        .agg(F.min("edit_id").alias("ref_id"))
-        .select("case_id", F.lit("description_leak").alias("kind"), "ref_id")
-    )
+    # The lowest later edit with the same text: a running minimum over one time line, read backwards,
+    # for each entity and digest, so that many cases never meet many edits of one text.
+    key = [*ENTITY, "digest"]
+    late = edits.join(open_cases.select(*key).distinct(), key, "left_semi").select(*key, (-F.unix_micros(F.greatest("edited_at", "created_at"))).alias("ts"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("case_id"), (-F.col("edit_id")).alias("best"))
+    asked = open_cases.select(*key, (-F.unix_micros("cutoff")).alias("ts"), F.lit(0).alias("kind"), "case_id", F.lit(None).cast("bigint").alias("best"))
+    lowest = running(late.unionByName(asked), key, "ts", ["kind", "best", "case_id"], {}, {"found": "best"}).where("case_id is not null and found is not null")
+    leaks = lowest.groupBy("case_id").agg(F.min(-F.col("found")).alias("ref_id")).select("case_id", F.lit("description_leak").alias("kind"), "ref_id")
     decisions = (
         field_decisions.where("included and decision_id is not null")
         .select("case_id", "decision_id", parse_time(F.col("valid_at")).alias("valid_at"))
@@ -176,6 +188,8 @@ def known_at_cutoff(body_edits: DataFrame, review_metadata: DataFrame, field_dec
 def described_as_known(body_edits: DataFrame, review_metadata: DataFrame) -> DataFrame:
     """(case_id, edit_id, text): the wide text of the version in force, attached by equi-join."""
     edits, cases = distinct_edits(body_edits), durable(distinct_cases(review_metadata))
-    held = in_force(edits, cases).join(cases.select("case_id", *ENTITY), "case_id")
-    texts = body_edits.select(*ENTITY, "edit_id", F.col("diff").alias("text")).dropDuplicates(["edit_id"])
+    held = durable(in_force(edits, cases).join(cases.select("case_id", *ENTITY), "case_id"))
+    # Only texts that are held by a case move; others are dropped where they are read.
+    wanted = held.where("edit_id is not null").select("edit_id").distinct()
+    texts = body_edits.join(wanted, "edit_id", "left_semi").select(*ENTITY, "edit_id", F.col("diff").alias("text")).dropDuplicates(["edit_id"])
     return held.join(texts, [*ENTITY, "edit_id"], "left").select("case_id", "edit_id", "text")

@@ -14,7 +14,7 @@ from pyspark.sql import Window
 
 from changelode.functions import paths, refs
 from changelode.functions.times import exact_time, parse_time
-from changelode.operators import admission, baseline, correlate, diffs, keys, matching, merging, ranking, records, relations, reports, rules
+from changelode.operators import admission, asof, baseline, correlate, diffs, keys, matching, merging, ranking, records, relations, reports, rules
 from changelode.sources import sinks
 from changelode.sources.tables import table
 
@@ -562,11 +562,17 @@ def number_islands(s: SparkSession, d: str) -> DataFrame:
 )
 def multiset_overlap(s: SparkSession, d: str) -> DataFrame:
     """Lines that successive versions of a description share."""
-    edits = table(s, d, "body_edits").where("diff is not null").select("edit_id", "repository", "pr", "diff").distinct()
-    w = Window.partitionBy("repository", "pr").orderBy("edit_id")
-    pair = edits.withColumn("later", F.lead("diff").over(w)).where("later is not null")
-    lines = lambda c: pair.select("edit_id", F.explode(F.split(c, "\n")).alias("line"))
-    return diffs.multiset_overlap(lines("diff"), lines("later"), ["edit_id"], "line")
+    own, later = _edit_pairs(s, d)
+    lines = lambda x: x.select("edit_id", F.explode(F.split("diff", "\n")).alias("line"))
+    return diffs.multiset_overlap(lines(own), lines(later), ["edit_id"], "line")
+
+
+def _edit_pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(edit_id, diff) of every edit that has a successor, and the successors' texts under the same id."""
+    edits = table(s, d, "body_edits").where("diff is not null and edit_id is not null")
+    order = asof.successors(edits.select("repository", "pr", "edit_id").distinct(), ["repository", "pr"], "edit_id").select("edit_id", "later")
+    texts = edits.select("edit_id", "diff").dropDuplicates(["edit_id"])
+    return order.select("edit_id").join(texts, "edit_id"), order.join(texts.withColumnRenamed("edit_id", "later"), "later").select("edit_id", "diff")
 
 
 TRIMMED = r"regexp_replace(x, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
@@ -773,11 +779,7 @@ def forbidden_of_record(s: SparkSession, d: str) -> DataFrame:
 )
 def edit_reversals(s: SparkSession, d: str) -> DataFrame:
     """Reversal over made relations: each edit adds its lines, and the next one takes all of its own away."""
-    edits = table(s, d, "body_edits").where("diff is not null").select("edit_id", "repository", "pr", "diff").distinct()
-    order = edits.select("edit_id", "repository", "pr").withColumn("later_id", F.lead("edit_id").over(Window.partitionBy("repository", "pr").orderBy("edit_id"))).where("later_id is not null")
-    texts = edits.select("edit_id", "diff")
-    own = order.select("edit_id").join(texts, "edit_id")
-    later = order.select("edit_id", "later_id").join(texts.withColumnRenamed("edit_id", "later_id"), "later_id")
+    own, later = _edit_pairs(s, d)
     lines = lambda x, kind: x.select("edit_id", F.lit(kind).alias("kind"), F.lit("text").alias("path"), F.explode(F.split("diff", "\n")).alias("content"))
     none = own.limit(0).select("edit_id", F.lit("text").alias("path"), F.lit("").alias("content"))
     digest = lambda x, name: x.select("edit_id", F.sha2("diff", 256).alias(name))
