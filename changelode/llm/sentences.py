@@ -178,6 +178,7 @@ _TWICE_NEXT = re.compile(r"([A-Z])\1\.")
 _NAME = re.compile(r"\w*")
 _CLOSER = "\"'”’»«“)]}）】」』〉》›〗＂"
 _OPENER = "\"'“„‚«»‘([{（【「『〈《¿¡‹›"
+_LEADS = " \t\n" + _OPENER
 _ALWAYS = set("。！？｡।॥؟۔")
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "‘": "’", "《": "》", "‹": "›", "›": "‹"}
 _QUOTES = "\"'“„‚«「『"
@@ -193,19 +194,16 @@ _NAMELIKE = re.compile(r"^(?:[\w./:-]*[_()/]|[a-z]+\d|[a-z]+[A-Z]|[a-z]{1,4},$)"
 
 
 _OPENING = re.compile(r"[\"'“„«»「『(（\[【‘《‹]")
-_EDGE = re.compile(r"[^\s\"'“”„«»()\[\]{}（）「」]*\Z")
+_EDGE = frozenset("\"'“”„«»()[]{}（）「」") | {chr(c) for c in range(0x3001) if chr(c).isspace()}
 WORD_MOST = 4096  # characters of a run without blanks that are looked at
 
 
 def _token(text: str, low: int, at: int) -> str:
     """What stands before a place, back to a blank, quote or bracket."""
-    reach = 64
-    while True:
-        begin = max(low, at - reach)
-        m = _EDGE.search(text[begin:at])
-        if m.start() > 0 or begin == low or reach >= WORD_MOST:
-            return m[0]
-        reach *= 8
+    k, least = at, max(low, at - WORD_MOST)
+    while k > least and text[k - 1] not in _EDGE:
+        k -= 1
+    return text[k:at]
 
 
 def spans(text: str) -> list[tuple[int, int]]:
@@ -515,7 +513,7 @@ def sentences(text: str, doc: Document) -> list[tuple[int, bool | Open]]:
     for m in _CANDIDATE.finditer(text):
         if m.start() < begin or (not greek and m[0] in ";\u037e"):
             continue
-        if m.start() - begin < 40 and not text[begin : m.start()].strip(" \t\n" + _OPENER):
+        if m.start() - begin < 40 and not text[begin : m.start()].strip(_LEADS):
             continue  # leading marks belong to what follows
         while k < len(inner) and inner[k][1] < m.start():
             k += 1
