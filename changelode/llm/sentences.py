@@ -638,10 +638,11 @@ def corpus_evidence(counts: DataFrame) -> DataFrame:
 def sentence_starts(documents: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """(doc_id, start_pos): one row for each unit; positions count characters from 1.
 
-    Rows of certain beginnings carry keys that spread them and meet no evidence.
+    Rows of certain beginnings meet no evidence; where a shuffle joins it, their keys spread them.
     """
     evidence = durable(corpus_evidence(durable(stop_counts(documents)))) if evidence is None else evidence
-    if evidence.count() <= SENT:
+    sent = evidence.count() <= SENT
+    if sent:
         evidence = F.broadcast(evidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -650,7 +651,7 @@ def sentence_starts(documents: DataFrame, evidence: DataFrame | None = None) ->
                 ids, places, keys, whats, verdicts = [], [], [], [], []
                 for doc, text in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns)):
                     got = candidates(text)
-                    certain = f"!{doc % 4096}"
+                    certain = None if sent else f"!{doc % 4096}"
                     ids += [doc] * len(got)
                     for at, v in got:
                         places.append(at + 1)

@@ -101,7 +101,7 @@ def evidence(spark):
     return docs, {r.key: {c: r[c] for c in "sdcpo" if r[c] is not None} for r in s.corpus_evidence(s.stop_counts(docs)).collect()}
 
 
-def test_corpus_evidence(spark):
+def test_corpus_evidence(spark, monkeypatch):
     docs, known = evidence(spark)
     assert known["abschn"]["d"] is False and known["hrn"]["p"] is False and known["insb"]["s"] is False and known["#lauf"]["o"] is False
     assert "warten" not in known and "marke" not in known
@@ -110,6 +110,8 @@ def test_corpus_evidence(spark):
     # The operator's join gives what the evidence gives text by text.
     got = sorted(tuple(r) for r in s.sentence_starts(docs).collect())
     assert got == sorted((i, at + 1) for i, t in enumerate(CORPUS) for at in s.unit_starts(t, known))
+    monkeypatch.setattr(s, "SENT", 0)
+    assert got == sorted(tuple(r) for r in s.sentence_starts(docs).collect())
 
 
 def test_evidence_decides_more_than_lists(spark, monkeypatch):
