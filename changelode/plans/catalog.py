@@ -201,6 +201,19 @@ def medium_same_function(s: SparkSession, d: str) -> DataFrame:
     return correlate.same_function(table(s, d, "commits"), records.locations_of_commits(prs), prs)
 
 
+MADE = f"""own2 AS (SELECT DISTINCT record_id, repository, merged_at, obs, path, regexp_extract(path, '[^/]+$') AS function FROM fl), sym2 AS (SELECT repository, sha, path, regexp_extract(path, '[^/]+$') AS function FROM cp),
+mf AS (SELECT DISTINCT record_id, c.sha, own2.path || ':' || own2.function AS function_or_path FROM own2 JOIN sym2 USING (repository, path, function) JOIN corrective c ON c.repository = own2.repository AND c.sha = sym2.sha WHERE function <> '' AND NOT c.merge AND {WINDOW})"""
+
+
+@register(_with(PR, CM, CORRECTIVE, FILES, CPATH, MADE) + "SELECT record_id, sha, function_or_path FROM mf")
+def same_made_function(s: SparkSession, d: str) -> DataFrame:
+    """The same join over made functions: a file's own name stands for the function in it, as no commit's functions are known that meet a request's."""
+    name = lambda p: F.regexp_extract(p, "[^/]+$", 0)
+    made = F.transform(F.filter("changed_files", lambda f: f["path"].isNotNull()), lambda f: F.struct(f["path"].alias("path"), name(f["path"]).alias("function")))
+    prs = _prs(s, d).withColumn("changed_function_locations", made)
+    return correlate.same_function(table(s, d, "commits"), _readable(s, d).withColumn("function", name(F.col("path"))), prs)
+
+
 @register(_with(PR, CM, CORRECTIVE, FILES, CPATH, WEAK) + "SELECT record_id, sha, path FROM wk")
 def weak_same_file(s: SparkSession, d: str) -> DataFrame:
     return correlate.same_file(table(s, d, "commits"), _readable(s, d), _prs(s, d))
