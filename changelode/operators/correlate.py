@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from changelode.functions import refs
 from changelode.operators.records import KEY, files, first_places, place, targets
+from changelode.plans.spread import spread
 
 WINDOW_DAYS = 90
 NAME_LEAST = 6  # characters of a function name that may match in free text
@@ -57,8 +58,8 @@ def strong_hits(log: DataFrame, kinds: Sequence[str] = STRONG) -> DataFrame:
         "REGRESSION_MENTION": [hit("REGRESSION_MENTION", 0, refs.regressions(m), lambda x: F.lower(x["sha"]), lambda x: several(x["number"]))],
     }
     cited = F.concat(*[c for k in kinds for c in every[k]])
-    rows = log.where(F.col("sha").isNotNull() & F.col("repository").isNotNull() & refs.has_citation(m))
-    rows = rows.select("repository", "sha", place(log).alias("place"), "author_date", F.explode(cited).alias("h")).select("repository", "sha", "place", "author_date", "h.*")
+    rows = spread(log.where("sha is not null and repository is not null").select("repository", "sha", place(log).alias("log_idx"), "author_date", "full_message"), "sha").where(refs.has_citation(m))
+    rows = rows.select("repository", "sha", F.col("log_idx").alias("place"), "author_date", F.explode(cited).alias("h")).select("repository", "sha", "place", "author_date", "h.*")
     return rows.join(first_places(log), ["repository", "sha", "place"]).drop("place")
 
 
@@ -127,8 +128,8 @@ def naming(log: DataFrame, names: DataFrame, said: Column | None = None) -> Data
     """
     names = names.where(F.length("function") >= NAME_LEAST).withColumn("block", F.substring("function", 1, NAME_LEAST))
     runs = F.array_distinct(F.regexp_extract_all("full_message", F.lit(rf"[^ \t\n\x0B\f\r]{{{NAME_LEAST},}}"), F.lit(0)))
-    rows = (log if said is None else log.where(said)).where("sha is not null and repository is not null")
-    rows = rows.select("repository", "sha", place(log).alias("place"), F.explode(F.filter(runs, lambda r: F.length(r) >= NAME_LEAST)).alias("run"))
+    rows = spread(log.where("sha is not null and repository is not null").select("repository", "sha", place(log).alias("place"), "subject", "full_message"), "sha")
+    rows = (rows if said is None else rows.where(said)).select("repository", "sha", "place", F.explode(F.filter(runs, lambda r: F.length(r) >= NAME_LEAST)).alias("run"))
     blocks = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - NAME_LEAST + 1), lambda i: F.substring("run", i, F.lit(NAME_LEAST))))
     hit = rows.select("repository", "sha", "place", "run", F.explode(blocks).alias("block")).join(names, ["repository", "block"]).where(F.col("run").contains(F.col("function")))
     return hit.drop("run", "block").distinct().join(first_places(log), ["repository", "sha", "place"]).drop("place")

@@ -39,8 +39,12 @@ def locations_of_commits(prs: DataFrame) -> DataFrame:
 
 
 def requests(pr_record: DataFrame) -> DataFrame:
-    """The original facts of each request, flat."""
-    return records(pr_record).select("record_id", "original.*", F.col("provenance.observation_end").alias("observation_end"))
+    """The original facts of each request, flat.
+
+    Facts are flat before second deliveries are dropped, so that only those a query needs are shuffled.
+    """
+    flat = pr_record.where(F.col("original").isNotNull()).select("record_id", "original.*", F.col("provenance.observation_end").alias("observation_end"))
+    return flat.dropDuplicates(["record_id"])
 
 
 def commits(log: DataFrame) -> DataFrame:
@@ -58,7 +62,7 @@ def targets(prs: DataFrame) -> DataFrame:
 
 def commit_paths(pr_record: DataFrame) -> DataFrame:
     """(repository, sha, path): paths of later commits, as the stored signals record them."""
-    r = records(pr_record).select(F.col("original.repository").alias("repository"), "retrospective")
+    r = pr_record.where(F.col("original").isNotNull()).select(F.col("original.repository").alias("repository"), "retrospective")
     each = [
         r.select("repository", F.explode(f"retrospective.{tier}").alias("s")).where("s is not null").select("repository", F.col("s.source_ref").alias("sha"), F.explode("s.changed_paths").alias("path"))
         for tier in ("strong_signals", "medium_signals")
@@ -97,6 +101,11 @@ def count(array: Column) -> Column:
     return F.coalesce(F.size(F.filter(array, lambda x: F.lit(True))), F.lit(0)).cast("bigint")
 
 
+def tiers(pr_record: DataFrame) -> DataFrame:
+    """(record_id, class): the strongest tier of each record; no signal is shuffled."""
+    return pr_record.where(F.col("original").isNotNull()).select("record_id", tier().alias("class")).dropDuplicates(["record_id"])
+
+
 def tier(retrospective: str = "retrospective") -> Column:
     """The strongest tier that holds a signal."""
     has = lambda t: count(F.col(f"{retrospective}.{t}")) > 0

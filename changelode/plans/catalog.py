@@ -474,7 +474,7 @@ RECLASSED = _with(*EVERYTHING, f"cls AS (SELECT {TIER} AS a, CASE WHEN strong_le
 @register(RECLASSED + "SELECT a AS from_class, b AS to_class, count(*) AS n FROM cls GROUP BY ALL")
 def flip_transitions(s: SparkSession, d: str) -> DataFrame:
     """Stored evidence classes against those recomputed from the commit log."""
-    old = _records(s, d).select("record_id", records.tier().alias("class"))
+    old = records.tiers(table(s, d, "pr_record"))
     new = rank_score(s, d).select("record_id", F.when(F.col("strong_leads") > 0, "strong").when(F.col("medium_leads") > 0, "medium").when(F.col("weak_signals") > 0, "weak").otherwise("none").alias("class"))
     return merging.transitions(old, new, ["record_id"], "class")
 
@@ -526,7 +526,7 @@ def baseline_features(s: SparkSession, d: str) -> DataFrame:
     A record counts once a subsystem: its files are summed first, so no distinct count is needed.
     """
     prs = _prs(s, d)
-    fixed = _records(s, d).select("record_id", (records.count(F.col("retrospective.strong_signals")) > 0).alias("fixed"))
+    fixed = records.tiers(table(s, d, "pr_record")).select("record_id", (F.col("class") == "strong").alias("fixed"))
     churn = F.coalesce("additions", F.lit(0)) + F.coalesce("deletions", F.lit(0))
     once = records.files(prs).groupBy("repository", "record_id", paths.subsystem(F.col("path")).alias("subsystem")).agg(F.sum(churn).alias("churn")).join(fixed, "record_id")
     out = once.groupBy("repository", "subsystem").agg(F.count("*").alias("changes"), F.sum("churn").alias("churn"), F.count_if("fixed").alias("defects"))
