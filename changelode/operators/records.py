@@ -101,6 +101,19 @@ def count(array: Column) -> Column:
     return F.coalesce(F.size(F.filter(array, lambda x: F.lit(True))), F.lit(0)).cast("bigint")
 
 
+def is_counted() -> Column:
+    """Whether a record's later commits were ever looked for: it says what correlated it."""
+    return F.coalesce(F.col("provenance.correlated_by") != "", F.lit(False))
+
+
+def is_positive(tier_: str = "strong") -> Column:
+    """Whether a record has a signal of the tier: ``strong``, or ``any`` for a strong or a medium one."""
+    if tier_ not in ("strong", "any"):
+        raise ValueError(f"unknown tier {tier_!r}")
+    strong = count(F.col("retrospective.strong_signals")) > 0
+    return strong if tier_ == "strong" else strong | (count(F.col("retrospective.medium_signals")) > 0)
+
+
 def tiers(pr_record: DataFrame) -> DataFrame:
     """(record_id, class): the strongest tier of each record; no signal is shuffled."""
     return pr_record.where(F.col("original").isNotNull()).select("record_id", tier().alias("class")).dropDuplicates(["record_id"])

@@ -719,6 +719,16 @@ def admission_counts(s: SparkSession, d: str) -> DataFrame:
     return admission.outcomes(table(s, d, "field_decisions"))
 
 
+@register(
+    _with(PR)
+    + "SELECT record_id, coalesce(provenance.correlated_by <> '', false) AS counted, coalesce(len(retrospective.strong_signals), 0) > 0 AS strong, coalesce(len(retrospective.strong_signals), 0) + coalesce(len(retrospective.medium_signals), 0) > 0 AS strong_or_medium FROM pr"
+)
+def record_states(s: SparkSession, d: str) -> DataFrame:
+    """Whether later commits were looked for, and whether a record counts as positive by either tier."""
+    flags = [records.is_counted().alias("counted"), records.is_positive("strong").alias("strong"), records.is_positive("any").alias("strong_or_medium")]
+    return table(s, d, "pr_record").where("original is not null").select("record_id", *flags).dropDuplicates(["record_id"])
+
+
 LISTED = "ls AS (SELECT DISTINCT repository, unnest(fixing_pr_numbers) AS number FROM eval_keys)"
 
 

@@ -139,6 +139,15 @@ def test_lists_unions_and_batches(spark):
     assert [tuple(r) for r in ranking.first_by(table(spark, "n int, sha string, place int", (1, "b", 2), (1, "a", 1)), ["n"], "sha", "place").collect()] == [(1, "a")]
 
 
+def test_states_of_records(spark, small):
+    from changelode.operators import records
+
+    with pytest.raises(ValueError):
+        records.is_positive("weak")
+    rows = spark.read.parquet(f"{small}/pr_record.parquet").select(records.is_counted().alias("c"), records.is_positive("any").alias("a"), records.is_positive().alias("s"))
+    assert rows.where("c is null or a is null or s is null or (s and not a)").count() == 0
+
+
 def test_touched_order(spark):
     lines = table(spark, "case_id string, subsystem string, lines bigint", ("c", "lib", 9), ("c", "doc", 50), ("c", "z", 9), ("c", "new", 9))
     scored = table(spark, "case_id string, subsystem string, score double, tercile int", ("c", "lib", 0.1, 1), ("c", "z", 0.9, 3))
