@@ -19,15 +19,17 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelode.plans.durable import durable
 from changelode.plans.spread import spread
 
 KINDS = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
-MAX_LEXICON_ROWS = 100_000
+MAX_LEXICON_ROWS = 100_000  # names, or words of the texts that are names, that are sent to all tasks; more are joined
 
 # ---------------------------------------------------------------- transducers
 
@@ -319,23 +321,30 @@ def _key(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower().replace("ł", "l").replace("ø", "o")) if not unicodedata.combining(c))
 
 
+def _listed(name: str | None) -> Iterator[tuple[str, bool]]:
+    """The given name and the parts of the family name in a display name, and whether each is family."""
+    if not name or not (words := re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", name)) or len(words) < 2:
+        return
+    first, last = (words[-1], words[0]) if "," in name else (words[0], words[-1])
+    if len(first) > 1:
+        yield _key(first), False
+    yield from ((_key(x), True) for x in last.split("-") if len(x) > 2)
+
+
 class Lexicon:
     """Given and family names taken from the display names of known contributors.
 
     Families compose: a word also counts if it splits into a beginning and an ending that
     each occur in two listed families at least, as people in texts need not be listed.
+    ``table`` has all names where they are too many to be held; the sets then hold the most
+    frequent ones only, and the operators look up the words of the texts in ``table``.
     """
 
-    def __init__(self, names: Iterable[str | None]) -> None:
-        self.given: set[str] = set()
-        self.family: set[str] = set()
-        for name in names:
-            if not name or not (words := re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", name)) or len(words) < 2:
-                continue
-            first, last = (words[-1], words[0]) if "," in name else (words[0], words[-1])
-            if len(first) > 1:
-                self.given.add(_key(first))
-            self.family.update(_key(x) for x in last.split("-") if len(x) > 2)
+    def __init__(self, names: Iterable[str | None], table: DataFrame | None = None) -> None:
+        self.table = table
+        words = {word for name in names for word in _listed(name)}
+        self.given = {k for k, family in words if not family}
+        self.family = {k for k, family in words if family}
         begin: dict[str, int] = {}
         end: dict[str, int] = {}
         for f in self.family:
@@ -345,6 +354,14 @@ class Lexicon:
         self.begin, self.end = {k for k, n in begin.items() if n > 1}, {k for k, n in end.items() if n > 1}
         self._known: dict[str, bool] = {}
 
+    @classmethod
+    def looked_up(cls, given: Iterable[str] | None, family: Iterable[str] | None) -> Lexicon:
+        """What a whole lexicon says of the words of some texts, composed families being among ``family``."""
+        lex = cls(())
+        lex.given.update(() if given is None else given)
+        lex.family.update(() if family is None else family)
+        return lex
+
     def is_family(self, word: str) -> bool:
         if word not in self._known:
             if len(self._known) > 200_000:
@@ -450,6 +467,8 @@ def places(text: str | None, lex: Lexicon) -> list[tuple[str, int, int]]:
     """(kind, start, end) of each place in ``text``, zero-based, ordered, without overlaps."""
     if not text:
         return []
+    if lex.table is not None:
+        raise ValueError("a lexicon that is not held whole: use find_places or mask_column")
     tape = normalise(text)
     starts: list[int] = []
     taken: list[tuple[str, int, int]] = []  # in the order of their starts, disjoint
@@ -473,32 +492,113 @@ def masked(text: str, found: list[tuple[str, int, int]]) -> str:
 class _Cached:
     """Places by text; short values such as logins repeat often."""
 
-    def __init__(self, lex: Lexicon) -> None:
+    def __init__(self, lex: Lexicon | None) -> None:
         self.lex, self.known = lex, {}
 
-    def __call__(self, text: str | None) -> list[tuple[str, int, int]]:
+    def __call__(self, text: str | None, given: Iterable[str] | None = None, family: Iterable[str] | None = None) -> list[tuple[str, int, int]]:
+        """Without a lexicon for all texts, by the names that were looked up for this one."""
         if text is None or len(text) > 80:
-            return places(text, self.lex)
+            return places(text, self.lex or Lexicon.looked_up(given, family))
         if (got := self.known.get(text)) is None:
             if len(self.known) > 50_000:
                 self.known.clear()
-            got = self.known[text] = places(text, self.lex)
+            got = self.known[text] = places(text, self.lex or Lexicon.looked_up(given, family))
         return got
 
 
+# ------------------------------------------------- lexicons that are not held
+
+_RUN = re.compile(rf"{_LAT}+(?:-{_LAT}+)*")
+_APOSTROPHE = re.compile(r"['’]")
+
+
+def _cuts(word: str) -> Iterator[str]:
+    """A word, and its parts up to and from each apostrophe: a name may begin or end there."""
+    yield word
+    for m in _APOSTROPHE.finditer(word):
+        yield word[: m.start()]
+        yield word[m.end() :]
+
+
+@lru_cache(200_000)
+def _run_words(run: str) -> frozenset[str]:
+    parts = run.split("-")
+    words = [w for part in parts for w in _cuts(part)]
+    if len(parts) > 1:
+        words += [f"{parts[0]}-{w}" for w in _cuts(parts[1])]
+    return frozenset(map(_key, words)) - {""}
+
+
+def asked(text: str) -> set[str]:
+    """All that the detectors of names may ask a lexicon about ``text``: words and, of a run with hyphens, its first pair."""
+    return set().union(*map(_run_words, set(_RUN.findall(normalise(text).text))))
+
+
+def _asked(texts: DataFrame, column: str, by_text: bool) -> DataFrame:
+    """The words of ``texts``: (word), distinct, or (text_hash, word), where texts repeat more than once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = set(zip(b["text_hash"], b["text"]))
+            rows = [(h, list(asked(t))) for h, t in pairs] if by_text else [(0, list(set().union(*(asked(t) for _, t in pairs))))]
+            yield pd.DataFrame(rows, columns=["text_hash", "words"])
+
+    out = texts.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("text_hash"), F.col(column).alias("text"))
+    out = out.mapInPandas(run, "text_hash bigint, words array<string>").select("text_hash", F.explode("words").alias("word"))
+    return out if by_text else out.select("word").distinct()
+
+
+def _answers(words: DataFrame, names: DataFrame) -> DataFrame:
+    """Of ``words(word)``, distinct, those that ``names(name)`` make names: (word, is_family), as a Lexicon of all has it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(list({w for name in b["name"] for w in _listed(name)}), columns=["word", "is_family"])
+
+    listed = durable(names.mapInPandas(run, "word string, is_family boolean").distinct())
+    given, family = (listed.where(F.col("is_family") == kind).select("word") for kind in (False, True))
+    cut = lambda df: df.where("length(word) > 4").withColumn("i", F.explode(F.expr("sequence(3, length(word) - 2)"))).selectExpr("word", "substring(word, 1, i) AS begin", "substring(word, i + 1) AS end")
+    begin, end = (cut(family).groupBy(part).count().where("count > 1").select(part) for part in ("begin", "end"))
+    composed = cut(words).join(begin, "begin", "left_semi").join(end, "end", "left_semi").select("word")
+    families = words.join(family, "word", "left_semi").union(composed).distinct()
+    return words.join(given, "word", "left_semi").withColumn("is_family", F.lit(False)).union(families.withColumn("is_family", F.lit(True)))
+
+
+def _look_up(df: DataFrame, column: str, lex: Lexicon) -> tuple[DataFrame, Lexicon | None, list[str]]:
+    """``df`` and a lexicon that is whole for its texts, whatever the size of ``lex.table``.
+
+    The words of the texts are looked up in the table. Those that are names are sent to all
+    tasks, if MAX_LEXICON_ROWS at most; else there is no lexicon, but each text's own names
+    join it as two more columns, whose names come last. They go by a hash of the text: texts
+    that share one share names that are all in the table.
+    """
+    if lex.table is None:
+        return df, lex, []
+    found = durable(_answers(durable(_asked(df, column, False)), lex.table))
+    rows = found.limit(MAX_LEXICON_ROWS + 1).collect()
+    if len(rows) <= MAX_LEXICON_ROWS:
+        return df, Lexicon.looked_up((r.word for r in rows if not r.is_family), (r.word for r in rows if r.is_family)), []
+    taken = {c.lower() for c in df.columns}
+    text_hash, given, family = (next(c for n in range(len(taken) + 1) if (c := f"{base}_{n}") not in taken) for base in ("text_hash", "given", "family"))
+    word = lambda kind: F.collect_set(F.when(F.col("is_family") == kind, F.col("word")))
+    by_text = _asked(df, column, True).join(found, "word").groupBy(F.col("text_hash").alias(text_hash)).agg(word(False).alias(given), word(True).alias(family))
+    return df.withColumn(text_hash, F.xxhash64(column)).join(by_text, text_hash, "left").drop(text_hash), None, [given, family]
+
+
 # ------------------------------------------------------------------ operators
 
 
 def lexicon(contributors: DataFrame, column: str = "display_name") -> Lexicon:
-    """The name lexicon of a contributors table, a dimension of fixed size.
+    """The name lexicon of a contributors table.
 
-    Of a larger table than MAX_LEXICON_ROWS names, the given and family names that occur most
-    often are taken, counted over all rows: names that are rarer then are found by form and
-    context only, as those of people who are not listed are.
+    Up to MAX_LEXICON_ROWS names are held and sent to all tasks. Of a larger table only the
+    most frequent ones are; the operators below then look up the words of their texts in the
+    whole table, so that no name is left out.
     """
-    names = contributors.select(column).where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    rows = names.orderBy(F.desc("n"), column).limit(MAX_LEXICON_ROWS).collect()
-    return Lexicon(sorted(r[0] for r in rows))
+    whole = contributors.select(F.col(column).alias("name")).where("name is not null")
+    names = whole.groupBy("name").agg(F.count("*").alias("n"))
+    rows = names.orderBy(F.desc("n"), "name").limit(MAX_LEXICON_ROWS + 1).collect()
+    return Lexicon(sorted(r[0] for r in rows[:MAX_LEXICON_ROWS]), whole if len(rows) > MAX_LEXICON_ROWS else None)
 
 
 def find_places(texts: DataFrame, lex: Lexicon) -> DataFrame:
@@ -506,26 +606,28 @@ def find_places(texts: DataFrame, lex: Lexicon) -> DataFrame:
 
     Returns (field, record_id, kind, start_pos, end_pos); positions count characters from 1.
     One pass without a shuffle of texts; only the narrow results are made distinct, as a
-    record may be delivered twice.
+    record may be delivered twice. A lexicon that is not held takes a pass for its words before,
+    and a join with the texts if these hold too many names.
     """
+    base, held, own = _look_up(spread(texts.select("field", "record_id", "text").where("record_id is not null and text is not null"), "record_id"), "text", lex)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = _Cached(lex)
+        find = _Cached(held)
         for b in batches:
-            rows = [(f, i, k, a + 1, e) for f, i, t in zip(b["field"], b["record_id"], b["text"]) if t for k, a, e in find(t)]
+            rows = [(f, i, k, a + 1, e) for f, i, t, *names in zip(*(b[c] for c in ("field", "record_id", "text", *own))) if t for k, a, e in find(t, *names)]
             yield pd.DataFrame(rows, columns=["field", "record_id", "kind", "start_pos", "end_pos"])
 
-    out = spread(texts.select("field", "record_id", "text").where("record_id is not null and text is not null"), "record_id").mapInPandas(run, "field string, record_id bigint, kind string, start_pos bigint, end_pos bigint")
-    return out.distinct()
+    return base.mapInPandas(run, "field string, record_id bigint, kind string, start_pos bigint, end_pos bigint").distinct()
 
 
 def mask_column(df: DataFrame, column: str, lex: Lexicon, into: str = "masked") -> DataFrame:
     """``df`` with a copy of ``column`` in which placeholders stand for personal data; nulls stay null."""
+    base, held, own = _look_up(df, column, lex)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = _Cached(lex)
-        for s in batches:
-            yield pd.Series([None if t is None else masked(t, find(t)) for t in s], dtype=object)
+        find = _Cached(held)
+        for b in batches:  # a series, or a tuple of them
+            yield pd.Series([None if t is None else masked(t, find(t, *names)) for t, *names in zip(*(b if own else (b,)))], dtype=object)
 
-    return df.withColumn(into, run(F.col(column)))
+    return base.withColumn(into, run(F.col(column), *own)).drop(*own)

@@ -1,3 +1,4 @@
+import random
 import re
 import pandas as pd
 import pytest
@@ -164,3 +165,61 @@ def test_a_large_lexicon_takes_the_most_frequent(spark, monkeypatch):
     monkeypatch.setattr(pii, "MAX_LEXICON_ROWS", 1)
     names = spark.createDataFrame([("Tamsin Harrow",), ("Tamsin Harrow",), ("Bram Quill",), (None,)], "display_name string")
     assert pii.lexicon(names).given == {"tamsin"}
+
+
+LISTED = ["Tamsin Grauholt", "Pellmark, Odile", "Zoë Fennberg", "Bram Grauberg", "Håkon Fennholt", "Solo", "ilse pellberg", "Jean-Luc O'Dowd", "Luc Quill", "Jean-Pierre Harrow"]
+SPOKEN = [
+    "ping Tamsin Grauberg, Fennholt, Zoë's and B. Pellholt", "tamsin grauholt and håkon fennberg's", "Odile Fennberg-Pellmark's", "d'Ilse Pellmark 'Harrow-Quill, Luc' said", "Luc Jean-Pierre", "Bram O'Fennholt", "Tаmsin Harrow", "Ann H. Quill’s x",
+    "Bram de la Grauholt", "Håkon\u200b Fennmark", "a'b'c'Bram Harrow", "nobody here", "", None,
+]
+
+
+def test_every_listed_name_counts_in_a_large_lexicon(spark, monkeypatch):
+    names, whole = spark.createDataFrame([(n,) for n in [*LISTED, LISTED[0], None]], "display_name string"), pii.Lexicon(LISTED)
+    texts = spark.createDataFrame([("f", i, t) for i, t in enumerate([*SPOKEN, SPOKEN[0]])], "field string, record_id bigint, text string")
+    want = {("f", i, k, a + 1, e) for i, t in enumerate([*SPOKEN, SPOKEN[0]]) for k, a, e in pii.places(t, whole)}
+    clean = {i: None if t is None else pii.masked(t, pii.places(t, whole)) for i, t in enumerate([*SPOKEN, SPOKEN[0]])}
+    assert len(want) > 10
+    for limit, texts_of in ((100, texts), (len(LISTED) - 1, texts), (1, texts), (1, texts.where("record_id = 0")), (1, texts.where("text = 'nobody here'"))):
+        monkeypatch.setattr(pii, "MAX_LEXICON_ROWS", limit)
+        lex, ids = pii.lexicon(names), {r.record_id for r in texts_of.collect()}
+        assert {tuple(r) for r in pii.find_places(texts_of, lex).collect()} == {p for p in want if p[1] in ids}
+        masks = pii.mask_column(texts_of.withColumnRenamed("field", "Given_0"), "text", lex)
+        assert masks.columns == ["Given_0", "record_id", "text", "masked"] and {r.record_id: r.masked for r in masks.collect()} == {i: clean[i] for i in ids}
+
+
+def test_a_lexicon_that_is_not_whole_answers_nothing(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_LEXICON_ROWS", 1)
+    lex = pii.lexicon(spark.createDataFrame([(n,) for n in LISTED], "display_name string"))
+    with pytest.raises(ValueError):
+        pii.places(SPOKEN[0], lex)
+
+
+def test_all_that_detectors_ask_is_looked_up():
+    class Asked(pii.Lexicon):
+        """Answers at random, as other lexicons would, and keeps what it was asked."""
+
+        def __init__(self, seed):
+            super().__init__(())
+            self.rng, self.asks, me = random.Random(seed), set(), self
+
+            class Given(set):
+                def __contains__(self, k):
+                    me.asks.add(k)
+                    return me.rng.random() < 0.5
+
+                def isdisjoint(self, words):
+                    me.asks.update(words)
+                    return False
+
+            self.given = Given()
+
+        def is_family(self, word):
+            self.asks.update(map(pii._key, word.split("-")))
+            return self.rng.random() < 0.5
+
+    rng, pieces = random.Random(7), ["Ann", "Zoë", "Ann Zoë-Ann", "Zoë-Ann", "bram", "O", "d", "Mc", "ß", "Ł", "İ", "ж", "e\u0301", "\u200b", "а", "'", "’", "'s", "-", "--", ",", ", ", " ", " ", " ", "\n", ".", ". ", "A. ", "de la ", "×", "_", "7", "@", "(", "<"]
+    for seed in range(4000):
+        text, lex = "".join(rng.choices(pieces, k=rng.randrange(2, 14))), Asked(seed)
+        pii.places(text, lex)
+        assert lex.asks - {""} <= pii.asked(text), text
